@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical, consensus, fuzzy, mixing, spans, tokens
+from . import canonical, consensus, encoding, fuzzy, mixing, spans, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +69,24 @@ def p6_copies(spark: SparkSession, folder: str) -> DataFrame:
     return q.unionByName(a).select("rec_kind", "record", "copies", "ids", "collided")
 
 
+def _decoded(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Records that may be damaged, and the table of garbled forms of the whole corpus."""
+    q = table(spark, folder, "quote_candidates", "quote_id", "text").select(F.lit("quote").alias("rec_kind"), F.col("quote_id").alias("rec_id"), "text")
+    a = table(spark, folder, "articles", "article_id", "detokenized_content").select(F.lit("article").alias("rec_kind"), F.col("article_id").alias("rec_id"), F.col("detokenized_content").alias("text"))
+    records = q.unionByName(a)
+    return records, encoding.forms(records.select("text").unionByName(table(spark, folder, "articles", "text")), "text")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    records, forms = _decoded(spark, folder)
+    return encoding.damaged(records, ["rec_kind", "rec_id"], "text", forms)
+
+
+def p7_restored(spark: SparkSession, folder: str) -> DataFrame:
+    records, forms = _decoded(spark, folder)
+    return encoding.restore(records, ["rec_kind", "rec_id"], "text", forms)
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(documents(spark, folder), "text", "doc_id")
 
