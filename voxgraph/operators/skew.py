@@ -45,13 +45,12 @@ def exact_percentiles(counts: DataFrame, percents: Sequence[float], max_rounds:
     value, sums weights per part (combined map-side), and keeps the part that holds the rank: windows run over parts,
     never over rows, whatever a key's size.
     """
-    spark = counts.sparkSession
     rows = cut(counts.where("value is not null").select("key", F.col("value").cast("double").alias("value"), "n"))
-    qs = spark.createDataFrame([(float(q),) for q in percents], "q double")
     span = rows.groupBy("key").agg(F.sum("n").alias("total"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     # a percentile's rank, from 1; the small term keeps 0.1 * 30 from becoming 4
     rank = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("total") - 1e-9)).cast("long")
-    open_ = cut(span.crossJoin(F.broadcast(qs)).select("key", "q", "lo", "hi", rank.alias("rank")))
+    asked = F.explode(F.array(*(F.lit(float(q)) for q in percents)))
+    open_ = cut(span.withColumn("q", asked).select("key", "q", "lo", "hi", rank.alias("rank")))
     done = open_.where(~(F.col("lo") < F.col("hi"))).select("key", "q", F.col("lo").alias("result"))
     open_ = open_.where("lo < hi")
     for _ in range(max_rounds):
