@@ -3,10 +3,17 @@
 Words are dealt to segments by hash. A segment's fingerprint is a 23-bit parity vector: each word flips one bit, so
 an inserted or deleted word is one bit error, a replaced one two. Two texts within the threshold differ in at most
 E words; of E // 3 + 1 segments one then has at most two errors (pigeonhole), and list decoding with the Golay code
-gives both texts' segments a common codeword index. As 12 bits alone select too little, an index is joined with each
-of the segment's three longest words: of the words that two such segments hold, at most two differ, so one of the
-three is common. Segments of at most two words take the text's longest words instead (prefix filter). Hence every
-pair above the threshold shares a key; candidates are verified exactly.
+gives both texts' segments a common codeword index. As 12 bits alone select too little, an index is joined with a
+word, the anchor. Let A and B be two such segments, words ordered by rarity over the corpus:
+
+* the rarest words of both are equal: it is the anchor, with all indices of the whole segment;
+* A's rarest is rarer than B's, so it isn't in B, and A without it has one error left: if its next word is B's rarest,
+  that is the anchor, with the one index nearest to A without its rarest, which is in B's list; if B's rarest isn't in A
+  either, A and B without their rarest are equal and give the same such key;
+* A's two rarest aren't in B: A without them equals B, so the hash of the one is that of the other;
+* nothing is in common: both have at most two words, and the texts' rarest words serve as keys (prefix filter).
+
+Hence every pair above the threshold shares a key; candidates are verified exactly.
 """
 
 from __future__ import annotations
@@ -24,14 +31,27 @@ from .golay import LENGTH, codewords
 from .textforms import canonical, words
 
 #: Segment counts in use; a text takes the next larger one, so that few counts are needed for partners of other lengths.
-COUNTS = np.unique(np.concatenate([np.arange(1, 6), np.ceil(5 * 1.3 ** np.arange(1, 60)).astype(np.int64)]))
-WORD_BITS = 27
+COUNTS = np.unique(np.concatenate([np.arange(1, 4), np.ceil(3 * 1.55 ** np.arange(1, 36)).astype(np.int64)]))
+#: Buckets of the histogram of word frequencies by which words are ranked; its size doesn't depend on the corpus.
+BUCKETS = 1 << 20
+#: Bits of the bitmaps of keys that more than three texts have, and of those that more than HOT have.
+BITMAP, HOT = 1 << 24, 50
+WHOLE, REST = 1, 2
+BOTH = WHOLE | REST
 
 
 def word_codes(text: Column) -> Column:
-    """The words of a text as sorted integers: capped length in the high bits, hash in the low 27."""
-    code = lambda w: F.shiftleft(F.least(F.length(w), F.lit(15)), WORD_BITS).bitwiseOR(F.hash(w).bitwiseAND(F.lit((1 << WORD_BITS) - 1)))
-    return F.array_sort(F.transform(words(text), code))
+    """The words of a text as sorted 31-bit hashes."""
+    return F.array_sort(F.transform(words(text), lambda w: F.hash(w).bitwiseAND(F.lit(0x7FFFFFFF))))
+
+
+def word_ranks(forms: DataFrame) -> np.ndarray:
+    """For each hash bucket of words the binary logarithm of its frequency over all texts: BUCKETS bytes."""
+    counted = forms.select(F.explode("codes").alias("c")).groupBy((F.col("c") % BUCKETS).alias("b")).agg(F.count("*").alias("n"))
+    found = counted.select("b", F.ceil(F.log2("n") * 8).cast("int").alias("r")).toPandas()
+    ranks = np.zeros(BUCKETS, np.uint16)
+    ranks[found["b"].to_numpy()] = found["r"].to_numpy()
+    return ranks
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -55,19 +75,28 @@ def segment_counts(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.searchsorted(COUNTS, differing // 3 + 1)
 
 
-def fuzzy_keys(offsets: np.ndarray, codes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a batch of texts, given as offsets into sorted word codes: text index and key of each."""
+def fuzzy_keys(offsets: np.ndarray, codes: np.ndarray, ranks: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a batch of texts, given as offsets into word codes: text index, key and role of each.
+
+    Rows that meet in a key are candidates if one of them has the bit WHOLE in its role and the other the bit REST.
+    """
     n = np.diff(offsets)
     doc = np.repeat(np.arange(len(n)), n)
     codes = codes.astype(np.int64)
-    order = np.lexsort((-codes, doc))  # longest words first
+    order = np.lexsort((codes, ranks[codes % BUCKETS], doc))  # rarest words first
     doc, codes = doc[order], codes[order]
     _, seen = _runs(doc << 32 | codes)
     feature = _mix(codes | seen << 32, 1)  # the second of two equal words is another word
     _, rank = _runs(doc)
     prefix = rank <= (n - -(-n * num // den))[doc]
     least, most = segment_counts(n, num, den), segment_counts(n * den // num, num, den)
-    out_doc, out_key = [], []
+    out_doc, out_key, out_role = [], [], []
+
+    def emit(docs: np.ndarray, keys: np.ndarray, role: int) -> None:
+        out_doc.append(docs)
+        out_key.append(keys)
+        out_role.append(np.full(len(docs), role, np.int64))
+
     for k in range(int(least.min(initial=0)), int(most.max(initial=-1)) + 1):
         count = int(COUNTS[k])
         use = (least <= k) & (k <= most)
@@ -77,49 +106,99 @@ def fuzzy_keys(offsets: np.ndarray, codes: np.ndarray, num: int, den: int) -> tu
         d, f, pre = doc[rows], feature[rows], prefix[rows]
         group = d * count + (_mix(f, 2 + count) % np.uint64(count)).astype(np.int64)
         by = np.argsort(group, kind="stable")
-        sorted_group = group[by]
-        starts, place = _runs(sorted_group)
-        bit = np.left_shift(1, (_mix(f[by], 3) % np.uint64(LENGTH)).astype(np.int64))
-        vector = np.bitwise_xor.reduceat(bit, starts) if len(starts) else bit
-        index = codewords(vector)
+        group_, f_, d_ = group[by], f[by], d[by]
+        starts, place = _runs(group_)
+        size = np.diff(np.r_[starts, len(group_)])
+        segment = _mix((group_[starts] % count) << 16 | count, 4)
+        bit = np.left_shift(1, (_mix(f_, 3) % np.uint64(LENGTH)).astype(np.int64))
+        whole, total = np.bitwise_xor.reduceat(bit, starts), np.add.reduceat(_mix(f_, 9), starts)
+        anchor = lambda r, index: _mix(_mix(f_[starts[r] + index] ^ segment[r], 5), 0)
+        index = codewords(whole)
         fresh = np.ones_like(index, bool)
         fresh[:, 1:] = index[:, 1:] != index[:, :1]
-        anchor = np.flatnonzero(place < 3)
-        run = np.cumsum(np.r_[True, sorted_group[1:] != sorted_group[:-1]])[anchor] - 1
-        base = _mix(f[by][anchor] ^ _mix((sorted_group[anchor] % count) << 16 | count, 4), 5)
-        keys = _mix(base[:, None] + index[run].astype(np.uint64), 6)
-        mask = fresh[run]
-        out_doc.append(np.repeat(d[by][anchor], 6)[mask.ravel()])
-        out_key.append(keys[mask])
-        size = np.bincount(group, minlength=len(n) * count)[: len(n) * count].reshape(len(n), count)
-        thin_doc, thin_group = np.nonzero((size <= 2) & use[:, None])
-        if len(thin_doc):  # rare
+        every = np.arange(len(starts))
+        emit(np.repeat(d_[starts], 6)[fresh.ravel()], _mix(anchor(every, 0)[:, None] + index.astype(np.uint64), 6)[fresh], BOTH)
+        two = np.flatnonzero(size >= 2)
+        rest = codewords(whole[two] ^ bit[starts[two]])[:, 0]
+        emit(d_[starts[two]], _mix(anchor(two, 1) + rest.astype(np.uint64), 6), BOTH)
+        emit(d_[starts], _mix(total ^ segment, 10), WHOLE)
+        three = np.flatnonzero(size >= 3)
+        less = total[three] - _mix(f_[starts[three]], 9) - _mix(f_[starts[three] + 1], 9)
+        emit(d_[starts[three]], _mix(less ^ segment[three], 10), REST)
+        sizes = np.bincount(group, minlength=len(n) * count)[: len(n) * count].reshape(len(n), count)
+        thin_doc, thin_group = np.nonzero((sizes <= 2) & use[:, None])
+        if len(thin_doc):
             first = np.searchsorted(d, np.arange(len(n)))
             width = np.bincount(d[pre], minlength=len(n))[thin_doc]
             which = np.repeat(np.arange(len(thin_doc)), width)
-            _, place = _runs(which)
-            at = first[thin_doc][which] + place
-            out_doc.append(thin_doc[which])
-            out_key.append(_mix(f[at] ^ _mix(thin_group[which] << 16 | count, 7), 8))
+            at = first[thin_doc][which] + _runs(which)[1]
+            emit(thin_doc[which], _mix(f[at] ^ _mix(thin_group[which] << 16 | count, 7), 8), BOTH)
     if not out_doc:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_doc), np.concatenate(out_key).view(np.int64)
+        return (np.zeros(0, np.int64),) * 3
+    return np.concatenate(out_doc), np.concatenate(out_key).view(np.int64), np.concatenate(out_role)
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            codes = part.column("codes")
+            offsets = codes.offsets.to_numpy()
+            yield part, offsets - offsets[0], codes.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
 
 
-def _keys(num: int, den: int):
+def _keys(ranks, num: int, den: int):
+    """Rows (v, key), v being the text's number times four plus its role."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                codes = part.column("codes")
-                offsets = codes.offsets.to_numpy()
-                flat = codes.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-                text, key = fuzzy_keys(offsets - offsets[0], flat, num, den)
-                yield pa.RecordBatch.from_arrays([pa.array(part.column("form").to_numpy()[text]), pa.array(key)], ["form", "key"])
+        for part, offsets, codes in _batches(batches):
+            text, key, role = fuzzy_keys(offsets, codes, ranks.value, num, den)
+            yield pa.RecordBatch.from_arrays([pa.array(part.column("f").to_numpy()[text] << 2 | role), pa.array(key)], ["v", "key"])
 
     return run
 
 
+def _crowded_keys(ranks, num: int, den: int, crowded, hot):
+    """Rows (v, key, n, s1, s2) for keys whose bit is set in crowded.
+
+    A key whose bit is set in hot is refined: every pair above the threshold also shares one of the rarest words of both
+    texts (prefix filter), so such a row comes once with each of these words in its key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, offsets, codes in _batches(batches):
+            text, key, role = fuzzy_keys(offsets, codes, ranks.value, num, den)
+            h = key & (BITMAP - 1)
+            keep = (crowded.value[h >> 6] >> (h & 63)) & 1 == 1
+            text, key, role, h = text[keep], key[keep], role[keep], h[keep]
+            is_hot = (hot.value[h >> 6] >> (h & 63)) & 1 == 1
+            if is_hot.any():
+                n = np.diff(offsets)
+                doc = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((codes, ranks.value[codes % BUCKETS], doc))
+                rare = _runs(doc)[1] <= (n - -(-n * num // den))[doc]
+                word, owner = codes[order][rare].astype(np.int64), doc[rare]
+                first, width = np.searchsorted(owner, text[is_hot]), (n - -(-n * num // den) + 1)[text[is_hot]]
+                which = np.repeat(np.flatnonzero(is_hot), width)
+                at = np.repeat(first, width) + _runs(which)[1]
+                refined = _mix(key[which].view(np.uint64) ^ _mix(word[at], 11), 12).view(np.int64)
+                text, role, key = (np.concatenate([x[~is_hot], y]) for x, y in ((text, text[which]), (role, role[which]), (key, refined)))
+            columns = [part.column(c).to_numpy() for c in ("f", "n", "s1", "s2")]
+            f, *rest = (c[text] for c in columns)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (f << 2 | role, key, *rest)], ["v", "key", "n", "s1", "s2"])
+
+    return run
+
+
+def _bitmap(hot: DataFrame) -> np.ndarray:
+    """A bit for each hash of a hot key: BITMAP bits, however many keys there are."""
+    h = hot.select((F.col("key").bitwiseAND(F.lit(BITMAP - 1))).alias("h"))
+    words_ = h.groupBy(F.shiftright("h", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("b")).toPandas()
+    bits = np.zeros(BITMAP >> 6, np.int64)
+    bits[words_["w"].to_numpy()] = words_["b"].to_numpy()
+    return bits
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds to each pair the number of words, counted with repeats, that its two code lists share."""
     for batch in batches:
@@ -149,18 +228,31 @@ def texts_as_forms(df: DataFrame, id_col: str, text: str, min_words: int) -> Dat
 
 def form_pairs(base: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of different forms that share at least num/den of the words of the longer one."""
+    # f numbers the forms: it compresses better than their hashes; s1 and s2 hold the parities of words by 7 bits of hash
+    half = lambda bit: F.aggregate("codes", F.lit(0).cast("long"), lambda s, c: F.when(c.bitwiseAND(F.lit(64)) == 64 * bit, s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63))))).otherwise(s))
     forms = base.groupBy("form").agg(F.first("codes").alias("codes"))
-    keys = forms.mapInArrow(_keys(num, den), "form long, key long")
-    met = cut(keys.groupBy("key").agg(F.min("form").alias("a"), F.max("form").alias("b"), F.expr("bit_xor(form)").alias("x"), F.count("*").alias("n")).where("a < b"))
-    c = met.where("n = 3").withColumn("c", F.expr("a ^ b ^ x"))
+    forms = cut(forms.select("form", "codes", F.monotonically_increasing_id().alias("f"), F.size("codes").alias("n"), half(0).alias("s1"), half(1).alias("s2")))
+    ranks = forms.sparkSession.sparkContext.broadcast(word_ranks(forms))
+    keys = forms.select("f", "codes").mapInArrow(_keys(ranks, num, den), "v long, key long")
+    met = keys.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.expr("bit_xor(v)").alias("x"), F.count("*").alias("times"), F.expr("bit_or(v & 3)").alias("roles"))
+    met = cut(met.where("a < b and roles = 3").drop("roles"))
+    crowded, hot = (forms.sparkSession.sparkContext.broadcast(_bitmap(met.where(F.col("times") > t).select("key"))) for t in (3, HOT))
+    many = cut(forms.select("f", "codes", "n", "s1", "s2").mapInArrow(_crowded_keys(ranks, num, den, crowded, hot), "v long, key long, n int, s1 long, s2 long"))
+    # the words by which two texts differ flip at least as many words' parities as parities differ
+    apart = f"bit_count(a.s1 ^ b.s1) + bit_count(a.s2 ^ b.s2) <= 2 * (greatest(a.n, b.n) - ceil(greatest(a.n, b.n) * {num} / {den})) and least(a.n, b.n) * {den} >= greatest(a.n, b.n) * {num}"
+    crowd = many.alias("a").join(many.alias("b"), F.expr(f"a.key = b.key and a.v < b.v and (((a.v & 1) > 0 and (b.v & 2) > 0) or ((a.v & 2) > 0 and (b.v & 1) > 0)) and {apart}"))
+    crowd = crowd.select(F.col("a.v").alias("a"), F.col("b.v").alias("b"))
+    c = met.where("times = 3").withColumn("c", F.expr("a ^ b ^ x"))
     third = c.select("a", F.col("c").alias("b")).unionByName(c.select(F.col("c").alias("a"), "b"))
-    many = cut(keys.join(met.where("n > 3").select("key"), "key", "left_semi"))
-    crowd = many.withColumnRenamed("form", "a").join(many.withColumnRenamed("form", "b"), "key").where("a < b").select("a", "b")
-    pairs = met.select("a", "b").unionByName(third).unionByName(crowd).where("a < b").distinct()
-    sided = pairs.join(forms.select(F.col("form").alias("a"), F.col("codes").alias("a_codes")), "a").join(forms.select(F.col("form").alias("b"), F.col("codes").alias("b_codes")), "b")
-    near = sided.where(F.least(F.size("a_codes"), F.size("b_codes")) * den >= F.greatest(F.size("a_codes"), F.size("b_codes")) * num)
-    counted = near.withColumn("longer", F.greatest(F.size("a_codes"), F.size("b_codes"))).mapInArrow(_shared, "a long, b long, longer int, shared int")
-    return cut(counted.where(f"shared * {den} >= longer * {num}").select("a", "b"))
+    number = lambda df: df.select(F.shiftright("a", 2).alias("a"), F.shiftright("b", 2).alias("b")).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).where("x < y").distinct()
+    sketch = forms.select("f", "n", "s1", "s2")
+    few = number(met.where("times < 4").select("a", "b").unionByName(third))
+    few = few.join(sketch.alias("a"), F.col("x") == F.col("a.f")).join(sketch.alias("b"), F.col("y") == F.col("b.f")).where(F.expr(apart)).select("x", "y")
+    pairs = few.unionByName(number(crowd)).distinct()
+    sided = pairs.join(forms.select(F.col("f").alias("x"), F.col("codes").alias("a_codes"), F.col("form").alias("a")), "x")
+    sided = sided.join(forms.select(F.col("f").alias("y"), F.col("codes").alias("b_codes"), F.col("form").alias("b")), "y")
+    sided = sided.select("a", "b", "a_codes", "b_codes", F.greatest(F.size("a_codes"), F.size("b_codes")).alias("longer"))
+    return cut(sided.mapInArrow(_shared, "a long, b long, longer int, shared int").where(f"shared * {den} >= longer * {num}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
 def content_pairs(base: DataFrame, near: DataFrame) -> DataFrame:
