@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical, consensus, encoding, fuzzy, mixing, spans, tokens
+from . import canonical, consensus, encoding, fuzzy, mixing, sentences, spans, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,13 @@ def p1_agreement(spark: SparkSession, folder: str) -> DataFrame:
     return consensus.agreement(annotation(spark, folder))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    quotes = table(spark, folder, "quote_candidates", "quote_id", "text")
+    known = table(spark, folder, "merger_patterns").where("pattern_key in ('abbreviations_before_period', 'speaker_titles')")
+    model = sentences.train(quotes, "text", [r.entry.lower() for r in known.select("entry").limit(1000).collect()])
+    return sentences.sentence_starts(quotes, "quote_id", "text", model)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return fuzzy.near_pairs(quotations(spark, folder), "id", "text").select(F.col("lo").alias("quote_lo"), F.col("hi").alias("quote_hi"))
 
