@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical, consensus, encoding, fuzzy, mixing, sentences, spans, tokens
+from . import canonical, consensus, encoding, fuzzy, mixing, names, sentences, spans, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,26 @@ def p1_agreement(spark: SparkSession, folder: str) -> DataFrame:
     return consensus.agreement(annotation(spark, folder))
 
 
+def _names(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Every name of the three fields, and the listed titles and pronouns."""
+    fields = (("quote_candidates", "speaker"), ("gold_attributions", "gold_speaker"), ("entity_names", "name"))
+    first, *more = (table(spark, folder, t, c).toDF("name") for t, c in fields)
+    listed = {"titles": [], "pronouns": []}
+    for r in table(spark, folder, "merger_patterns").where("pattern_key in ('speaker_titles', 'pronoun_speakers')").limit(1000).collect():
+        listed["titles" if r.pattern_key == "speaker_titles" else "pronouns"].append(r.entry)
+    return first.unionByName(more[0]).unionByName(more[1]), listed
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    found, listed = _names(spark, folder)
+    return names.name_pairs(found, "name", **listed).select(F.col("lo").alias("name_lo"), F.col("hi").alias("name_hi"))
+
+
+def p2_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    found, listed = _names(spark, folder)
+    return names.name_clusters(found, "name", **listed)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     quotes = table(spark, folder, "quote_candidates", "quote_id", "text")
     known = table(spark, folder, "merger_patterns").where("pattern_key in ('abbreviations_before_period', 'speaker_titles')")
