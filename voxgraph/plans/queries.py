@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import skewed
+from . import network, scores, skewed, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (skewed,)
+PARTS = (network, texts, scores, skewed)
 
 
 def queries() -> dict[str, Query]:
