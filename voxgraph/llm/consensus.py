@@ -68,13 +68,13 @@ def consensus(votes: DataFrame, pooled: tuple[str, ...] = ("qid",), rounds: int
         sens, fall = hit("p_hit", "p_all"), hit("q_hit", "q_all")
         ratio = F.when(F.col("v") == 1, F.log(sens / fall)).otherwise(F.log((1 - sens) / (1 - fall)))
         met = met.withColumn("ratio", ratio)
-        base = rates.groupBy("field", "grp").agg((F.sum("p_all") / (F.sum("p_all") + F.sum("q_all"))).alias("base"))
+        base = rates.groupBy("field", "grp").agg(((F.sum("p_all") + 0.5) / (F.sum("p_all") + F.sum("q_all") + 1)).alias("base"))
         total = met.groupBy("field", "item", "cls", "grp", "votes", "all_votes").agg(F.sum("ratio").alias("sum_ratio"))
         scored = total.join(base, ["field", "grp"]).withColumn("log_odds", F.col("sum_ratio") + F.log(F.col("base") / (1 - F.col("base"))))
         back = met.join(scored.select("field", "item", "cls", "log_odds"), ["field", "item", "cls"])
         cavity = 1 / (1 + F.exp(F.least(F.lit(50.0), F.greatest(F.lit(-50.0), F.col("ratio") - F.col("log_odds")))))
         new = cut(_rates(back.withColumn("p", cavity)))
-        moved = new.alias("n").join(rates.alias("o"), ["field", "grp", "annotator"]).agg(F.max(F.greatest(F.abs(F.col("n.p_hit") / F.col("n.p_all") - F.col("o.p_hit") / F.col("o.p_all")), F.lit(0.0)))).first()[0]
+        moved = new.alias("n").join(rates.alias("o"), ["field", "grp", "annotator"]).agg(F.max(F.abs((F.col("n.p_hit") + 1) / (F.col("n.p_all") + 2) - (F.col("o.p_hit") + 1) / (F.col("o.p_all") + 2)))).first()[0]
         rates = new
         if moved is None or moved < tolerance:
             break

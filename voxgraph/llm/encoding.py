@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import pyarrow as pa
 import regex
@@ -144,6 +145,13 @@ def _letter_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in columns], ["form", "original", "chain", "kase"])
 
 
+def _lost_forms(word: str, mark: str) -> list[str]:
+    """The word with its non-ASCII characters replaced: all of them, and, as damage may be partial, any subset of up to four or else each one."""
+    at = [i for i, c in enumerate(word) if c > "\x7f"]
+    sets = [s for k in range(1, len(at) + 1) for s in combinations(at, k)] if len(at) <= 4 else [tuple(at), *((i,) for i in at)]
+    return ["".join(mark if i in s else c for i, c in enumerate(word)) for s in map(set, sets)]
+
+
 def _word_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Garbled forms of whole words, with the word's frequency."""
     for batch in batches:
@@ -157,8 +165,8 @@ def _word_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if g != word:
                     rows += [(f(g), f(word), f"{e}>{d}", k, n) for k, f in CASES.items()]
             low = word.lower()
-            rows.append((regex.sub(r"[^\x00-\x7f]", "?", low), low, "ascii>?", "as_is", n))
-            rows.append((regex.sub(r"[^\x00-\x7f]", "�", low), low, "latin-1>utf-8", "as_is", n))
+            for chain, mark in (("ascii>?", "?"), ("latin-1>utf-8", "�")):
+                rows += [(form, low, chain, "as_is", n) for form in _lost_forms(low, mark)]
         *columns, n = zip(*rows) if rows else ((), (), (), (), ())
         yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in columns), pa.array(n, pa.int64())], ["form", "original", "chain", "kase", "n"])
 
