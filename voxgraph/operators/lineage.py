@@ -26,6 +26,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes the table of a DataFrame that cut() gave and that no plan needs any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for file in df.inputFiles()[:1]:
+        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if path.getName().startswith("cut-"):
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written as Parquet into the shared folder and read back: its plan starts from that table."""
     spark = df.sparkSession

@@ -146,16 +146,18 @@ def row_groups(spark: SparkSession, path: str) -> DataFrame:
 
 def html_files(spark: SparkSession, path: str) -> DataFrame:
     """(article_id, html) of files <id>.html.gz below a folder."""
-    import gzip
 
-    import pandas as pd
+    def unzip(batches: Iterator) -> Iterator:
+        import gzip
 
-    @F.pandas_udf("string")
-    def unzip(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: gzip.decompress(b).decode("utf-8", "replace"))
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [gzip.decompress(b).decode("utf-8", "replace") for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["article_id", "html"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html.gz").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)\.html\.gz$", 1).alias("article_id"), unzip("content").alias("html"))
+    return files.select(F.regexp_extract("path", r"([^/]+)\.html\.gz$", 1).alias("article_id"), "content").mapInArrow(unzip, "article_id string, html string")
 
 
 def write_annotations(records: DataFrame, path: str) -> None:
