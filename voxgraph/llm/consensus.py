@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.lineage import cut
+from ..operators.lineage import cut, drop
 
 #: Pseudo-votes of the prior that keep an annotator's rates off 0 and 1.
 PRIOR_HITS, PRIOR_ALL = 2.0, 4.0
@@ -42,42 +42,53 @@ def _rates(edges: DataFrame) -> DataFrame:
     )
 
 
-def consensus(votes: DataFrame, pooled: tuple[str, ...] = ("qid",), rounds: int = 12, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
-    """Scores (field, item, label, votes, all_votes, log_odds) of every label given to an item, and annotators' rates.
+def consensus(votes: DataFrame, pooled: tuple[str, ...] = ("qid",), rounds: int = 10, tolerance: float = 0.02) -> tuple[DataFrame, DataFrame]:
+    """Scores (field, item, label, votes, all_votes, log_odds) of the labels of each item, and annotators' rates.
 
-    votes: item, annotator, field, label, one vote per item, annotator and field. Every label of an item is a binary
-    question, this class against the rest. An item sends each of its annotators the class's probability by all its
+    votes: item, annotator, field, label, one vote per item, annotator and field. Every label is a binary question about
+    an item, this class against the rest: in pooled fields the labels given to the item, elsewhere all labels of the
+    field, which should be few, as what nobody said counts too where annotators are known to mislead. An item sends each of its annotators the class's probability by all its
     other annotators; an annotator sends each of its items the likelihood ratio of its vote, from how often it named the
     class where the class was probable and where not, over all its other items. In pooled fields the rates hold for all
     classes together, elsewhere class by class, so that one who always gives the same label, or the contrary, gets the
-    weight this deserves. Stops after `rounds` or when no rate changes by more than `tolerance`. Groups are combined
-    map-side and met by equi-joins; only the annotators' rates are carried from round to round.
+    weight this deserves. Stops after `rounds` or when no message changes by more than `tolerance`. Groups are combined
+    map-side and met by equi-joins; each round's messages replace the last one's in the shared folder.
     """
     per_label = votes.groupBy("field", "item", "label").agg(F.count("*").alias("votes"))
     per_item = per_label.groupBy("field", "item").agg(F.sum("votes").alias("all_votes"))
-    classes = per_label.join(per_item, ["field", "item"]).withColumnRenamed("label", "cls")
+    is_pooled = F.col("field").isin(*pooled)
+    given = per_label.where(is_pooled).join(per_item, ["field", "item"])
+    known = per_label.where(~is_pooled).select("field", "label").distinct()
+    asked = per_item.where(~is_pooled).join(known, "field").join(per_label, ["field", "item", "label"], "left").na.fill(0, ["votes"])
+    classes = given.unionByName(asked).withColumnRenamed("label", "cls")
     edges = votes.join(classes, ["field", "item"]).withColumn("v", (F.col("label") == F.col("cls")).cast("int"))
     edges = cut(edges.withColumn("grp", F.when(F.col("field").isin(*pooled), F.lit("*")).otherwise(F.col("cls"))).drop("label"))
     others = F.when(F.col("all_votes") > 1, (F.col("votes") - F.col("v")) / (F.col("all_votes") - 1)).otherwise(0.5)
-    rates = cut(_rates(edges.withColumn("p", others)))
-    scored = None
+    edges, old, scored = cut(edges.withColumn("p", others)), None, None
+    keys = ["field", "item", "cls", "grp", "annotator", "v", "votes", "all_votes"]
     for _ in range(rounds):
+        rates = cut(_rates(edges))
         met = edges.join(rates, ["field", "grp", "annotator"])
-        # what the edge itself gave to its annotator's counts is taken out again, with its present estimate
-        hit = lambda h, a: (F.col(h) + PRIOR_HITS * (1 if h == "p_hit" else 0.5)) / (F.col(a) + PRIOR_ALL * (0.75 if h == "p_hit" else 1))
-        sens, fall = hit("p_hit", "p_all"), hit("q_hit", "q_all")
-        ratio = F.when(F.col("v") == 1, F.log(sens / fall)).otherwise(F.log((1 - sens) / (1 - fall)))
-        met = met.withColumn("ratio", ratio)
+        # the annotator's counts without what this edge gave to them, so that a vote doesn't vouch for itself
+        p, q, v = F.col("p"), 1 - F.col("p"), F.col("v")
+        sens = (F.col("p_hit") - p * v + PRIOR_HITS) / (F.col("p_all") - p + PRIOR_ALL * 0.75)
+        fall = (F.col("q_hit") - q * v + PRIOR_HITS * 0.25) / (F.col("q_all") - q + PRIOR_ALL)
+        sure = lambda x: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), x))
+        ratio = F.when(v == 1, F.log(sure(sens) / sure(fall))).otherwise(F.log((1 - sure(sens)) / (1 - sure(fall))))
+        met = met.select(*keys, "p", ratio.alias("ratio"))
         base = rates.groupBy("field", "grp").agg(((F.sum("p_all") + 0.5) / (F.sum("p_all") + F.sum("q_all") + 1)).alias("base"))
         total = met.groupBy("field", "item", "cls", "grp", "votes", "all_votes").agg(F.sum("ratio").alias("sum_ratio"))
         scored = total.join(base, ["field", "grp"]).withColumn("log_odds", F.col("sum_ratio") + F.log(F.col("base") / (1 - F.col("base"))))
         back = met.join(scored.select("field", "item", "cls", "log_odds"), ["field", "item", "cls"])
         cavity = 1 / (1 + F.exp(F.least(F.lit(50.0), F.greatest(F.lit(-50.0), F.col("ratio") - F.col("log_odds")))))
-        new = cut(_rates(back.withColumn("p", cavity)))
-        moved = new.alias("n").join(rates.alias("o"), ["field", "grp", "annotator"]).agg(F.max(F.abs((F.col("n.p_hit") + 1) / (F.col("n.p_all") + 2) - (F.col("o.p_hit") + 1) / (F.col("o.p_all") + 2)))).first()[0]
-        rates = new
+        if old is not None:
+            drop(old)
+        old, edges = edges, cut(back.select(*keys, F.col("p").alias("before"), cavity.alias("p")))
+        moved = edges.agg(F.max(F.abs(F.col("p") - F.col("before")))).first()[0]
+        edges = edges.drop("before")
         if moved is None or moved < tolerance:
             break
+    rates = _rates(edges)
     scored = scored if scored is not None else classes.withColumn("log_odds", F.lit(None).cast("double"))
     return scored.select("field", "item", F.col("cls").alias("label"), "votes", "all_votes", "log_odds"), rates
 
@@ -108,15 +119,18 @@ def annotation_labels(saves: DataFrame, **options) -> DataFrame:
 def annotator_reliability(saves: DataFrame, **options) -> DataFrame:
     """One row (annotator, field, labels, hit_rate, false_rate, reliability) per annotator and field.
 
-    hit_rate: soft share of true classes it named; false_rate: of untrue classes it named nevertheless; both over the
-    classes it could have named. reliability is their difference: 1 perfect, 0 no information, below 0 misleading.
+    hit_rate: soft share of a class's items for which the annotator named it; false_rate: of the other items; both as the
+    mean over classes, weighted by the class's share. reliability is their difference: 1 perfect, 0 no information (as
+    always the same label), below 0 misleading.
     """
     votes = final_votes(saves)
     _, rates = consensus(votes, **options)
-    sums = rates.groupBy("annotator", "field").agg(*(F.sum(c).alias(c) for c in ("p_all", "p_hit", "q_all", "q_hit")))
-    hit, false = F.expr("try_divide(p_hit, p_all)"), F.coalesce(F.expr("try_divide(q_hit, q_all)"), F.lit(0.0))
+    div = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    part = rates.withColumn("h", div("p_hit", "p_all")).withColumn("f", div("q_hit", "q_all"))
+    mean = lambda c: F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("p_all")), F.sum("p_all")), F.lit(0.0))
+    sums = part.groupBy("annotator", "field").agg(mean("h").alias("hit_rate"), mean("f").alias("false_rate"))
     n = votes.groupBy("annotator", "field").agg(F.count("*").alias("labels"))
-    return sums.join(n, ["annotator", "field"]).select("annotator", "field", "labels", hit.alias("hit_rate"), false.alias("false_rate"), (hit - false).alias("reliability"))
+    return sums.join(n, ["annotator", "field"]).select("annotator", "field", "labels", "hit_rate", "false_rate", (F.col("hit_rate") - F.col("false_rate")).alias("reliability"))
 
 
 def agreement(saves: DataFrame) -> DataFrame:
