@@ -86,3 +86,17 @@ def test_top_speaker(spark):
     df = spark.createDataFrame(rows, "n string, p array<struct<speaker string, qid string, probability double>>")
     got = [tuple(r.x) for r in df.select(nested.top_speaker(F.col("n"), F.col("p")).alias("x")).collect()]
     assert got == [("A", "Q2", 0.5), ("A", "Q1", 0.5), ("C", None, 0.0)]
+
+
+def test_dump_text(spark):
+    from voxgraph.functions import dump
+
+    x = "`` They do n't like the world 's '' , he said ( twice ) . var a = escape ( 'x' ) ; < br /> hello''x Share this: foo"
+    assert one(spark, dump.clean_dump(F.col("a")), a=x) == "“They don't like the world”'s, he said (twice). hello” x"
+    assert one(spark, dump.clean_dump(F.col("a")), a=" ") == "" and one(spark, dump.clean_dump(F.col("a")), a=None) == ""
+    assert one(spark, F.array_join(dump.split_punctuation(F.split("a", " ")), " "), a="(Mr. Lee, [MASK] Bob's boys' end.") == "Lee , [MASK] Bob 's boys ' end ."
+    assert one(spark, dump.canonical_candidate(F.col("a")), a=" Britain 's Prime Minister Gordon Brown, who ") == "Gordon Brown"
+    assert one(spark, dump.canonical_candidate(F.col("a")), a="Labour leader Ed Miliband") == "Ed Miliband"
+    assert one(spark, F.array_join(dump.speaker_candidates(F.col("a"), ["he"]), "|"), a="He met Mr. Ann Lee and Ann Lee. The end") == "Mr. Ann Lee|Ann Lee"
+    assert one(spark, dump.is_name_smash(F.col("a"), F.col("b")), a="Beyonc?s", b="Beyoncés") is True and one(spark, dump.is_name_smash(F.col("a"), F.col("b")), a="caf?", b="café") is False
+    assert one(spark, dump.encoding_match(F.col("a"), F.col("b")), a="CAFÉ", b="café") is True and one(spark, dump.encoding_match(F.col("a"), F.col("b")), a="cafÃ©", b="café") is False

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dump import dev_bucket
 from ..functions.text import PHASES, phase_of_date
 from ..functions.urls import registered_domain
 from ..operators import analytics, entities, graph, merge, quotes
@@ -197,6 +198,16 @@ def pair_decisions(spark: SparkSession, folder: str) -> DataFrame:
     return _merged(spark, folder)[1].select("article_id", "idx", "quote_id", "next_quote_id", "merge", "left_role", "right_role", "continuity", "reason")
 
 
+def dev_set(spark: SparkSession, folder: str) -> DataFrame:
+    """A balanced draw of pairs: 100 each of merged, unmerged and bridge-only, 200 undecided."""
+    d = _merged(spark, folder)[1]
+    m = quote_rows(spark, folder).groupBy("quote_id").agg(F.min("mentioned_entities").alias("m"))
+    rows = d.join(m.select("quote_id", F.col("m").alias("l")), "quote_id", "left").join(m.select(F.col("quote_id").alias("next_quote_id"), F.col("m").alias("r")), "next_quote_id", "left")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("bucket", dev_bucket(F.col("merge"), F.col("reason"), none, F.col("l"), F.col("r"))).withColumn("key", F.concat_ws("-", "quote_id", "next_quote_id"))
+    return analytics.quota_sample(rows, "bucket", "key", {"hard_merge": 100, "hard_no_merge": 100, "ambiguous": 200, "bridge_only": 100}, "11").select("key", "bucket", "merge", "reason")
+
+
 def merge_blocks(spark: SparkSession, folder: str) -> DataFrame:
     b, d = _merged(spark, folder)
     texts, roles = merge.block_texts(b, "article_id"), merge.block_roles(b, d, "article_id")
@@ -238,7 +249,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         opened_spans, mark_spans, unmatched_marks, bridges, edge_build, edge_build_filtered, edges_self_removed_window, edges_self_removed_anti, mention_list_filter, quote_outlet_counts, unique_quote_ids, articles_of_graph, yearly_sample, phase_reservoir, phase_topk,
-        uniform_sample, quota_sample, damaged_first_sample, row_group_chunks, redirects_resolved, pagerank, gazetteer_phases, ngram_hits, entity_mentions, masked_texts, introduced_names, linked_mentions, pair_decisions, merge_blocks, split_recovery, candidate_spans, speaker_runs,
+        uniform_sample, quota_sample, damaged_first_sample, row_group_chunks, redirects_resolved, pagerank, gazetteer_phases, ngram_hits, entity_mentions, masked_texts, introduced_names, linked_mentions, pair_decisions, dev_set, merge_blocks, split_recovery, candidate_spans, speaker_runs,
         attribution_argmax, mention_union,
     )
 }

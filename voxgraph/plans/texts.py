@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import nested, text, urls
+from ..functions import dump, nested, text, urls
 from ..operators.annotation import text_hash
 from ..operators.merge import PRONOUNS, TITLES
 from ..sources.readers import html_text, is_html, ptb_tokens
@@ -102,7 +102,27 @@ def html_as_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", is_html(F.lit(None).cast("string"), page).alias("is_html"), html_text(page).alias("plain"), F.size(ptb_tokens(html_text(page))).alias("n_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (phase_texts, phase_a_text, phase_of_articles, token_profile, token_rewrites, speaker_forms, fold_keys, url_parts, url_variants, domains_per_phase, text_hashes, answers_normal, marked_spans_text, json_projection, html_as_tokens)}
+def cleaned_dump(spark: SparkSession, folder: str) -> DataFrame:
+    a = table(spark, folder, "articles", "article_id", "detokenized_content").where("detokenized_content is not null")
+    x = F.col("detokenized_content")
+    return a.select("article_id", dump.clean_dump(x).alias("clean"), F.size(dump.split_punctuation(text.blank_tokens(x))).alias("n_tokens"))
+
+
+def speaker_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    g = table(spark, folder, "gold_attributions", "paragraph_id", "quote_index", "left_context", "right_context", "gold_speaker")
+    c = dump.speaker_candidates(F.concat_ws(" ", "left_context", "right_context"), PRONOUNS)
+    return g.select("paragraph_id", "quote_index", F.array_join(c, "|").alias("candidates"), dump.canonical_candidate(F.coalesce("gold_speaker", F.lit(""))).alias("canonical_gold"))
+
+
+def encoding_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of texts that split alike, damaged against clean: matches and smashed names by phase."""
+    a = table(spark, folder, "articles", "phase", "text", "detokenized_content").where("text is not null and detokenized_content is not null").distinct()
+    a = a.select("phase", text.blank_tokens(F.col("text")).alias("g"), text.blank_tokens(F.col("detokenized_content")).alias("d")).where("size(g) = size(d)")
+    w = a.select("phase", F.explode(F.arrays_zip("g", "d")).alias("w")).select("phase", "w.g", "w.d")
+    return w.groupBy("phase").agg(F.count("*").alias("n"), F.count_if(dump.encoding_match(F.col("d"), F.col("g"))).alias("matches"), F.count_if(dump.is_name_smash(F.col("d"), F.col("g"))).alias("smashed"))
+
+
+QUERIES = {f.__name__: f for f in (phase_texts, phase_a_text, phase_of_articles, token_profile, token_rewrites, speaker_forms, fold_keys, url_parts, url_variants, domains_per_phase, text_hashes, answers_normal, marked_spans_text, json_projection, html_as_tokens, cleaned_dump, speaker_candidates, encoding_scores)}
 
 _BLANKS = r"[\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _WORD = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}]+"
@@ -148,5 +168,10 @@ SQL = {
     "marked_spans_text": """
       with g as (select paragraph_id, quote_index, list_filter(string_split(coalesce(left_context, ''), ' '), lambda w: w <> '') l, list_filter(string_split(coalesce(target_quote, ''), ' '), lambda w: w <> '') t from gold_attributions)
       select paragraph_id, quote_index, array_to_string(list_concat(list_concat(list_concat(l, ['<<']), t), ['>>']), ' ') as marked from g""",
+    "encoding_scores": r"""
+      with a as (select distinct phase, text, detokenized_content d from articles where text is not null and d is not null), b as (select phase, string_split(text, ' ') g, string_split(d, ' ') d from a), w as (select phase, unnest(g) g, unnest(d) d from b where len(g) = len(d)),
+      k as (select *, lower(regexp_replace(d, '[^A-Za-z0-9]', '', 'g')) fd, lower(regexp_replace(g, '[^A-Za-z0-9]', '', 'g')) fg, regexp_matches(d, '[ÃÂâ]') or regexp_matches(d, '^€[œ˜™]') or regexp_matches(d, '^€\p{L}') bad from w)
+      select phase, count(*) as n, count(*) filter (not bad and (lower(d) = lower(g) or (fd = fg and fd <> ''))) as matches,
+        count(*) filter (contains(d, '?') and not contains(g, '?') and not (d like '%?' and length(d) - length(replace(d, '?', '')) = 1) and fd = fg and regexp_matches(g, '[^\x00-\x7F]')) as smashed from k group by phase""",
     "json_projection": "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events",
 }
