@@ -64,8 +64,12 @@ _CYRILLIC = regex.compile("[Ѐ-ӿ]{2,}")
 _HIGH = regex.compile(rf"(?<![A-Za-zÀ-ÿ]){LATIN}{{2,}}(?![A-Za-zÀ-ÿ])")
 _PAIRS = regex.compile("(?:[\xa1-\xf7][\xa1-\xfe]){3,}")
 _ASKED = regex.compile(r"[\p{L}’'-]*(?:\p{L}\?(?=\p{L})|(?<![\S])\?(?=\p{L}))[\p{L}’'?-]*\p{L}")
-#: A blank that came between the two characters of a unit.
-_SPLIT = {"as_is": regex.compile("(?<![A-ZÀ-Þ])[ÃÂ] [\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"), "lower": regex.compile("[ãâ] [©£°¼½¾±²³µ¶¸¹º¤¥¦§¨ª¬®¯´]"), "upper": regex.compile("[ÃÂ] [©£°¼½¾±²³µ¶¸¹º¤¥¦§¨ª¬®¯´]")}
+#: Blanks that came between the characters of a unit; what may stand alone after a letter counts only where no capital is before.
+_ODD, _REST = "[©£°¼½¾±²³µ¶¸¹º¤¥¦§¨ª¬®¯´ƒ†‡ˆ‰‹›]", "[\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
+_THREE = f"â(?: [€‚] ?| ?[€‚] ){_REST}"
+_SPLIT = {"as_is": regex.compile(f"{_THREE}|(?<![A-ZÀ-Þ])[ÃÂ] {_REST}|[ÃÂ] {_ODD}"), "lower": regex.compile(f"{_THREE}|[ãâ] {_ODD}"), "upper": regex.compile(f"Â(?: [€‚] ?| ?[€‚] ){_REST}|[ÃÂ] {_ODD}")}
+#: Double-byte punctuation read byte by byte.
+_PUNCTUATION_PAIR = regex.compile("¡[¤¥¦§¨ª®¯°±²³´µ¶·¸¹]")
 _LOST = regex.compile(r"[\p{L}’'-]*�[\p{L}’'�-]*")
 
 
@@ -185,8 +189,8 @@ def forms(corpus: DataFrame, text: str) -> DataFrame:
     letters = letters.where("c <> ''").select("c")
     char_forms = letters.mapInArrow(_letter_forms, "form string, original string, chain string, kase string").where("form <> original").distinct()
     # words of alphabets whose letters one byte can hold
-    pattern = r"[\p{IsLatin}\p{IsCyrillic}’']*[\p{IsLatin}\p{IsCyrillic}’&&[^\x00-\x7f]][\p{IsLatin}\p{IsCyrillic}’']*"
-    found = some.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(pattern), F.lit(0)))).alias("w"))
+    words = F.regexp_extract_all("t", F.lit(r"[\p{IsLatin}\p{IsCyrillic}’']+"), F.lit(0))
+    found = some.select(F.explode(F.array_distinct(F.filter(words, lambda w: w.rlike(r"[^\x00-\x7f]")))).alias("w")).where("w <> '’'")
     counted = cut(found.where(F.length("w").between(2, 40)).groupBy("w").agg(F.count("*").alias("n")))
     word_forms = counted.mapInArrow(_word_forms, "form string, original string, chain string, kase string, n long")
     one = word_forms.groupBy("form", "chain", "kase").agg(F.max(F.struct("n", "original")).alias("m")).select("form", "m.original", "chain", "kase", "m.n")
@@ -195,11 +199,14 @@ def forms(corpus: DataFrame, text: str) -> DataFrame:
 
 
 def _look_alikes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records' look-alikes, and a row of family sign where a text has what no clean one has: U+FFFD, C1 controls, halved punctuation, question marks inside words."""
     for batch in batches:
         rows = []
         texts = batch.column(batch.num_columns - 1).to_pylist()
         for row, text in enumerate(texts):
             seen = {(token, family, weak) for _, _, token, family, weak in tokens(text)}
+            if "�" in text or CONTROLS.search(text) is not None or _PUNCTUATION_PAIR.search(text) is not None or ("?" in text and strong_questions(text) > 0):
+                seen.add(("", "sign", False))
             rows += [(row, token, family, weak) for token, family, weak in sorted(seen)]
         at, token, family, weak = zip(*rows) if rows else ((), (), (), ())
         ids = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:-1]]
@@ -209,15 +216,6 @@ def _look_alikes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _FAMILY = "case when chain like 'utf-8>%' then 'unit' when chain = 'ascii>?' then 'asked' when chain = 'latin-1>utf-8' then 'lost' when chain like '%>latin-1' then 'pair' else 'word' end"
 
 
-def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records with what no clean text has: U+FFFD, C1 controls, question marks inside words."""
-    for batch in batches:
-        keep = []
-        for text in batch.column(batch.num_columns - 1).to_pylist():
-            keep.append("�" in text or CONTROLS.search(text) is not None or ("?" in text and strong_questions(text) > 0))
-        yield batch.filter(pa.array(keep, pa.bool_())).select(batch.schema.names[:-1])
-
-
 def _distinct_texts(records: DataFrame, keys: list[str], text: str) -> DataFrame:
     return records.where(F.col(text).isNotNull() & (F.col(text).rlike(r"[^\x00-\x7f]") | F.col(text).contains("?"))).select(*keys, F.col(text).alias("text"))
 
@@ -248,11 +246,11 @@ def damaged(records: DataFrame, keys: list[str], text: str, table: DataFrame) ->
     of = lambda c: F.sum(F.when(c, 1).otherwise(0))
     hit = F.col("hit") == 1
     sums = met.groupBy(*keys).agg(
-        of(hit & F.col("family").isin("unit", "asked", "lost") & ~F.col("weak")).alias("strong"), of(hit & F.col("weak")).alias("weak"),
+        of(hit & F.col("family").isin("unit", "asked", "lost") & ~F.col("weak")).alias("strong"), of(hit & F.col("weak")).alias("weak"), of(F.col("family") == "sign").alias("sign"),
         *(of(hit & (F.col("family") == f)).alias(f) for f in ("word", "pair")), *(of(F.col("family") == f).alias(f"all_{f}") for f in ("word", "pair")),
     )
-    by_table = sums.where("strong > 0 or weak >= 3 or (word >= 3 and 2 * word >= all_word) or (pair >= 3 and 2 * pair >= all_pair)").select(*keys)
-    return by_table.unionByName(some.mapInArrow(_signs, kinds)).where(" and ".join(f"`{k}` is not null" for k in keys)).distinct()
+    known = " and ".join(f"`{k}` is not null" for k in keys)
+    return sums.where(known).where("sign > 0 or strong > 0 or weak >= 3 or (word >= 3 and 2 * word >= all_word) or (pair >= 3 and 2 * pair >= all_pair)").select(*keys)
 
 
 def _turned(text: str, chain: str) -> str:
