@@ -48,7 +48,7 @@ def word_codes(text: Column) -> Column:
 def word_ranks(forms: DataFrame) -> np.ndarray:
     """For each hash bucket of words the binary logarithm of its frequency over all texts: BUCKETS bytes."""
     counted = forms.select(F.explode("codes").alias("c")).groupBy((F.col("c") % BUCKETS).alias("b")).agg(F.count("*").alias("n"))
-    found = counted.select("b", F.ceil(F.log2("n") * 8).cast("int").alias("r")).toPandas()
+    found = counted.select("b", F.ceil(F.log2("n") * 8).cast("int").alias("r")).toArrow()
     ranks = np.zeros(BUCKETS, np.uint16)
     ranks[found["b"].to_numpy()] = found["r"].to_numpy()
     return ranks
@@ -193,7 +193,7 @@ def _crowded_keys(ranks, num: int, den: int, crowded, hot):
 def _bitmap(hot: DataFrame) -> np.ndarray:
     """A bit for each hash of a hot key: BITMAP bits, however many keys there are."""
     h = hot.select((F.col("key").bitwiseAND(F.lit(BITMAP - 1))).alias("h"))
-    words_ = h.groupBy(F.shiftright("h", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("b")).toPandas()
+    words_ = h.groupBy(F.shiftright("h", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("b")).toArrow()
     bits = np.zeros(BITMAP >> 6, np.int64)
     bits[words_["w"].to_numpy()] = words_["b"].to_numpy()
     return bits
