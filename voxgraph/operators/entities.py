@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import phase_text
+from .lineage import cut
 
 #: Parts a token key's tokens; no token has it.
 SEP = "\u0001"
@@ -99,7 +100,7 @@ def partial_matches(texts: DataFrame, id_col: str, tokens: str, full: DataFrame,
 
 def entities_with_offsets(texts: DataFrame, id_col: str, tokens: str, names: DataFrame, skip: Sequence[str], longest: int) -> DataFrame:
     """Full and partial matches with kind, as (id, start_token, end_token, alias_key, qids, kind)."""
-    full = full_matches(texts, id_col, tokens, names, longest)
+    full = cut(full_matches(texts, id_col, tokens, names, longest))  # read three times below
     part = partial_matches(texts, id_col, tokens, full, skip, longest)
     return full.withColumn("kind", F.lit("full")).unionByName(part.withColumn("kind", F.lit("partial")))
 
