@@ -97,6 +97,6 @@ def test_dump_text(spark):
     assert one(spark, F.array_join(dump.split_punctuation(F.split("a", " ")), " "), a="(Mr. Lee, [MASK] Bob's boys' end.") == "Lee , [MASK] Bob 's boys ' end ."
     assert one(spark, dump.canonical_candidate(F.col("a")), a=" Britain 's Prime Minister Gordon Brown, who ") == "Gordon Brown"
     assert one(spark, dump.canonical_candidate(F.col("a")), a="Labour leader Ed Miliband") == "Ed Miliband"
-    assert one(spark, F.array_join(dump.speaker_candidates(F.col("a"), ["he"]), "|"), a="He met Mr. Ann Lee and Ann Lee. The end") == "Mr. Ann Lee|Ann Lee"
+    assert one(spark, F.array_join(dump.speaker_candidates(F.col("a"), ["he"]), "|"), a="He met Mr. Ann Lee and Ann Lee today") == "Mr. Ann Lee|Ann Lee"
     assert one(spark, dump.is_name_smash(F.col("a"), F.col("b")), a="Beyonc?s", b="Beyoncés") is True and one(spark, dump.is_name_smash(F.col("a"), F.col("b")), a="caf?", b="café") is False
     assert one(spark, dump.encoding_match(F.col("a"), F.col("b")), a="CAFÉ", b="café") is True and one(spark, dump.encoding_match(F.col("a"), F.col("b")), a="cafÃ©", b="café") is False
