@@ -10,6 +10,8 @@ from ..operators.lineage import cut, drop
 #: Pseudo-votes of the prior that keep an annotator's rates off 0 and 1.
 PRIOR_HITS, PRIOR_ALL = 2.0, 4.0
 NONE = ""
+#: Labels that a field may have without being pooled.
+MOST_LABELS = 1000
 
 
 def _tidy(label: Column) -> Column:
@@ -58,8 +60,12 @@ def consensus(votes: DataFrame, pooled: tuple[str, ...] = ("qid",), rounds: int
     per_item = per_label.groupBy("field", "item").agg(F.sum("votes").alias("all_votes"))
     is_pooled = F.col("field").isin(*pooled)
     given = per_label.where(is_pooled).join(per_item, ["field", "item"])
-    known = per_label.where(~is_pooled).select("field", "label").distinct()
-    asked = per_item.where(~is_pooled).join(known, "field").join(per_label, ["field", "item", "label"], "left").na.fill(0, ["votes"])
+    known = per_label.where(~is_pooled).select("field", "label").distinct().limit(MOST_LABELS + 1).collect()
+    if len(known) > MOST_LABELS:
+        raise ValueError(f"fields with more than {MOST_LABELS} labels must be pooled")
+    every = F.explode(F.filter(F.array(*(F.struct(F.lit(r.field).alias("f"), F.lit(r.label).alias("l")) for r in known)), lambda x: x["f"] == F.col("field"))) if known else F.explode(F.array().cast("array<struct<f string, l string>>"))
+    asked = per_item.where(~is_pooled).select("field", "item", "all_votes", every.alias("x")).select("field", "item", "all_votes", F.col("x.l").alias("label"))
+    asked = asked.join(per_label, ["field", "item", "label"], "left").na.fill(0, ["votes"])
     classes = given.unionByName(asked).withColumnRenamed("label", "cls")
     edges = votes.join(classes, ["field", "item"]).withColumn("v", (F.col("label") == F.col("cls")).cast("int"))
     edges = cut(edges.withColumn("grp", F.when(F.col("field").isin(*pooled), F.lit("*")).otherwise(F.col("cls"))).drop("label"))
