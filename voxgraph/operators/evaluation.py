@@ -53,7 +53,7 @@ def outcomes(rows: DataFrame, pronouns: Sequence[str], document: str = "document
     })
 
 
-def relaxed_correct(rows_have_outcomes: bool = True) -> Column:
+def relaxed_correct() -> Column:
     """Exact, or a pronoun whose stated referent shares a token with the gold speaker."""
     gold, referent = (alnum_tokens(F.coalesce(F.col(c), F.lit(""))) for c in ("gold_speaker", "pred_refers_to"))
     return F.col("speaker_exact") | (F.col("speaker_is_pronoun") & F.coalesce(F.arrays_overlap(gold, referent), F.lit(False)))
@@ -88,7 +88,7 @@ def missed_groups(scored: DataFrame, *keys: str) -> DataFrame:
     return g.where("not _all").drop("_all")
 
 
-def nearest_run(tags: DataFrame, document: str, wanted: Column, start: int | str, radius: int) -> DataFrame:
+def nearest_run(tags: DataFrame, document: str, wanted: Column, start: str, radius: int) -> DataFrame:
     """(document, run_start, run_end): the contiguous run of wanted tags (document, pos, tag) nearest to `start` within the radius.
 
     start: a column of the document's target position. Ties: the earlier run.

@@ -95,10 +95,9 @@ def _design(numeric: Mapping[str, Column], categories: Mapping[str, Sequence[str
 
 
 def levels(rows: DataFrame, column: str, most: int = 20) -> list[str]:
-    """The most frequent levels of a category, at most `most`; rarer ones become "other" (see lump)."""
-    top = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(most + 1)
-    found = sorted(r[0] for r in top.collect()[:most])
-    return found
+    """The most frequent levels of a category, at most `most`, sorted; rarer ones have no indicator and so share the first level's intercept."""
+    top = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(most)
+    return sorted(r[0] for r in top.collect())
 
 
 def fit(rows: DataFrame, score: str, numeric: Mapping[str, Column], categories: Mapping[str, Sequence[str]] | None = None) -> Fit:
