@@ -41,11 +41,15 @@ def article_gazetteer(names: DataFrame) -> DataFrame:
     return rows.groupBy("article_id", token_key(F.col("t")).alias("alias_key"), F.size("t").alias("n_tokens")).agg(F.array_sort(F.collect_set("qid")).alias("qids"))
 
 
+def _windows(texts: DataFrame, id_col: str, tokens: str, longest: int) -> DataFrame:
+    """(id, i, w, t): each token's place and lower case with the tokens from it on, at most `longest`; no row carries its whole text."""
+    made = F.transform(F.col(tokens), lambda w, i: F.struct(i.alias("i"), F.lower(w).alias("w"), F.slice(F.col(tokens), i + 1, longest).alias("t")))
+    return texts.select(id_col, F.explode(made).alias("x")).select(id_col, "x.i", "x.w", "x.t")
+
+
 def _grams(texts: DataFrame, id_col: str, tokens: str, longest: int, firsts: DataFrame) -> DataFrame:
     """(id, i, n, key): n-grams whose first token begins some key; the semi-join prunes before n-grams are made."""
-    rows = texts.select(id_col, F.col(tokens).alias("t"), F.posexplode(F.transform(F.col(tokens), lambda w: F.lower(w))).alias("i", "w"))
-    rows = rows.select(id_col, "i", "w", F.slice("t", F.col("i") + 1, longest).alias("t"))
-    rows = rows.join(firsts, "w", "left_semi")
+    rows = _windows(texts, id_col, tokens, longest).join(firsts, "w", "left_semi")
     sizes = F.explode(F.sequence(F.lit(1), F.size("t")))
     return rows.select(id_col, "i", "t", sizes.alias("n")).select(id_col, "i", "n", token_key(F.slice("t", F.lit(1), F.col("n"))).alias("alias_key"))
 
@@ -85,12 +89,12 @@ def partial_matches(texts: DataFrame, id_col: str, tokens: str, full: DataFrame,
     suffixes = keys.select(id_col, "alias_key", "qids", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, -k, k), SEP))).alias("suffix"))
     owned = suffixes.groupBy(id_col, "suffix").agg(F.count("*").alias("names"), F.min("alias_key").alias("full_key"), F.min_by("qids", "alias_key").alias("qids"))
     taken = full.groupBy(id_col).agg(F.collect_list(F.struct("start_token", "end_token")).alias("taken"))
-    rows = texts.join(taken, id_col).select(id_col, "taken", F.col(tokens).alias("t"), F.posexplode(F.transform(F.col(tokens), lambda w: F.lower(w))).alias("i", "w"))
     free = lambda a, b: ~F.exists("taken", lambda s: (s["start_token"] < b) & (a < s["end_token"]))
-    rows = rows.where((F.length("w") > 1) & ~F.col("w").isin([s.lower() for s in skip]) & free(F.col("i"), F.col("i") + 1))
-    sizes = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("t") - F.col("i"))))
-    grams = rows.select(id_col, "i", "t", "taken", sizes.alias("n")).where(free(F.col("i"), F.col("i") + F.col("n")))
-    grams = grams.select(id_col, "i", "n", token_key(F.slice("t", F.col("i") + 1, F.col("n"))).alias("suffix"))
+    heads = owned.select(id_col, F.element_at(F.split("suffix", SEP), 1).alias("w")).distinct()
+    rows = _windows(texts, id_col, tokens, longest).where((F.length("w") > 1) & ~F.col("w").isin([s.lower() for s in skip]))
+    rows = rows.join(heads, [id_col, "w"], "left_semi").join(taken, id_col).where(free(F.col("i"), F.col("i") + 1))
+    grams = rows.select(id_col, "i", "t", "taken", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("n")).where(free(F.col("i"), F.col("i") + F.col("n")))
+    grams = grams.select(id_col, "i", "n", token_key(F.slice("t", F.lit(1), F.col("n"))).alias("suffix"))
     met = grams.join(owned, [id_col, "suffix"])
     best = met.groupBy(id_col, "i").agg(F.min(F.when(F.col("names") > 1, F.col("n"))).alias("stop"), F.collect_list(F.struct("n", "names", "full_key", "qids")).alias("c"))
     good = F.filter("c", lambda x: (x["names"] == 1) & (F.col("stop").isNull() | (x["n"] < F.col("stop"))))
