@@ -58,3 +58,14 @@ def test_removals_and_empty(spark):
     assert spans.shared_share(df.limit(0), "doc_id", "text").count() == 0
     nulls = {r.doc_id: (r.n_chars, r.shared_chars, r.shared_share) for r in spans.shared_share(df, "doc_id", "text").collect()}
     assert nulls[900] == (None, 0, 0.0)
+
+
+def test_all_pairs_of_common_passages(spark):
+    rows = corpus(6)
+    pairs, _ = brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for whole in (0, 5):
+        got = [(r.lo, r.hi) for r in spans.shared_runs(df, "doc_id", "text", whole=whole)[0].collect()]
+        assert len(got) == len(set(got)) and set(got) == pairs, whole
+    clusters = lambda whole: {tuple(r) for r in spans.removal_clusters(df, "doc_id", "text", whole=whole).collect()}
+    assert clusters(0) == clusters(1000)

@@ -125,14 +125,24 @@ def hash_window(text: str) -> bytes:
     return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
 
 
-def shared_runs(df: DataFrame, id_col: str, text: str, min_len: int = 200, shingle: int | None = None, whole: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Pairs (lo, hi) of documents with a run of at least min_len equal characters, and spans (doc, start, end) of such runs.
+def _window_pairs(windows: DataFrame, block: int) -> DataFrame:
+    """All pairs (lo, hi) of documents that hold one window.
 
-    The spans of a document cover exactly its characters that lie in such a run; they may overlap. A shingle that at
-    most `whole` documents hold is compared pair by pair. A commoner one is resolved by hashes of the windows of min_len
-    characters around it; documents that share one are a class, paired as class_pairs says, so a passage in a third of
-    all documents gives no quadratic output. Null and short texts share nothing.
+    Windows with the same documents (those of one passage) count once, by two 64-bit hashes of the set. Its documents
+    are dealt to blocks of about `block`, and each pair of blocks is one join key, so no task holds a whole set's pairs.
     """
+    members = windows.select("window", "doc").distinct()
+    sets = members.groupBy("window").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("y"))
+    sets = sets.where("n > 1").groupBy("n", "x", "y").agg(F.min("window").alias("window"))
+    dealt = members.join(sets.select("window", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "window").withColumn("own", F.expr("pmod(xxhash64(2, doc), blocks)").cast("int"))
+    a = dealt.select("window", F.col("doc").alias("a"), F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"))
+    b = dealt.select("window", F.col("doc").alias("b"), F.col("own").alias("j"), F.explode(F.expr("sequence(0, own)")).alias("i"))
+    met = a.join(b, ["window", "i", "j"]).where("i < j or a < b")
+    return met.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+
+
+def _shared(df: DataFrame, id_col: str, text: str, min_len: int = 200, shingle: int | None = None, whole: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Verified runs of pairs of documents (shingles in at most `whole`), and windows (doc, start, window) around commoner ones."""
     shingle = shingle or max(1, min_len * 58 // 100)
     docs = df.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
     kind = docs.schema["doc"].dataType.simpleString()
@@ -152,8 +162,21 @@ def shared_runs(df: DataFrame, id_col: str, text: str, min_len: int = 200, shing
     met = a.join(b, "key").where("a < b").drop("key")
     runs = cut(met.mapInArrow(_verified(min_len, shingle), f"a {kind}, b {kind}, a_start int, a_end int, b_start int, b_end int"))
     windows = many.mapInArrow(_windows(min_len, shingle), f"doc {kind}, start int, window binary")
+    windows = cut(windows)
     windows = windows.join(windows.groupBy("window").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("window"), "window")
-    pairs = runs.select(F.col("a").alias("lo"), F.col("b").alias("hi")).unionByName(class_pairs(windows, ["window"], "doc", whole)).distinct()
+    return runs, windows
+
+
+def shared_runs(df: DataFrame, id_col: str, text: str, min_len: int = 200, shingle: int | None = None, whole: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Pairs (lo, hi) of documents with a run of at least min_len equal characters, and spans (doc, start, end) of such runs.
+
+    The spans of a document cover exactly its characters that lie in such a run; they may overlap. A shingle that at
+    most `whole` documents hold is compared pair by pair. A commoner one is resolved by hashes of the windows of min_len
+    characters around it; all documents that share one are paired, so a passage in n documents gives n (n - 1) / 2 pairs.
+    Null and short texts share nothing.
+    """
+    runs, windows = _shared(df, id_col, text, min_len, shingle, whole)
+    pairs = runs.select(F.col("a").alias("lo"), F.col("b").alias("hi")).unionByName(_window_pairs(windows, max(1, whole))).distinct()
     spans = runs.select(F.col("a").alias("doc"), F.col("a_start").alias("start"), F.col("a_end").alias("end"))
     spans = spans.unionByName(runs.select(F.col("b").alias("doc"), F.col("b_start").alias("start"), F.col("b_end").alias("end")))
     spans = spans.unionByName(windows.select("doc", "start", (F.col("start") + min_len).alias("end"))).distinct()
@@ -176,7 +199,11 @@ def shared_share(df: DataFrame, id_col: str, text: str, **options) -> DataFrame:
 
 
 def removal_clusters(df: DataFrame, id_col: str, text: str, **options) -> DataFrame:
-    """One row (id, cluster, keep) for each document of a shared run: cluster is its least id, which alone is kept."""
-    pairs, _ = shared_runs(df, id_col, text, **options)
-    parts = connected_components(pairs, "lo", "hi")
+    """One row (id, cluster, keep) for each document of a shared run: cluster is its least id, which alone is kept.
+
+    Components need only a star of a common window's documents (class_pairs), not all its pairs.
+    """
+    runs, windows = _shared(df, id_col, text, **options)
+    links = runs.select(F.col("a").alias("lo"), F.col("b").alias("hi")).unionByName(class_pairs(windows, ["window"], "doc", 1)).distinct()
+    parts = connected_components(links, "lo", "hi")
     return parts.select(F.col("node").alias(id_col), F.col("component").alias("cluster"), (F.col("node") == F.col("component")).alias("keep"))
