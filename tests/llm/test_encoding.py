@@ -38,3 +38,18 @@ def test_empty(spark):
     forms = encoding.forms(df, "text")
     assert forms.count() == 0 and encoding.damaged(df, ["kind", "id"], "text", forms).count() == 0
     assert encoding.damaged(frames(spark).where("kind = 'c'"), ["kind", "id"], "text", forms).count() == 0
+
+
+def test_partial_damage_by_words(spark):
+    line = "Почему был построен мост в городе и как это было"
+    hurt = {
+        "koi": garble(line, [("koi8-r", "cp1251")]), "latin": garble(line, [("cp1251", "cp1252")]), "one": "Почему был " + garble("построен", [("koi8-r", "cp1251")]) + " мост",
+    }
+    texts = {k: t if k == "one" else "\n".join([other, t, other.upper()]) for other in ["Иван видел новую реку около старого завода, когда шёл домой с работы вечером"] for k, t in hurt.items()}
+    rows = [("g", k, t) for k, t in texts.items()] + [("c", f"c{i}", t) for i, t in enumerate([*CLEAN, line.upper(), "ХОТЯ ЧТО", "хотя что"] * 4)]
+    df = spark.createDataFrame(rows, "kind string, id string, text string")
+    forms = encoding.forms(df.where("kind = 'c'"), "text")
+    assert {r.id for r in encoding.damaged(df, ["kind", "id"], "text", forms).collect()} == set(texts)
+    back = {r.id: r.restored for r in encoding.restore(df, ["kind", "id"], "text", forms).collect()}
+    assert back["koi"] == texts["koi"].replace(hurt["koi"], line) and back["latin"] == texts["latin"].replace(hurt["latin"], line) and back["one"] == "Почему был построен мост"
+    assert forms.where("form = original").count() == 0

@@ -8,6 +8,7 @@ U+FFFD). Each garbled form leads to its originals; a document's look-alike token
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import combinations
@@ -24,6 +25,8 @@ READ_AS = ("latin-1", "cp1252", "cp1251", "mac_roman", "cp437")
 #: Single-byte chains for whole words: written in the first, read as the second.
 WORD_CHAINS = (("cp1251", "cp1252"), ("koi8-r", "cp1251"), ("koi8-r", "cp1252"), ("cp866", "cp1251"), ("mac_cyrillic", "cp1251"))
 CASES: dict[str, Callable[[str], str]] = {"as_is": str, "lower": str.lower, "upper": str.upper}
+#: Letters from which one explained word is evidence enough; shorter ones may be clean words by chance.
+SURE_WORD = 4
 COMMON_AFTER = set("»«¡¿\xa0°£–—’“”„…€‚ª")
 LATIN, CONTROLS = r"[À-ÖØ-öø-ÿ]", regex.compile("[\x80-\x84\x86-\x9f]")
 
@@ -166,8 +169,7 @@ def _word_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     g = read(word.encode(e), d)
                 except UnicodeEncodeError:
                     continue
-                if g != word:
-                    rows += [(f(g), f(word), f"{e}>{d}", k, n) for k, f in CASES.items()]
+                rows += [(f(g), f(word), f"{e}>{d}", k, n) for k, f in CASES.items() if f(g) != f(word)]
             low = word.lower()
             for chain, mark in (("ascii>?", "?"), ("latin-1>utf-8", "�")):
                 rows += [(form, low, chain, "as_is", n) for form in _lost_forms(low, mark)]
@@ -199,18 +201,19 @@ def forms(corpus: DataFrame, text: str) -> DataFrame:
 
 
 def _look_alikes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The records' look-alikes, and a row of family sign where a text has what no clean one has: U+FFFD, C1 controls, halved punctuation, question marks inside words."""
+    """The records' look-alikes (words and pairs by line, as damage may be partial), and a row of family sign where a text has what no clean one has: U+FFFD, C1 controls, halved punctuation, question marks inside words."""
     for batch in batches:
         rows = []
         texts = batch.column(batch.num_columns - 1).to_pylist()
         for row, text in enumerate(texts):
-            seen = {(token, family, weak) for _, _, token, family, weak in tokens(text)}
+            ends = [i for i, c in enumerate(text) if c == "\n"]
+            seen = {(token, family, weak, bisect_left(ends, start) if family in ("word", "pair") else 0) for start, _, token, family, weak in tokens(text)}
             if "�" in text or CONTROLS.search(text) is not None or _PUNCTUATION_PAIR.search(text) is not None or ("?" in text and strong_questions(text) > 0):
-                seen.add(("", "sign", False))
-            rows += [(row, token, family, weak) for token, family, weak in sorted(seen)]
-        at, token, family, weak = zip(*rows) if rows else ((), (), (), ())
+                seen.add(("", "sign", False, 0))
+            rows += [(row, *x) for x in sorted(seen)]
+        at, token, family, weak, line = zip(*rows) if rows else ((), (), (), (), ())
         ids = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:-1]]
-        yield pa.RecordBatch.from_arrays([*ids, pa.array(token, pa.string()), pa.array(family, pa.string()), pa.array(weak, pa.bool_())], [*batch.schema.names[:-1], "token", "family", "weak"])
+        yield pa.RecordBatch.from_arrays([*ids, pa.array(token, pa.string()), pa.array(family, pa.string()), pa.array(weak, pa.bool_()), pa.array(line, pa.int32())], [*batch.schema.names[:-1], "token", "family", "weak", "line"])
 
 
 _FAMILY = "case when chain like 'utf-8>%' then 'unit' when chain = 'ascii>?' then 'asked' when chain = 'latin-1>utf-8' then 'lost' when chain like '%>latin-1' then 'pair' else 'word' end"
@@ -224,7 +227,7 @@ def matches(records: DataFrame, keys: list[str], text: str, table: DataFrame) ->
     """Rows (keys, token, family, weak, original, chain) of look-alikes that the table of forms explains."""
     some = _distinct_texts(records, keys, text)
     kinds = ", ".join(f"`{k}` {records.schema[k].dataType.simpleString()}" for k in keys)
-    seen = some.mapInArrow(_look_alikes, f"{kinds}, token string, family string, weak boolean").distinct()
+    seen = some.mapInArrow(_look_alikes, f"{kinds}, token string, family string, weak boolean, line int").drop("line").distinct()
     best = table.withColumn("family", F.expr(_FAMILY))
     order = F.struct((F.col("kase") != "as_is").alias("changed"), F.length("original"), F.expr("case when chain like 'gbk%' then 0 else 1 end").alias("g"), "chain", "original")
     best = best.groupBy("form", "family").agg(F.min(F.struct(order.alias("o"))).alias("m")).select(F.col("form").alias("token"), "family", "m.o.original", "m.o.chain")
@@ -235,52 +238,80 @@ def damaged(records: DataFrame, keys: list[str], text: str, table: DataFrame) ->
     """Distinct keys of the damaged records.
 
     A record is damaged if it holds a sign that no clean text has, an explained look-alike that isn't weak, three
-    distinct weak ones, or three explained words (or pairs) that are at least half of such look-alikes in it. Null
-    texts and keys that are null are never damaged; pure ASCII without a question mark is skipped unread.
+    distinct weak ones, an explained word of SURE_WORD letters, or a line with three explained words (or pairs) that are
+    at least half of such look-alikes in the line. Null texts and keys that are null are never damaged; pure ASCII
+    without a question mark is skipped unread.
     """
     some = _distinct_texts(records, keys, text)
     kinds = ", ".join(f"`{k}` {records.schema[k].dataType.simpleString()}" for k in keys)
-    seen = some.mapInArrow(_look_alikes, f"{kinds}, token string, family string, weak boolean").distinct()
+    seen = some.mapInArrow(_look_alikes, f"{kinds}, token string, family string, weak boolean, line int").distinct()
     best = table.select("form", F.expr(_FAMILY).alias("family")).distinct().withColumnRenamed("form", "token").withColumn("hit", F.lit(1))
     met = seen.join(best, ["token", "family"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     of = lambda c: F.sum(F.when(c, 1).otherwise(0))
     hit = F.col("hit") == 1
-    sums = met.groupBy(*keys).agg(
-        of(hit & F.col("family").isin("unit", "asked", "lost") & ~F.col("weak")).alias("strong"), of(hit & F.col("weak")).alias("weak"), of(F.col("family") == "sign").alias("sign"),
+    sure = (F.col("family") == "word") & (F.length("token") >= SURE_WORD)
+    sums = met.groupBy(*keys, "line").agg(
+        of(hit & ((F.col("family").isin("unit", "asked", "lost") & ~F.col("weak")) | sure)).alias("strong"), of(hit & F.col("weak")).alias("weak"), of(F.col("family") == "sign").alias("sign"),
         *(of(hit & (F.col("family") == f)).alias(f) for f in ("word", "pair")), *(of(F.col("family") == f).alias(f"all_{f}") for f in ("word", "pair")),
     )
     known = " and ".join(f"`{k}` is not null" for k in keys)
-    return sums.where(known).where("sign > 0 or strong > 0 or weak >= 3 or (word >= 3 and 2 * word >= all_word) or (pair >= 3 and 2 * pair >= all_pair)").select(*keys)
+    return sums.where(known).where("sign > 0 or strong > 0 or weak >= 3 or (word >= 3 and 2 * word >= all_word) or (pair >= 3 and 2 * pair >= all_pair)").select(*keys).distinct()
 
 
 def _turned(text: str, chain: str) -> str:
-    """Every letter run read in a chain's first encoding instead of its second, where that is possible."""
+    """A run of letters read in a chain's first encoding instead of its second, where that is possible."""
     written, seen = chain.split(">")
     back = {c: bytes([b]) for b, c in enumerate(_BYTES[seen])}
+    try:
+        return b"".join(back[c] for c in text).decode(written)
+    except (KeyError, UnicodeDecodeError):
+        return text
 
-    def turn(m: regex.Match) -> str:
-        try:
-            return b"".join(back[c] for c in m.group()).decode(written)
-        except (KeyError, UnicodeDecodeError):
-            return m.group()
 
-    return regex.sub(r"[^\x00-\x7f\s«»“”„—–…]+", turn, text)
+def _turned_spans(text: str, words: list[tuple[int, int, str | None]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, restored) of the runs of letters that a word chain damaged.
+
+    words: start, end and chain (None if unexplained) of the look-alike words. In a line with an explained word of
+    SURE_WORD letters, or three, the line's commonest chain is reversed: in all runs if explained words are three times
+    the others, else in runs that hold an explained word and in those between two such with at most two others there.
+    """
+    for line in regex.finditer(r"[^\n]+", text):
+        inside = [w for w in words if line.start() <= w[0] < line.end()]
+        hits = [w for w in inside if w[2]]
+        if len(hits) < 3 and not any(e - s >= SURE_WORD for s, e, _ in hits):
+            continue
+        chain = Counter(w[2] for w in hits).most_common(1)[0][0]
+        whole = len(hits) >= 3 * (len(inside) - len(hits))
+        gap: list[tuple[int, int]] = []
+        others, after = 0, False
+        for m in regex.finditer(r"[^\x00-\x7f\s«»“”„—–…]+", text, pos=line.start(), endpos=line.end()):
+            here = [w[2] for w in inside if m.start() <= w[0] < m.end()]
+            if whole:
+                yield *m.span(), _turned(m.group(), chain)
+            elif any(here):
+                if after and others <= 2:
+                    yield from ((s, e, _turned(text[s:e], chain)) for s, e in gap)
+                yield *m.span(), _turned(m.group(), chain)
+                gap, others, after = [], 0, True
+            else:
+                gap.append(m.span())
+                others += bool(here)
 
 
 def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for text, pairs in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-            known, families, chains = {}, Counter(), Counter()
+            known, families, chains = {}, Counter(), {}
             for p in pairs or []:
                 known[p["token"], p["family"]] = p["original"]
                 families[p["family"]] += 1
                 if p["family"] == "word":
-                    chains[p["chain"]] += 1
-            if chains and chains.most_common(1)[0][1] >= 3 and families.most_common(1)[0][0] == "word":
-                out.append(_turned(text, chains.most_common(1)[0][0]))
-                continue
-            spans = [(s, -families[family], -e, known[token, family]) for s, e, token, family, _ in tokens(text) if (token, family) in known and family != "word"]
+                    chains[p["token"]] = p["chain"]
+            found = list(tokens(text))
+            spans = [(s, -families[family], -e, known[token, family]) for s, e, token, family, _ in found if (token, family) in known and family != "word"]
+            if chains:
+                spans += [(s, -families["word"], -e, new) for s, e, new in _turned_spans(text, [(s, e, chains.get(token)) for s, e, token, family, _ in found if family == "word"])]
             parts, at = [], 0
             for s, _, e, original in sorted(spans):
                 if s >= at:
