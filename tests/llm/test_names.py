@@ -30,3 +30,10 @@ def test_pairs_are_ordered_and_whole(spark):
 
 def test_one_edit():
     assert names.one_edit("lodisonne", "loidsonne") and names.one_edit("abc", "abcd") and names.one_edit("abc", "axc") and not names.one_edit("abcd", "dcba") and not names.one_edit("ab", "abcd")
+
+
+def test_short_forms_with_a_typing_error(spark):
+    rows = ["Elizabeth Barorangu", "Barorrangu", "Judge Baroragnu", "E. Barorangi", "X. Barorango", "Hana Lamikaga", "Ivo Lamikaga", "Lamikagga", "Ola Remo", "Rema", "Zoltanaga"]
+    got = {r.name: r.cluster for r in names.name_clusters(spark.createDataFrame([(n,) for n in rows], "name string"), "name").collect()}
+    assert len({got[n] for n in rows[:4]}) == 1
+    assert len({got[n] for n in rows}) == len(rows) - 3

@@ -32,6 +32,8 @@ KINDS = {
     "institute": "inst", "department": "dept dep", "committee": "comm cttee", "federation": "fed", "university": "univ uni", "company": "co comp", "association": "assn assoc ass'n", "ministry": "min", "agency": "agcy",
     "bureau": "bur", "council": "cncl", "commission": "commn", "corporation": "corp", "foundation": "fdn found", "society": "soc", "college": "coll", "office": "off", "board": "bd", "union": "un", "organisation": "org", "organization": "org",
 }
+#: Letters that a last name without first name needs for a typing error to be forgiven.
+LONE_LAST = 5
 _KIND_OF = {s: k for k, short in KINDS.items() for s in short.split()} | {k: k for k in KINDS}
 _NICK_OF: dict[str, set[str]] = {}
 for _full, _short in NICKNAMES.items():
@@ -211,12 +213,36 @@ def full_pairs(full: DataFrame, threshold: float) -> DataFrame:
     return near.mapInArrow(_verify(threshold), "a string, b string")
 
 
+def _one_error(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        last, near = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("last", "near"))
+        yield batch.filter(pa.array([min(len(a), len(b)) >= LONE_LAST and one_edit(a, b) for a, b in zip(last, near)], pa.bool_()))
+
+
+def near_lasts(short: DataFrame, full: DataFrame) -> DataFrame:
+    """Rows (kind, place, last, near): for last names of short forms that no full form has, those of full forms one typing error away.
+
+    Same prefix filter as full_pairs; both have LONE_LAST letters or more, as no first name backs the match.
+    """
+    keys = ["kind", "place", "last"]
+    known = full.select(*keys).distinct()
+    both = known.withColumn("full", F.lit(True)).unionByName(short.select(*keys).distinct().join(known, keys, "left_anti").withColumn("full", F.lit(False)))
+    marked = F.concat(F.lit("^"), "last", F.lit("$")).alias("m")
+    grams = both.where(F.length("last") >= LONE_LAST).select(*keys, "full", marked)
+    grams = grams.select(*keys, "full", F.explode(F.array_distinct(F.expr("transform(sequence(1, length(m) - 1), i -> substring(m, i, 2))"))).alias("gram"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("df", "gram"))
+    prefix = cut(grams.join(grams.groupBy("gram").agg(F.count("*").alias("df")), "gram").withColumn("rank", rank).where("rank <= 4").select(*keys, "full", "gram"))
+    met = prefix.where("not full").drop("full").join(prefix.where("full").drop("full").withColumnRenamed("last", "near"), ["kind", "place", "gram"]).select(*keys, "near").distinct()
+    return cut(met.mapInArrow(_one_error, "kind string, place string, last string, near string"))
+
+
 def name_clusters(names: DataFrame, column: str, titles: Sequence[str] = (), pronouns: Sequence[str] = (), threshold: float = 0.8) -> DataFrame:
     """Rows (name, cluster): spellings of one person or organisation share a cluster; spellings of nobody have no row.
 
     Full names (first and last, or an organisation's three parts) are linked if their tokens agree but for short forms
     and one typing error each, weighted by rarity. A name without first name is linked to the full names with its last
-    name, if these are one cluster among those that its initials allow; else it stands with its like. Names that differ
+    name, or if there are none to those with one a typing error away, if these are one cluster among those that its
+    initials allow; else it stands with its like. Names that differ
     only in case, blanks, hyphens, titles, order, possessive or middle initials are the same at once. Null and empty
     names, pronouns and roles are left out. Work per name is bounded by its rarest q-grams; a name in a third of all rows
     counts once.
@@ -233,7 +259,9 @@ def name_clusters(names: DataFrame, column: str, titles: Sequence[str] = (), pro
     # a short form: last name and perhaps an initial; or an organisation with the initial of its kind
     forms_short = short.select("kind", F.when(F.col("kind") == "o", F.col("first")).otherwise("").alias("place"), "initial", "last").distinct()
     c = clusters.select("kind", F.when(F.col("kind") == "o", F.col("first")).otherwise("").alias("place"), F.substring(F.when(F.col("kind") == "o", F.col("initials")).otherwise(F.col("first")), 1, 1).alias("letter"), "last", "cluster").distinct()
-    fits = forms_short.join(c, ["kind", "place", "last"]).where("initial = '' or initial = letter")
+    fits = forms_short.join(c, ["kind", "place", "last"])
+    near = forms_short.join(near_lasts(forms_short, c), ["kind", "place", "last"]).join(c.withColumnRenamed("last", "near"), ["kind", "place", "near"])
+    fits = fits.unionByName(near.drop("near")).where("initial = '' or initial = letter")
     chosen = fits.groupBy("kind", "place", "initial", "last").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"))
     alone = F.concat_ws("|", F.lit("short"), "kind", "place", "last", "initial")
     placed = forms_short.join(chosen, ["kind", "place", "initial", "last"], "left")
