@@ -36,8 +36,13 @@ def drop(df: DataFrame) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written as Parquet into the shared folder and read back: its plan starts from that table."""
+    """df written as Parquet into the shared folder and read back: its plan starts from that table.
+
+    Where drop() doesn't delete the table before, the file system does when the driver's JVM ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    name = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(name)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(name)

@@ -7,10 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, drop
 
 #: Parts into which a round of the percentile search cuts a key's remaining range of values.
 PARTS = 1024
+#: Hash classes of values among which a key's rows are dealt.
+SPREAD = 32
 
 
 def value_counts(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -28,13 +30,11 @@ def distinct_and_mode(counts: DataFrame) -> DataFrame:
     0 distinct values and a null mode. Each task sends one partial row per key, so no key is bound to one task's rows.
     """
     real = F.col("value").isNotNull()
-    # max of n and min of value among the most frequent, in two combinable steps
-    top = counts.where(real).groupBy("key").agg(F.max("n").alias("mode_count"))
-    sums = counts.groupBy("key").agg(F.sum("n").alias("rows"), F.sum(F.when(real, F.col("n")).otherwise(0)).alias("nonnull"), F.count("value").alias("distinct_values"))
-    best = counts.where(real).join(top.withColumnRenamed("key", "k"), F.col("k").eqNullSafe(F.col("key")) & (F.col("n") == F.col("mode_count")))
-    mode = best.groupBy(F.col("key").alias("k")).agg(F.min("value").alias("mode"), F.first("mode_count").alias("mode_count"))
-    out = sums.join(mode, F.col("k").eqNullSafe(F.col("key")), "left")
-    return out.select("key", "rows", "nonnull", "distinct_values", "mode", F.coalesce("mode_count", F.lit(0)).alias("mode_count"))
+    # the greatest count and the least value among those that have it: one aggregate that combines map-side
+    best = F.min(F.when(real, F.struct((-F.col("n")).alias("n"), "value"))).alias("best")
+    sums = counts.groupBy("key").agg(F.sum("n").alias("rows"), F.sum(F.when(real, F.col("n")).otherwise(0)).alias("nonnull"), F.count("value").alias("distinct_values"), best)
+    mode_count = F.coalesce(-F.col("best.n"), F.lit(0).cast("long")).alias("mode_count")
+    return sums.select("key", "rows", "nonnull", "distinct_values", F.col("best.value").alias("mode"), mode_count)
 
 
 def exact_percentiles(counts: DataFrame, percents: Sequence[float], max_rounds: int = 40) -> DataFrame:
@@ -43,9 +43,11 @@ def exact_percentiles(counts: DataFrame, percents: Sequence[float], max_rounds:
     result is the least value at or below which at least q of the key's non-null values lie. Keys without such values
     give no row; NaN is greater than any number. Each round splits every key's remaining range into PARTS parts by
     value, sums weights per part (combined map-side), and keeps the part that holds the rank: windows run over parts,
-    never over rows, whatever a key's size.
+    never over rows, whatever a key's size. Rows meet the open ranges by key and one of SPREAD hash classes of the
+    value, for which the ranges (a row per key and percentile) are repeated, so a key's rows are never one task's.
     """
-    rows = cut(counts.where("value is not null").select("key", F.col("value").cast("double").alias("value"), "n"))
+    rows = counts.where("value is not null").select("key", F.col("value").cast("double").alias("value"), "n")
+    rows = cut(rows.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SPREAD)).cast("int")))
     span = rows.groupBy("key").agg(F.sum("n").alias("total"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     # a percentile's rank, from 1; the small term keeps 0.1 * 30 from becoming 4
     rank = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("total") - 1e-9)).cast("long")
@@ -56,8 +58,8 @@ def exact_percentiles(counts: DataFrame, percents: Sequence[float], max_rounds:
     for _ in range(max_rounds):
         if open_.isEmpty():
             return done
-        o = open_.withColumnRenamed("key", "k")
-        met = rows.join(o, F.col("k").eqNullSafe(F.col("key")) & F.col("value").between(F.col("lo"), F.col("hi")))
+        o = open_.select(F.col("key").alias("k"), "q", "lo", "hi", "rank", F.explode(F.expr(f"sequence(0, {SPREAD - 1})")).alias("s"))
+        met = rows.join(o, F.col("k").eqNullSafe(F.col("key")) & (F.col("s") == F.col("salt")) & F.col("value").between(F.col("lo"), F.col("hi")))
         width = F.col("hi") / 2 - F.col("lo") / 2
         share = (F.col("value") / 2 - F.col("lo") / 2) / width
         part = F.when((F.col("hi") == float("inf")) | F.isnan("hi") | (F.col("lo") == float("-inf")), F.when(F.col("value") == F.col("lo"), 0).when(F.col("value") == F.col("hi"), PARTS).otherwise(PARTS // 2)).otherwise(F.floor(share * PARTS))
