@@ -1,4 +1,6 @@
-from voxgraph.llm import canonical
+from pyspark.sql import functions as F
+
+from voxgraph.llm import canonical, pairing
 
 ROWS = [
     ("a", "The  Bridge, is open!"), ("b", "the bridge is OPEN"), ("b", "the bridge is OPEN"), ("c", "another one"), ("d", None), ("e", " ... "), (None, "the bridge is open"),
@@ -22,15 +24,25 @@ def test_order_of_fields_is_free(spark):
 
 def test_pairs_of_either_form(spark):
     keys = canonical.content_keys(frame(spark), "text", "id", fields=True)
-    pairs = {(r.lo, r.hi) for r in canonical.class_pairs(keys, ["h128", "check"], "id").collect()}
+    pairs = {(r.lo, r.hi) for r in pairing.class_pairs(keys, ["h128", "check"], "id").collect()}
     assert pairs == {("a", "b"), ("f", "g"), ("f", "i")}
 
 
-def test_large_class_is_a_star(spark):
-    df = spark.createDataFrame([(f"{i:03d}", "same text") for i in range(30)], "id string, text string")
+def test_class_of_1500_copies_gives_all_pairs_and_members(spark):
+    df = spark.range(1500).selectExpr("format_string('%04d', id) as id", "'same text' as text").unionByName(frame(spark).select("id", "text"))
     keys = canonical.content_keys(df, "text", "id")
-    assert canonical.class_pairs(keys, ["h128", "check"], "id", whole=10).count() == 29
-    assert canonical.class_pairs(keys, ["h128", "check"], "id", whole=30).count() == 435
+    pairs = pairing.class_pairs(keys, ["h128", "check"], "id")
+    assert pairs.count() == pairs.distinct().count() == 1500 * 1499 // 2 + 2 and pairs.where("lo >= hi").count() == 0
+    assert pairing.class_pairs(keys, ["h128", "check"], "id", 100).exceptAll(pairs).count() == 0
+    members = {r.id: (r.record, r.ids) for r in canonical.copy_classes(df, "id", "text").collect()}
+    assert members["1499"] == ("0000", 1500) and members["b"] == ("a", 2) and members["c"] == ("c", 1) and "d" not in members
+
+
+def test_expanded_pairs_of_classes(spark):
+    members = spark.createDataFrame([(k, f"{k}{i}") for k, n in (("a", 5), ("b", 40), ("c", 1)) for i in range(n)] + [("a", None)], "k string, id string")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "z")], "x string, y string")
+    got = {(r.lo, r.hi) for r in pairing.expand(pairs, members, F.col("x"), F.col("y"), "k", "id", 7).collect()}
+    assert got == {(f"a{i}", f"b{j}") for i in range(5) for j in range(40)} | {(f"b{j}", "c0") for j in range(40)}
 
 
 def test_empty(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pairing import memberships
 from .textforms import canonical
 
 #: An opening line of KEY: value fields parted by semicolons, in any letter case.
@@ -52,16 +53,11 @@ def collapse(df: DataFrame, id_col: str, text: str, fields: bool = False) -> Dat
     return per_form.join(hit, "h128", "left").select("record", "copies", "ids", F.col("forms").isNotNull().alias("collided"))
 
 
-def class_pairs(members: DataFrame, keys: list[str], id_col: str, whole: int = 1000) -> DataFrame:
-    """Pairs (lo, hi) of distinct ids in one class.
+def copy_classes(df: DataFrame, id_col: str, text: str, fields: bool = False) -> DataFrame:
+    """One row (id, record, ids) for each id of a content: the least id of all copies, and how many ids they have.
 
-    A class of up to `whole` ids gives all its pairs. A larger one is linked by one pair of each member with the
-    class's least id: its members stay one class, and no quadratic output arises from a group of copies.
+    Classes and left-out rows as in collapse(). An id with several contents has a row for each.
     """
-    ids = members.select(*keys, F.col(id_col).alias("_id")).where("_id is not null").distinct()
-    sizes = ids.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_id").alias("_least")).where("_n > 1")
-    ids = ids.join(sizes, keys)
-    small = ids.where(F.col("_n") <= whole).select(*keys, "_id")
-    pairs = small.withColumnRenamed("_id", "lo").join(small.withColumnRenamed("_id", "hi"), keys).where("lo < hi").select("lo", "hi")
-    star = ids.where((F.col("_n") > whole) & (F.col("_id") > F.col("_least"))).select(F.col("_least").alias("lo"), F.col("_id").alias("hi"))
-    return pairs.unionByName(star)
+    form = F.coalesce(field_order_free(F.col(text)), canonical(F.col(text))) if fields else canonical(F.col(text))
+    rows = df.select(F.col(id_col).alias("_id"), form.alias("form")).where("form <> '' and form <> '|' and _id is not null")
+    return memberships(rows.select("_id", hash128(F.col("form")).alias("h128"), F.xxhash64("form").alias("check")), ["h128", "check"], "_id")

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..operators.lineage import cut
 from .golay import LENGTH, codewords
+from .pairing import class_pairs, expand
 from .textforms import canonical, words
 
 #: Segment counts in use; a text takes the next larger one, so that few counts are needed for partners of other lengths.
@@ -255,31 +256,24 @@ def form_pairs(base: DataFrame, num: int, den: int) -> DataFrame:
     return cut(sided.mapInArrow(_shared, "a long, b long, longer int, shared int").where(f"shared * {den} >= longer * {num}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
-def content_pairs(base: DataFrame, near: DataFrame) -> DataFrame:
-    """Pairs (a_form, a_content, b_form, b_content) of contents that differ: near forms, and one form in two contents."""
-    kinds = base.select("form", "content").distinct()
-    a = kinds.select(F.col("form").alias("a_form"), F.col("content").alias("a_content"))
-    b = kinds.select(F.col("form").alias("b_form"), F.col("content").alias("b_content"))
-    far = near.select(F.col("a").alias("a_form"), F.col("b").alias("b_form")).join(a, "a_form").join(b, "b_form").where("a_content <> b_content")
-    same = a.join(b, F.col("a_form") == F.col("b_form")).where("a_content < b_content")
-    return far.select("a_form", "a_content", "b_form", "b_content").unionByName(same)
-
-
-def near_pairs(df: DataFrame, id_col: str, text: str, min_words: int = 24, num: int = 17, den: int = 20, whole: int = 1000) -> DataFrame:
+def near_pairs(df: DataFrame, id_col: str, text: str, min_words: int = 24, num: int = 17, den: int = 20) -> DataFrame:
     """Pairs (lo, hi) of ids whose texts share at least num/den of the words of the longer one, in any order.
 
     Words are counted with repeats. Left out: texts under min_words words, null texts and ids, and pairs with the same
-    letters and digits in order (those are copies). Ids with equal content and words form a group; a group of up to
-    `whole` ids gives a pair for each of its ids, a larger one only for its least id.
+    letters and digits in order (those are copies). Every id of a content is paired with every id of a near content, in
+    blocks, so the output grows with the product of the copies of both; near_classes is linear in the rows.
     """
     base = texts_as_forms(df, id_col, text, min_words)
-    pairs = content_pairs(base, form_pairs(base, num, den))
-    sizes = base.groupBy("form", "content").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    ids = base.select("form", "content", "id").join(sizes, ["form", "content"]).where(f"n <= {whole} or id = least")
-    a = ids.select(F.col("form").alias("a_form"), F.col("content").alias("a_content"), F.col("id").alias("a"))
-    b = ids.select(F.col("form").alias("b_form"), F.col("content").alias("b_content"), F.col("id").alias("b"))
-    out = pairs.join(a, ["a_form", "a_content"]).join(b, ["b_form", "b_content"]).where("a <> b")
-    return out.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+    near = form_pairs(base, num, den)
+    used = near.select(F.col("a").alias("form")).unionByName(near.select(F.col("b").alias("form"))).distinct()
+    linked = base.join(used, "form", "left_semi").select("form", F.struct("content", "id").alias("m"))
+    far = expand(near, linked, F.col("a"), F.col("b"), "form", "m").where("lo.content <> hi.content")
+    # one bag of words in several orders
+    several = base.groupBy("form").agg(F.min("content").alias("x"), F.max("content").alias("y")).where("x < y").select("form")
+    bags = base.join(several, "form", "left_semi").select("form", F.struct("form", "content").alias("c"), "id")
+    same = expand(class_pairs(bags, ["form"], "c"), bags, F.col("lo"), F.col("hi"), "c", "id")
+    out = far.select(F.col("lo.id").alias("x"), F.col("hi.id").alias("y")).unionByName(same.toDF("x", "y")).where("x <> y")
+    return out.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct()
 
 
 def near_classes(df: DataFrame, id_col: str, text: str, min_words: int = 24, num: int = 17, den: int = 20) -> DataFrame:

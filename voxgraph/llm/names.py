@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..operators.lineage import cut
-from .canonical import class_pairs
+from .pairing import class_pairs
 
 # fixed values: English short forms of first names
 NICKNAMES = {
@@ -275,5 +275,5 @@ def name_clusters(names: DataFrame, column: str, titles: Sequence[str] = (), pro
 
 
 def name_pairs(names: DataFrame, column: str, **options) -> DataFrame:
-    """Pairs (lo, hi) of different strings, by code point, in one cluster; a cluster of over 1000 spellings: as class_pairs."""
+    """Pairs (lo, hi) of different strings, by code point, in one cluster."""
     return class_pairs(name_clusters(names, column, **options), ["cluster"], "name")

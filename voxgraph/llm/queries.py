@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical, consensus, encoding, fuzzy, mixing, names, sentences, spans, tokens
+from . import canonical, consensus, encoding, fuzzy, mixing, names, pairing, sentences, spans, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,7 +86,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     q = canonical.content_keys(quotations(spark, folder), "text", "id").withColumn("rec_kind", F.lit("quote"))
     a = canonical.content_keys(articles(spark, folder), "text", "id", fields=True).withColumn("rec_kind", F.lit("article"))
     keys = ["rec_kind", "h128", "check"]
-    pairs = [canonical.class_pairs(x, keys[1:], "id").select(F.lit(k).alias("rec_kind"), F.col("lo").alias("rec_lo"), F.col("hi").alias("rec_hi")) for k, x in (("quote", q), ("article", a))]
+    pairs = [pairing.class_pairs(x, keys[1:], "id").select(F.lit(k).alias("rec_kind"), F.col("lo").alias("rec_lo"), F.col("hi").alias("rec_hi")) for k, x in (("quote", q), ("article", a))]
     return pairs[0].unionByName(pairs[1].distinct())
 
 
@@ -96,6 +96,13 @@ def p6_copies(spark: SparkSession, folder: str) -> DataFrame:
     return q.unionByName(a).select("rec_kind", "record", "copies", "ids", "collided")
 
 
+def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each record with the least id of its copies: linear in the rows where p6_found is quadratic in a class's copies."""
+    q = canonical.copy_classes(quotations(spark, folder), "id", "text").withColumn("rec_kind", F.lit("quote"))
+    a = canonical.copy_classes(articles(spark, folder), "id", "text", fields=True).withColumn("rec_kind", F.lit("article"))
+    return q.unionByName(a).select("rec_kind", F.col("id").alias("rec_id"), "record", "ids")
+
+
 def _decoded(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Records that may be damaged, and the table of garbled forms of the whole corpus."""
     q = table(spark, folder, "quote_candidates", "quote_id", "text").select(F.lit("quote").alias("rec_kind"), F.col("quote_id").alias("rec_id"), "text")
@@ -193,4 +200,8 @@ def oracle_sql() -> dict[str, str]:
             with r as (select 'quote' rec_kind, id, {q} c from ({_QUOTES}) where text is not null and id is not null
               union all select 'article', article_id, {fields} from articles where text is not null and article_id is not null)
             select rec_kind, min(id) as record, count(*) as copies, count(distinct id) as ids, false as collided from r where c not in ('', '|') group by rec_kind, c""",
+        "p6_classes": f"""
+            with r as (select distinct 'quote' rec_kind, id, {q} c from ({_QUOTES}) where text is not null and id is not null
+              union all select distinct 'article', article_id, {fields} from articles where text is not null and article_id is not null)
+            select rec_kind, id as rec_id, min(id) over (partition by rec_kind, c) as record, count(*) over (partition by rec_kind, c) as ids from r where c not in ('', '|')""",
     }

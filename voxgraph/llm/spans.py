@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..operators.lineage import cut
-from .canonical import class_pairs
+from .pairing import class_pairs
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
