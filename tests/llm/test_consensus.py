@@ -37,6 +37,14 @@ def test_beats_majority_and_sees_liars(spark):
     assert rel["a"] > rel["d"] > rel["coin"] > rel["liar"] and rel["liar"] < 0
 
 
+def test_blocks_of_votes_and_joined_rates_give_the_same(spark):
+    _, rows = saves(3, 60)
+    df = spark.createDataFrame(rows, SCHEMA)
+    key = lambda out: {(r.quote_id, r.label_field): (r.label, r.agreement, round(r.confidence, 6)) for r in out.collect()}
+    want = key(consensus.annotation_labels(df))
+    assert key(consensus.annotation_labels(df, block=2)) == want and key(consensus.annotation_labels(df, block=2, sent=0)) == want
+
+
 def test_nulls_ties_and_empty(spark):
     t = datetime(2021, 1, 1)
     rows = [
