@@ -63,3 +63,9 @@ def test_rows(spark):
 
 def test_chain_forbids_neighbours():
     assert sentences.viterbi([0, 2.0, 1.0, 3.0]) == [1, 3] and sentences.viterbi([1.0, 2.0], [4, 9]) == [0, 1] and sentences.viterbi([1.0, 2.0], [4, 5]) == [1]
+
+
+def test_learned_transitions_decide():
+    assert sentences.best_path([0.5, -0.5], [[0.0, -1.0], [0.0, 0.0]]) == [] and sentences.best_path([0.5, -0.5], [[0.0, 0.0], [0.0, 1.0]]) == [0, 1]
+    assert sentences.best_path([], []) == [] and MODEL.chain.shape == (2, 7) and abs(MODEL.chain).sum() > 0
+    assert sentences.apart("One two. Three", [9]) == [2]

@@ -47,13 +47,19 @@ def p1_agreement(spark: SparkSession, folder: str) -> DataFrame:
     return consensus.agreement(annotation(spark, folder))
 
 
+def _listed(spark: SparkSession, folder: str, *keys: str, most: int = 10_000) -> list[str]:
+    """Entries of the word lists in merger_patterns; more than `most` are an error, as they go to every task."""
+    found = table(spark, folder, "merger_patterns").where(F.col("pattern_key").isin(*keys)).select("entry").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"word lists of over {most} entries")
+    return [r.entry for r in found if r.entry is not None]
+
+
 def _names(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, list[str]]]:
     """Every name of the three fields, and the listed titles and pronouns."""
     fields = (("quote_candidates", "speaker"), ("gold_attributions", "gold_speaker"), ("entity_names", "name"))
     first, *more = (table(spark, folder, t, c).toDF("name") for t, c in fields)
-    listed = {"titles": [], "pronouns": []}
-    for r in table(spark, folder, "merger_patterns").where("pattern_key in ('speaker_titles', 'pronoun_speakers')").limit(1000).collect():
-        listed["titles" if r.pattern_key == "speaker_titles" else "pronouns"].append(r.entry)
+    listed = {"titles": _listed(spark, folder, "speaker_titles"), "pronouns": _listed(spark, folder, "pronoun_speakers")}
     return first.unionByName(more[0]).unionByName(more[1]), listed
 
 
@@ -69,8 +75,7 @@ def p2_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     quotes = table(spark, folder, "quote_candidates", "quote_id", "text")
-    known = table(spark, folder, "merger_patterns").where("pattern_key in ('abbreviations_before_period', 'speaker_titles')")
-    model = sentences.train(quotes, "text", [r.entry.lower() for r in known.select("entry").limit(1000).collect()])
+    model = sentences.train(quotes, "text", [e.lower() for e in _listed(spark, folder, "abbreviations_before_period", "speaker_titles")])
     return sentences.sentence_starts(quotes, "quote_id", "text", model)
 
 

@@ -2,7 +2,7 @@
 
 A character's tag is B (a sentence begins here) or I. Where a script marks sentence ends, only a character that
 follows an end mark, outside quotations and brackets that lie within a sentence, may be B; its score comes from a
-logistic model of the words around. Where a script has no end marks (Thai and the like), every character may be B, and
+logistic model of the words around, and from learned transitions: the tag of the place before and the distance to it. Where a script has no end marks (Thai and the like), every character may be B, and
 its score comes from the characters around, learnt on text whose blanks were stripped. Both are trained here, on a
 bounded sample of the texts: the labels come from places where letter case, or a blank between letters, leaves no
 doubt, and each example is also seen without these cues, so that the model holds where they are missing.
@@ -25,6 +25,8 @@ from .textforms import blank
 
 #: Texts on which the model is fitted, and weights it has.
 SAMPLE, SIZE = 20_000, 1 << 18
+#: Features of a place that don't look at letter case; they come first.
+CASELESS = 9
 SPACE, SPACE_RUN = r"\s", r"[\s\u200b]+"
 _GARBLED = {}
 for _c in "“”„«»‹›「」『』。！？…।؟":
@@ -41,6 +43,12 @@ _PREV = regex.compile(r"[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}'’.-]*$")
 _URL = regex.compile(r"(?:https?:|www\.)[^\s]*[\p{L}\p{N}/]", regex.I)
 _THAI = r"[฀-໿က-႟ក-៿]"
 _UNMARKED = regex.compile(_THAI)
+_QUOTE_MARKS = regex.compile(r"``|''|[“”„«»‹›「」『』()\[\]\"]")
+_HEAD = regex.compile(rf"[{SPACE}–—-]*")
+_GAP, _ONE_GAP, _GAP_OR_END = regex.compile(rf"[{SPACE}]*"), regex.compile(rf"[{SPACE}]"), regex.compile(rf"[{SPACE}]|$")
+_BLANKS = regex.compile(rf"{SPACE}+")
+_ALNUM, _LETTERS = regex.compile(r"[\p{L}\p{N}]"), regex.compile(r"\p{L}+")
+_OPENER = regex.compile(r"[“«„「『\"'`(\[‹¿¡–—-]*")
 _PAIRS = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』", "‹": "›", "(": ")", "[": "]", "»": "«", "``": "''", "''": "''"}
 
 
@@ -62,7 +70,9 @@ def nested(text: str) -> np.ndarray:
 
     Marks that enclose the whole text, and marks without a partner, enclose nothing.
     """
-    marks = [(m.start(), m.group()) for m in regex.finditer(r"``|''|[“”„«»‹›「」『』()\[\]\"]", text)]
+    marks = [(m.start(), m.group()) for m in _QUOTE_MARKS.finditer(text)]
+    if len(marks) < 2:
+        return np.zeros(len(text) + 1, bool)
     stack: list[tuple[int, str]] = []
     spans = []
     for at, mark in marks:
@@ -80,13 +90,11 @@ def nested(text: str) -> np.ndarray:
             del stack[opened:]
         elif opens:
             stack.append((at, mark))
-    head = regex.match(rf"[{SPACE}–—-]*", text).end()
+    head = _HEAD.match(text).end()
     inside = np.zeros(len(text) + 1, bool)
     edge = len(text)
     for start, end in sorted(spans):
-        tail = text[end:edge]
-        lead = text[head:start]
-        whole = not regex.search(r"[\p{L}\p{N}]", lead) and not regex.search(r"[\p{L}\p{N}]", tail)
+        whole = not _ALNUM.search(text, head, start) and not _ALNUM.search(text, end, edge)
         if not whole:
             inside[start:end] = True
     return inside
@@ -100,7 +108,10 @@ def _closers(mark: str) -> tuple[str, ...]:
 def places(text: str) -> Iterator[tuple[int, dict[str, str]]]:
     """Offsets where a sentence may begin after an end mark, with what stands around."""
     inside = nested(text)
-    urls = [m.span() for m in _URL.finditer(text)]
+    urls = [m.span() for m in _URL.finditer(text)] if "/" in text or "www." in text.lower() else []
+    last = len(text.rstrip())
+    while last and not _ALNUM.match(text, last - 1):
+        last -= 1  # no sentence begins after the last letter or digit
     for m in _MARK.finditer(text):
         end = m.end()
         if any(a < m.start() < b for a, b in urls) or (text[end : end + 1].isdigit() and text[m.start() - 1 : m.start()].isdigit()):
@@ -108,9 +119,9 @@ def places(text: str) -> Iterator[tuple[int, dict[str, str]]]:
         if inside[m.start()]:
             # the mark may be the last one of a quotation that ends its sentence
             close = _CLOSE.match(text, end)
-            if not close or inside[min(close.end(), len(text))] and not regex.match(rf"[{SPACE}]", text[close.end() : close.end() + 1]):
+            if not close or inside[min(close.end(), len(text))] and not _ONE_GAP.match(text, close.end()):
                 continue
-            if inside[close.end()] or not regex.match(rf"[{SPACE}]*\S", text[close.end() :]):
+            if inside[close.end()] or _GAP.match(text, close.end()).end() >= len(text):
                 continue
             end = close.end()
             closed = "2"
@@ -119,19 +130,18 @@ def places(text: str) -> Iterator[tuple[int, dict[str, str]]]:
             closed = "0"
             if close:
                 stop = next((i for i in range(close.start(), close.end()) if inside[i] or text[i] == "“"), close.end())
-                if stop == close.end() and not regex.match(rf"[{SPACE}]|$", text[stop : stop + 1]) and stop - end == 1 and text[end] in "\"'":
+                if stop == close.end() and not _GAP_OR_END.match(text, stop) and stop - end == 1 and text[end] in "\"'":
                     stop = end
                 closed = "1" if stop > end else "0"
                 end = stop
-        gap = regex.compile(rf"[{SPACE}]*").match(text, end).end()
-        if gap >= len(text) or not regex.search(r"[\p{L}\p{N}]", text[gap:]):
+        gap = _GAP.match(text, end).end()
+        if gap >= last:
             continue
-        follows = text[gap:]
-        opener = regex.match(r"[“«„「『\"'`(\[‹¿¡–—-]*", follows).group()
-        word = _WORD.search(follows[:80])
+        opener = _OPENER.match(text, gap).group()
+        word = _WORD.search(text, gap, gap + 80)
         first = word.group() if word else ""
-        second = _WORD.search(follows[word.end() : word.end() + 60]) if word else None
-        before = _PREV.search(text[: m.start()][-40:])
+        second = _WORD.search(text, word.end(), word.end() + 60) if word else None
+        before = _PREV.search(text[max(0, m.start() - 40) : m.start()])
         yield gap, {
             "mark": m.group()[:4], "gap": "1" if gap > end else "0", "closed": closed, "opener": opener[:1],
             "before": before.group() if before else "", "first": first, "second": second.group() if second else "",
@@ -149,13 +159,29 @@ def _kind(word: str) -> str:
     return f"{'a' if '.' in word else ''}{min(len(bare), 5)}"
 
 
-def features(x: dict[str, str], cased: bool) -> list[int]:
-    """Hashed features; those of letter case only if cased."""
+def feature_names(x: dict[str, str], cased: bool) -> list[str]:
+    """Features of a place; those of letter case only if cased."""
     b, f, s = (x[k].lower().rstrip(".") for k in ("before", "first", "second"))
     base = [f"m{x['mark']}{x['gap']}{x['closed']}", f"o{x['opener']}", f"b{b}", f"k{_kind(b)}{x['mark']}", f"f{f}", f"fs{f} {s}", f"bf{b} {f}", f"k{_kind(b)}f{_kind(f)}{x['gap']}", f"c{x['closed']}f{f}"]
     if cased:
         base += [f"S{_shape(x['first'])}{x['mark'][:1]}", f"S{_shape(x['first'])}k{_kind(b)}", f"Sb{_shape(x['first'])}{b}", f"SS{_shape(x['before'])}{_kind(b)}{_shape(x['first'])}", f"G{x['gap']}{_shape(x['first'])}{_shape(x['before'])}"]
-    return [crc32(v.encode()) % SIZE for v in base]
+    return base
+
+
+def features(x: dict[str, str], cased: bool) -> list[int]:
+    """Hashed features."""
+    return [crc32(v.encode()) % SIZE for v in feature_names(x, cased)]
+
+
+def distance(words: int) -> int:
+    """Class of a distance in words: 0, 1, 2, 3-4, 5-8, 9-16, more."""
+    return min(6, words if words < 3 else (words - 1).bit_length() + 1)
+
+
+def apart(text: str, at: Sequence[int], head: int = 0) -> list[int]:
+    """Distance classes between places of a text, the first one's from its head."""
+    ends = [head, *at]
+    return [distance(len(_BLANKS.findall(text, a, b))) for a, b in zip(ends, ends[1:])]
 
 
 def prior(x: dict[str, str]) -> float:
@@ -167,9 +193,11 @@ def prior(x: dict[str, str]) -> float:
 
 def is_cased(text: str) -> bool:
     """Whether capitals tell anything: letters of both cases, and most words with a letter case begin small or have no capital inside."""
-    heads = [w for w in regex.findall(r"\p{L}+", text) if w[0].islower() or w[0].isupper()]
-    plain = sum(w.islower() for w in heads)
-    return any(c.isupper() for c in text) and 5 * plain >= 2 * len(heads) > 0
+    if text == text.lower():
+        return False
+    heads = [w for w in _LETTERS.findall(text) if w[0].islower() or w[0].isupper()]
+    plain = sum(map(str.islower, heads))
+    return any(map(str.isupper, text)) and 5 * plain >= 2 * len(heads) > 0
 
 
 class Segmenter:
@@ -177,11 +205,30 @@ class Segmenter:
 
     def __init__(self) -> None:
         self.weights = np.zeros(SIZE)
+        #: Transition weights: what a boundary scores more after a place that was none (0) or one (1), by distance.
+        self.chain = np.zeros((2, 7))
         self.chars: dict[str, float] = {}
+        self.known: dict[str, float] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
+
+    def emission(self, x: dict[str, str], cased: bool) -> float:
+        """Score of a boundary at a place by itself; weights of features met before are kept, a bounded number."""
+        known, total = self.known, prior(x)
+        for f in feature_names(x, cased):
+            w = known.get(f)
+            if w is None:
+                if len(known) > 500_000:
+                    known.clear()
+                w = known[f] = float(self.weights[crc32(f.encode()) % SIZE])
+            total += w
+        return total
 
     def fit(self, texts: Sequence[str], abbreviations: Sequence[str] = (), rounds: int = 6) -> Segmenter:
         """Fits to texts; abbreviations, lower case, are known not to end a sentence before a name or number."""
         rows, labels, priors = [], [], []
+        steps: list[tuple[int, int, int]] = []  # example, tag of the place before, distance
         small, dotted, bare = Counter(), Counter(), Counter()
         kept = []
         for text in texts:
@@ -202,16 +249,22 @@ class Segmenter:
         begun = Counter(m.group().lower().rstrip(".") for text, _, cased in kept if cased for m in [_WORD.search(text)] if m)
         heads = {w for w, n in begun.items() if n >= max(3, len(kept) // 2000) and 5 * n >= dotted[w] + bare[w]}
         for text, found, cased in kept:
-            for _, x in found:
+            before: int | None = 1
+            for (_, x), gap in zip(found, apart(text, [at for at, _ in found])):
                 label = self._label(x, cased, small, dotted, bare, listed, heads)
-                if label is None:
-                    continue
-                for with_case in (True, False) if cased else (False,):
-                    rows.append(features(x, with_case))
-                    labels.append(label)
-                    priors.append(prior(x))
+                if label is not None:
+                    every = features(x, cased)
+                    for seen in (every, every[:CASELESS]) if cased else (every,):
+                        if before is not None:
+                            steps.append((len(rows), before, gap))
+                        rows.append(seen)
+                        labels.append(label)
+                        priors.append(prior(x))
+                before = label
         if rows:
-            self._logistic(rows, np.array(labels, float), np.array(priors), rounds)
+            y, offset = np.array(labels, float), np.array(priors)
+            self._logistic(rows, y, offset, rounds)
+            self._transitions(rows, y, offset, np.array(steps))
         self._fit_chars([t for t in texts if _UNMARKED.search(t)])
         return self
 
@@ -252,15 +305,31 @@ class Segmenter:
         squares = np.full(SIZE, 1e-3)
         for _ in range(rounds):
             for block in np.array_split(order.permutation(len(rows)), max(1, len(rows) // 256)):
-                index = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in block])
-                owner = np.repeat(np.arange(len(block)), lengths[block])
-                score = offset[block] + np.bincount(owner, self.weights[flat[index]], len(block))
+                width = lengths[block]
+                index = flat[np.repeat(offsets[block] - np.cumsum(width) + width, width) + np.arange(width.sum())]
+                owner = np.repeat(np.arange(len(block)), width)
+                score = offset[block] + np.bincount(owner, self.weights[index], len(block))
                 slope = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y[block])[owner]
-                gradient = np.zeros(SIZE)
-                np.add.at(gradient, flat[index], slope)
-                gradient += 1e-4 * self.weights * (gradient != 0)
-                squares += gradient**2
-                self.weights -= 0.5 * gradient / np.sqrt(squares) * (gradient != 0)
+                met, at = np.unique(index, return_inverse=True)
+                gradient = np.bincount(at, slope, len(met)) + 1e-4 * self.weights[met]
+                squares[met] += gradient**2
+                self.weights[met] -= 0.5 * gradient / np.sqrt(squares[met])
+
+    def _transitions(self, rows: list[list[int]], y: np.ndarray, offset: np.ndarray, steps: np.ndarray, rounds: int = 30) -> None:
+        """Weights of (tag before, distance) that explain what the places' own scores leave: Newton steps, one per cell.
+
+        A cell's prior of 20 examples' weight keeps rare cells near 0.
+        """
+        if not len(steps):
+            return
+        example, cell = steps[:, 0], steps[:, 1] * 7 + steps[:, 2]
+        own = np.array([offset[i] + self.weights[rows[i]].sum() for i in example])
+        chain = np.zeros(14)
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(own + chain[cell], -30, 30)))
+            slope = np.bincount(cell, y[example] - p, 14) - 5 * chain
+            chain += np.clip(slope / (np.bincount(cell, p * (1 - p), 14) + 5), -1, 1)
+        self.chain = chain.reshape(2, 7)
 
     def _fit_chars(self, texts: list[str], rounds: int = 5) -> None:
         """Averaged structured perceptron on unmarked text without blanks; a blank between two letters was a boundary."""
@@ -281,16 +350,19 @@ class Segmenter:
 
     def starts(self, text: str) -> list[int]:
         """Offsets, in code points, of the first character of each sentence; none for a blank text."""
-        head = regex.match(rf"[{SPACE}]*", text).end()
+        head = _GAP.match(text).end()
         if head >= len(text):
             return []
         plain, back = plain_marks(text)
         cased = is_cased(plain)
-        scores = {at: prior(x) + float(self.weights[features(x, cased)].sum()) for at, x in places(plain)}
-        if len(_UNMARKED.findall(plain)) * 2 > sum(c.isalpha() for c in plain):
+        scores = {at: self.emission(x, cased) for at, x in places(plain)}
+        if _UNMARKED.search(plain) and len(_UNMARKED.findall(plain)) * 2 > sum(map(str.isalpha, plain)):
             self._unmarked(plain, scores)
-        order = sorted(scores)
-        found = [order[i] for i in viterbi([scores[p] for p in order], order)]
+            order = sorted(scores)
+            found = [order[i] for i in viterbi([scores[p] for p in order], order)]
+        else:
+            order = sorted(scores)
+            found = [order[i] for i in best_path([scores[p] for p in order], self.chain[:, apart(plain, order)].T.tolist() if order else [])]
         return sorted({head, *(back[p] for p in found if back[p] > head)})
 
     def _unmarked(self, text: str, scores: dict[int, float]) -> None:
@@ -359,6 +431,25 @@ def viterbi(scores: Sequence[float], offsets: Sequence[int] | None = None) -> li
     return out[::-1]
 
 
+def best_path(scores: Sequence[float], chain: Sequence[Sequence[float]]) -> list[int]:
+    """Indices tagged B by Viterbi over places after end marks: tag I scores 0, tag B the place's score and its transition's.
+
+    chain: per place the transition scores after a place tagged I and after one tagged B. A text's head is tagged B.
+    """
+    inner, begin, back = -1e18, 0.0, []
+    for s, (after_inner, after_begin) in zip(scores, chain):
+        stay = begin > inner
+        up = begin + after_begin > inner + after_inner
+        back.append((stay, up))
+        inner, begin = max(inner, begin), s + max(inner + after_inner, begin + after_begin)
+    out, tag = [], begin > inner
+    for i in range(len(back) - 1, -1, -1):
+        if tag:
+            out.append(i)
+        tag = back[i][tag]
+    return out[::-1]
+
+
 def train(texts: DataFrame, text: str, abbreviations: Sequence[str] = (), sample: int = SAMPLE) -> Segmenter:
     """A segmenter fitted to at most `sample` distinct texts, those of least hash."""
     some = texts.where(F.col(text).isNotNull() & ~blank(F.col(text))).select(text)
@@ -371,15 +462,17 @@ def sentence_starts(df: DataFrame, id_col: str, text: str, model: Segmenter) ->
     """Rows (id, sent_start), one per sentence of each distinct id; ids with null or blank texts have none.
 
     sent_start is the offset in code points of the sentence's first character that isn't blank. If an id occurs with
-    several texts, the least one counts. Texts are tagged where they lie after one shuffle by id.
+    several texts, that of the least hash counts. Texts are tagged where they lie; only the offsets are shuffled, to
+    drop an id's repeated rows.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts = [shared.value.starts(t) for t in batch.column(1).to_pylist()]
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(starts)), [len(s) for s in starts])))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([p for s in starts for p in s], pa.int32())], [id_col, "sent_start"])
+            starts = [shared.value.starts(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts, pa.list_(pa.int32()))], [id_col, "_hash", "_starts"])
 
-    rows = df.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).groupBy(id_col).agg(F.min(text).alias(text))
-    return rows.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, sent_start int")
+    rows = df.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(id_col, F.xxhash64(text).alias("_hash"), text)
+    tagged = rows.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, _hash long, _starts array<int>")
+    once = tagged.groupBy(id_col).agg(F.min(F.struct("_hash", "_starts")).alias("_m"))
+    return once.select(id_col, F.explode("_m._starts").alias("sent_start"))
