@@ -1,7 +1,7 @@
 """Consensus of several annotators by message passing between items and annotators.
 
 An item is one row (or, with many votes, one row per block of votes) that holds its votes, its classes and the state of
-each vote-class edge, so a round needs no shuffle of edges: items send their messages by sums per annotator, which are
+each vote-class edge, so a round needs no shuffle of edges, and many items are kept as one value, as only the next round reads them: items send their messages by sums per annotator, which are
 combined on the way, and take the annotators' rates back from a small table, or by a join where that table is large.
 """
 
@@ -77,19 +77,21 @@ def _groups(votes: DataFrame, pooled: tuple[str, ...]) -> _Groups:
     return _Groups(tuple(sorted(labels)), tuple(labels[f] for f in sorted(labels)))
 
 
-def _items(votes: DataFrame, groups: _Groups, block: int) -> DataFrame:
-    """Rows (field, item, part, parts, annotators, votes, classes, counts, all_votes): votes as indices into classes."""
+def _items(votes: DataFrame, groups: _Groups, block: int | None) -> DataFrame:
+    """Rows (field, item, part, parts, annotators, votes, classes, counts, all_votes): votes as indices into classes.
+
+    block: votes of a row on average at most; None where no item has many.
+    """
     keys = ["field", "item"]
     one = F.struct("annotator", "label").alias("vote")
-    annotators = votes.select("annotator").distinct().count()
-    if annotators <= block:  # no item has more votes than there are annotators
+    if block is None:
         rows = votes.groupBy(*keys).agg(F.collect_list(one).alias("ids")).withColumns({"part": F.lit(0), "parts": F.lit(1)})
     else:
         rows = blocks(votes.select(*keys, one), keys, "vote", block).withColumnsRenamed({"blk": "part", "blocks": "parts"})
         rows = cut(rows)
     rows = rows.select(*keys, "part", "parts", F.col("ids.annotator").alias("annotators"), F.col("ids.label").alias("labels"))
     given = F.array_sort(F.array_distinct("labels"))
-    if annotators > block:
+    if block is not None:
         wide = rows.where("parts > 1").select(*keys, F.explode("labels").alias("label")).groupBy(*keys, "label").agg(F.count("*").alias("n"))
         wide = wide.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("label", "n"))).alias("wide"), F.sum("n").alias("wide_votes"))
         rows = rows.join(wide, keys, "left")
@@ -111,6 +113,39 @@ def _items(votes: DataFrame, groups: _Groups, block: int) -> DataFrame:
 _ITEM = "field string, item string, part int, parts int, annotators array<string>, votes array<int>, classes array<string>, counts array<bigint>, all_votes bigint, p array<double>, log_odds array<double>, moved double"
 
 
+_COLUMNS = [f.split()[0] for f in _ITEM.split(", ")]
+#: Edges in a block of items that is kept as one value.
+PACKED = 1 << 18
+
+
+def _packed(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Blocks of items as Arrow streams, one value each: between rounds nothing looks into them but the next round."""
+    sizes = pc.multiply(pc.list_value_length(rows.column(5)), pc.list_value_length(rows.column(6))).to_numpy().astype(np.int64)
+    at, cuts = 0, (np.cumsum(sizes) - 1) // PACKED
+    for width in np.bincount(cuts)[np.unique(cuts)].tolist() if rows.num_rows else []:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as stream:
+            stream.write_batch(rows.slice(at, width))
+        at += width
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items of blocks, or of rows that are no blocks."""
+    for batch in batches:
+        if batch.schema.names != ["block"]:
+            if batch.num_rows:
+                yield batch
+            continue
+        for block in batch.column(0):
+            yield from pa.ipc.open_stream(block.as_buffer())
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from _packed(batch)
+
+
 class _Flat:
     """The vote-class edges of a batch of items as flat arrays."""
 
@@ -150,9 +185,7 @@ def _sums(groups: _Groups) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     """Soft counts by group and annotator: p and its complement, over all and over the votes for the class; and the greatest move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _opened(batches):
             e = _Flat(batch, groups)
             coded = pc.dictionary_encode(e.annotators)
             key = e.group * len(coded.dictionary) + coded.indices.to_numpy()[e.vote]
@@ -197,11 +230,10 @@ def _totals(groups: _Groups, sent) -> Callable[[Iterator[pa.RecordBatch]], Itera
     """Sums of ratios of one part of an item, to be added over its parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                e = _Flat(batch, groups)
-                sums = np.bincount(e.cls, _ratios(e, _edge_rates(e, groups, sent)), e.class_at[-1])
-                yield pa.RecordBatch.from_arrays([e.get("field"), e.get("item"), pa.ListArray.from_arrays(pa.array(e.class_at, pa.int32()), pa.array(sums))], ["field", "item", "sums"])
+        for batch in _opened(batches):
+            e = _Flat(batch, groups)
+            sums = np.bincount(e.cls, _ratios(e, _edge_rates(e, groups, sent)), e.class_at[-1])
+            yield pa.RecordBatch.from_arrays([e.get("field"), e.get("item"), pa.ListArray.from_arrays(pa.array(e.class_at, pa.int32()), pa.array(sums))], ["field", "item", "sums"])
 
     return run
 
@@ -211,14 +243,12 @@ def _step(groups: _Groups, sent, base: list[float], pace: float) -> Callable[[It
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prior = np.array(base)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _opened(batches):
             e = _Flat(batch, groups)
             ratio = _ratios(e, _edge_rates(e, groups, sent))
             total = np.bincount(e.cls, ratio, e.class_at[-1])
-            far = e.get("total")
-            if far.null_count < len(far):
+            far = e.get("total") if "total" in batch.schema.names else None
+            if far is not None and far.null_count < len(far):
                 has = np.repeat(far.is_valid().to_numpy(zero_copy_only=False), np.diff(e.class_at))
                 total[has] = far.flatten().to_numpy()
             odds = total + prior[e.class_group]
@@ -227,9 +257,9 @@ def _step(groups: _Groups, sent, base: list[float], pace: float) -> Callable[[It
             moved = np.zeros(e.n)
             np.maximum.at(moved, e.row, np.abs(p - e.p))
             offsets = pa.array(np.r_[0, np.cumsum(e.row_edges)], pa.int32())
-            kept = [e.get(c) for c in batch.schema.names[: batch.schema.get_field_index("p")]]
+            kept = [e.get(c) for c in _COLUMNS[:-3]]
             made = [pa.ListArray.from_arrays(offsets, pa.array(p)), pa.ListArray.from_arrays(pa.array(e.class_at, pa.int32()), pa.array(odds)), pa.array(moved)]
-            yield pa.RecordBatch.from_arrays([*kept, *made], [*batch.schema.names[: len(kept)], "p", "log_odds", "moved"])
+            yield from _packed(pa.RecordBatch.from_arrays([*kept, *made], _COLUMNS))
 
     return run
 
@@ -249,12 +279,19 @@ def _joined(table: DataFrame, rates: DataFrame, groups: _Groups, salts: int = 16
     return table.join(met.select(*keys, F.flatten("r.rates").alias("rates")), keys)
 
 
+def _unpacked(table: DataFrame) -> DataFrame:
+    return table.mapInArrow(_opened, _ITEM)
+
+
 def _passed(votes: DataFrame, pooled: tuple[str, ...], tolerance: float, block: int, sent_rates: int) -> tuple[DataFrame, DataFrame]:
     """The items after the last round, and the annotators' sums: g, annotator, p_all, p_hit, q_all, q_hit."""
+    votes = cut(votes)
     spark, groups = votes.sparkSession, _groups(votes, pooled)
     n, names, done = int(groups.base[-1]), groups.names, 0
-    table = cut(_items(votes, groups, block))
-    wide = not table.where("parts > 1").isEmpty()
+    several = votes.select("annotator").distinct().count() > block  # else no item has more votes than a block
+    items = _items(votes, groups, block if several else None)
+    wide = several and not items.where("parts > 1").isEmpty()
+    table = cut(items.mapInArrow(_pack, "block binary"))
     while True:
         rates = cut(_rates(table, groups))
         sums = rates.groupBy("g").agg(F.sum("p_all").alias("p"), F.sum("q_all").alias("q"), F.max("moved").alias("moved"), F.count("*").alias("n")).collect()
@@ -268,20 +305,17 @@ def _passed(votes: DataFrame, pooled: tuple[str, ...], tolerance: float, block:
             known = pc.unique(found["annotator"])
             tensor = np.zeros((n, len(known), 4))
             tensor[found["g"].to_numpy(), pc.index_in(found["annotator"], value_set=known).to_numpy()] = np.stack([found[c].to_numpy() for c in _SUMS], 1)
-            sent, rows = spark.sparkContext.broadcast((known, tensor)), table
+            sent, rows = spark.sparkContext.broadcast((known, tensor)), cut(_unpacked(table)) if wide else table
         else:
-            sent, rows = None, cut(_joined(table, rates, groups))
+            sent, rows = None, cut(_joined(_unpacked(table), rates, groups))
+        moving = rows
         if wide:
             parts = rows.where("parts > 1").mapInArrow(_totals(groups, sent), "field string, item string, sums array<double>")
             total = parts.select("field", "item", F.posexplode("sums").alias("at", "s")).groupBy("field", "item", "at").agg(F.sum("s").alias("s"))
             total = total.groupBy("field", "item").agg(F.sort_array(F.collect_list(F.struct("at", "s"))).alias("t")).select("field", "item", F.col("t.s").alias("total"))
             moving = rows.join(total, ["field", "item"], "left")
-        else:
-            moving = rows.withColumn("total", F.lit(None).cast("array<double>"))
         pace = 1.0 if done < FREE else 1 / (done - FREE + 2)
-        order = [f.split()[0] for f in _ITEM.split(", ")]
-        extra = ["rates"] if sent is None else []
-        fresh = cut(moving.select(*order, *extra, "total").mapInArrow(_step(groups, sent, base, pace), _ITEM))
+        fresh = cut(moving.mapInArrow(_step(groups, sent, base, pace), "block binary"))
         for old in {id(x): x for x in (table, rows, rates)}.values():
             drop(old)
         table, done = fresh, done + 1
@@ -305,6 +339,7 @@ def consensus(votes: DataFrame, pooled: tuple[str, ...] = ("qid",), tolerance: f
     with more than `block` votes is dealt to several rows; up to `sent` rates are sent to every task, more are joined.
     """
     table, rates = _passed(votes, pooled, tolerance, block, sent)
+    table = _unpacked(table)
     labels = F.expr("transform(sequence(0, size(classes) - 1), i -> named_struct('label', classes[i], 'votes', counts[i], 'log_odds', log_odds[i]))")
     # an item's parts all hold its classes' log-odds; block 0 is one of them unless the deal left it empty
     first = table.where("parts = 1").unionByName(table.where("parts > 1").dropDuplicates(["field", "item"]))
