@@ -43,10 +43,10 @@ def test_common_passages_by_windows(spark):
     rows = corpus(4)
     pairs, covered = brute(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got, _ = spans.shared_runs(df, "doc_id", "text", whole=0)
+    got, _ = spans.shared_runs(df, "doc_id", "text", crowd=0)
     linked = {frozenset(p) for p in pairs}
     assert {frozenset((r.lo, r.hi)) for r in got.collect()} <= linked
-    shares = {r.doc_id: r.shared_chars for r in spans.shared_share(df, "doc_id", "text", whole=0).collect()}
+    shares = {r.doc_id: r.shared_chars for r in spans.shared_share(df, "doc_id", "text", crowd=0).collect()}
     assert shares == covered
 
 
@@ -64,8 +64,8 @@ def test_all_pairs_of_common_passages(spark):
     rows = corpus(6)
     pairs, _ = brute(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for whole in (0, 5):
-        got = [(r.lo, r.hi) for r in spans.shared_runs(df, "doc_id", "text", whole=whole)[0].collect()]
-        assert len(got) == len(set(got)) and set(got) == pairs, whole
-    clusters = lambda whole: {tuple(r) for r in spans.removal_clusters(df, "doc_id", "text", whole=whole).collect()}
+    for crowd in (0, 5):
+        got = [(r.lo, r.hi) for r in spans.shared_runs(df, "doc_id", "text", crowd=crowd)[0].collect()]
+        assert len(got) == len(set(got)) and set(got) == pairs, crowd
+    clusters = lambda crowd: {tuple(r) for r in spans.removal_clusters(df, "doc_id", "text", crowd=crowd).collect()}
     assert clusters(0) == clusters(1000)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical, consensus, encoding, fuzzy, mixing, names, pairing, sentences, spans, tokens
+from . import canonical, consensus, encoding, fuzzy, mixing, names, pairing, paragraphs, sentences, spans, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -158,6 +158,11 @@ def p10_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return spans.removal_clusters(documents(spark, folder), "doc_id", "text")
 
 
+def p10_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Paragraphs that recur, nearly the same, and the one of each cluster to keep."""
+    return paragraphs.repeated_paragraphs(documents(spark, folder), "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
 
