@@ -37,3 +37,25 @@ def test_short_forms_with_a_typing_error(spark):
     got = {r.name: r.cluster for r in names.name_clusters(spark.createDataFrame([(n,) for n in rows], "name string"), "name").collect()}
     assert len({got[n] for n in rows[:4]}) == 1
     assert len({got[n] for n in rows}) == len(rows) - 3
+
+
+def test_rare_tokens_decide(spark):
+    syllables = "ba ko li ra mu te so vi".split()
+    lasts = [a + b + c for a in syllables for b in syllables for c in ("dar", "nik", "sen")]
+    rows = [f"{first} {last}" for k, first in enumerate(("Anna", "Anne", "Petra", "Goran")) for last in lasts[k * 30 : k * 30 + 60]]
+    rows += [f"{first} Lee" for first in ("Anna", "Anne", "Petra", "Goran", "Ida", "Oto", "Ella", "Hugo", "Mira")] + ["Goran Wikobarus", "Gorqn Wikobarus", "Gorann Wikobarsu"]
+    got = {r.name: r.cluster for r in names.name_clusters(spark.createDataFrame([(n,) for n in rows], "name string"), "name").collect()}
+    assert len({got[n] for n in rows[-3:]}) == 1
+    assert got["Anna Lee"] != got["Anne Lee"]
+
+
+def test_half_grams_lose_no_typing_error():
+    import itertools
+
+    letters = "abcde"
+    for word in ("abc", "abcd", "abcde", "abcdeab", "abcdeabc"):
+        n = len(word)
+        near = {word[:i] + word[i + 1 :] for i in range(n)} | {word[:i] + c + word[i + 1 :] for i, c in itertools.product(range(n), letters)}
+        near |= {word[:i] + c + word[i:] for i, c in itertools.product(range(n + 1), letters)} | {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(n - 1)}
+        for other in near - {word}:
+            assert names.token_grams(word) & names.token_grams(other), (word, other)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -119,27 +120,38 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or (a[i + 2 :] == b[i + 2 :] and a[i : i + 2] == b[i : i + 2][::-1])
 
 
-def token_similarity(a: str, b: str) -> float:
-    """1 for equal tokens, less for short forms, initials and one typing error, 0 otherwise."""
+EQUAL, SHORT, TYPED, OTHER = 0, 1, 2, 3
+
+
+def token_match(a: str, b: str) -> int:
+    """EQUAL tokens, SHORT form or initial of each other, TYPED with one error, or OTHER."""
     if a == b:
-        return 1.0
+        return EQUAL
     if len(a) == 1 or len(b) == 1:
-        return 0.85 if a[:1] == b[:1] else 0.0
+        return SHORT if a[:1] == b[:1] else OTHER
     if _NICK_OF.get(a, {a}) & _NICK_OF.get(b, {b}):
-        return 0.95
-    return 0.9 if min(len(a), len(b)) >= 2 and max(len(a), len(b)) >= 3 and one_edit(a, b) else 0.0
+        return SHORT
+    return TYPED if min(len(a), len(b)) >= 2 and max(len(a), len(b)) >= 3 and one_edit(a, b) else OTHER
+
 
+def rarity(df: Column, total: Column) -> Column:
+    """1 for a token of one name among all, towards 0 the more names have it."""
+    return F.log(1 + total / df) / F.log(1 + total)
 
-def soft_similarity(a: Sequence[str], b: Sequence[str], weights: dict[str, float]) -> float:
-    """Similarity of names of equal structure: token similarities weighted by rarity; 0 if any two tokens differ."""
-    total = met = 0.0
-    for x, y in zip(a, b):
-        s = token_similarity(x, y)
-        if not s:
-            return 0.0
-        w = min(weights.get(x, 1.0), weights.get(y, 1.0))
-        total, met = total + w, met + w * s
-    return met / total if total else 0.0
+
+def soft_similarity(places: Sequence[tuple[Column, Column, Column]], total: Column) -> Column:
+    """Mean similarity of the tokens of two names, weighted by rarity; places: match, and how many names have each token.
+
+    A short form counts 0.9. One typing error counts as much as it is likely to be one: fully if one of the two tokens
+    is rare, among all names or beside the other, and little if both are frequent tokens of their own.
+    """
+    weighted, weights = F.lit(0.0), F.lit(0.0)
+    for match, a, b in places:
+        rare = rarity(F.least(a, b), total)
+        typed = 1 - F.least(2 * (1 - rare), 8 * F.least(a, b) / F.greatest(a, b), F.lit(1.0))
+        alike = F.when(match == EQUAL, 1.0).when(match == SHORT, 0.9).otherwise(typed)
+        weighted, weights = weighted + rare * alike, weights + rare
+    return weighted / weights
 
 
 def _parsed(titles: frozenset[str], pronouns: frozenset[str]):
@@ -152,31 +164,46 @@ def _parsed(titles: frozenset[str], pronouns: frozenset[str]):
     return run
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct bigrams, marked at both ends, of each name's last and first token; a short form's grams are those of the names it may stand for."""
-    for batch in batches:
-        rows = set()
-        for key, kind, first, last in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            for place, tokens in (("l", [last]), ("f", sorted(_NICK_OF.get(first, {first})) if kind == "p" else [first])):
-                for token in tokens:
-                    marked = f"^{token}$"
-                    rows |= {(key, place, token, marked[i : i + 2]) for i in range(len(marked) - 1)}
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*sorted(rows)) if rows else [()] * 4)], ["key", "place", "token", "gram"])
+def token_grams(token: str) -> set[str]:
+    """The q-grams of a token by which it is found: its start and its end of just under half its length.
 
+    One typing error, the swap of neighbours included, leaves the start or the end of the shorter token's half whole, so
+    of each token's q-grams these few are a prefix that no pair escapes. Tokens that may have partners of other lengths
+    give the q-grams of both q; where a half has no letter the q-gram is empty.
+    """
+    out = set()
+    for q in {max(0, (len(token) - 1) // 2), max(0, (len(token) - 2) // 2)}:
+        out |= {f"{token[:q]}^", f"{token[len(token) - q :]}$"} if q else {""}
+    return out
 
-def _verify(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            get = lambda n: batch.column(batch.schema.get_field_index(n)).to_pylist()
-            keep = []
-            for ak, bk, af, bf, ai, bi, al, bl, aw, bw in zip(*(get(c) for c in ("a_kind", "b_kind", "a_first", "b_first", "a_initials", "b_initials", "a_last", "b_last", "a_weights", "b_weights"))):
-                weights = {t: max(0.1, w) for pairs in (aw, bw) for t, w in ((p["token"], p["weight"]) for p in pairs)}
-                left, right = ([af, al], [bf, bl]) if ak == "p" else ([af, ai, al], [bf, bi, bl])
-                clash = ak == "p" and ai and bi and ai[0] != bi[0]
-                keep.append(ak == bk and not clash and soft_similarity(left, right, weights) >= threshold)
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return run
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The names, once for each pair of q-grams of their last and first token; a short form also has those of what it may stand for."""
+    for batch in batches:
+        rows, lasts, firsts = [], [], []
+        get = lambda n: batch.column(batch.schema.get_field_index(n)).to_pylist()
+        for row, (kind, first, last) in enumerate(zip(get("kind"), get("first"), get("last"))):
+            heads = set().union(*(token_grams(t) for t in ({first} | _NICK_OF.get(first, set()) if kind == "p" else {first})))
+            for x in token_grams(last):
+                rows += [row] * len(heads)
+                lasts += [x] * len(heads)
+                firsts += heads
+        kept = [c.take(pa.array(rows, pa.int64())) for c in batch.columns]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(lasts, pa.string()), pa.array(firsts, pa.string())], [*batch.schema.names, "l", "f"])
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates whose tokens fit, with how they fit."""
+    for batch in batches:
+        get = lambda n: batch.column(batch.schema.get_field_index(n)).to_pylist()
+        first = [token_match(x, y) for x, y in zip(get("a_first"), get("b_first"))]
+        last = [token_match(x, y) for x, y in zip(get("a_last"), get("b_last"))]
+        clash = [
+            (x and y and x[0] != y[0]) if kind == "p" else token_match(x, y) == OTHER for kind, x, y in zip(get("kind"), get("a_initials"), get("b_initials"))
+        ]
+        keep = pa.array([f != OTHER and g != OTHER and not c for f, g, c in zip(first, last, clash)], pa.bool_())
+        out = batch.append_column("first_match", pa.array(first, pa.int32())).append_column("last_match", pa.array(last, pa.int32()))
+        yield out.filter(keep).select(["a", "b", "kind", "a_first", "b_first", "a_last", "b_last", "first_match", "last_match"])
 
 
 def parsed_names(names: DataFrame, column: str, titles: Sequence[str] = (), pronouns: Sequence[str] = ()) -> DataFrame:
@@ -186,31 +213,34 @@ def parsed_names(names: DataFrame, column: str, titles: Sequence[str] = (), pron
     return some.mapInArrow(_parsed(t, p), "name string, kind string, first string, initials string, last string")
 
 
-def full_pairs(full: DataFrame, threshold: float) -> DataFrame:
+def candidates(full: DataFrame) -> DataFrame:
+    """Pairs of full names that share a q-gram of their last and one of their first token, and whose last tokens are near.
+
+    Both q-grams, each about half a token, and the kind are one join key, so its groups are small; the bound on the edit
+    distance of the last tokens is part of the join, so that only pairs within it leave it.
+    """
+    grams = cut(full.select("key", "kind", "first", "initials", "last").mapInArrow(_grams, "key string, kind string, first string, initials string, last string, l string, f string"))
+    side = lambda s, k: grams.select("kind", "l", "f", F.col("key").alias(k), *(F.col(c).alias(f"{s}_{c}") for c in ("first", "initials", "last")))
+    met = side("a", "a").join(side("b", "b"), ["kind", "l", "f"]).where("a < b and abs(length(a_last) - length(b_last)) <= 1 and levenshtein(a_last, b_last, 2) >= 0")
+    return met.drop("l", "f").distinct()
+
+
+def full_pairs(full: DataFrame, threshold: float, salts: int = 16) -> DataFrame:
     """Pairs (a, b) of keys of full names that are similar enough.
 
-    One typing error changes at most three of a token's bigrams, so of the rarest four of each of two such tokens one is
-    common (prefix filter; bigrams are ranked by their frequency over all names). A candidate shares one of both the
-    last and the first token, which join as one key.
+    Pairs without a typing error need no weights. For the others the names that have each token are counted; a token in
+    many pairs is met in `salts` parts.
     """
-    grams = full.select("key", "kind", "first", "last").mapInArrow(_grams, "key string, place string, token string, gram string")
-    df = grams.groupBy("place", "gram").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("key", "place", "token").orderBy("df", "gram"))
-    prefix = grams.join(df, ["place", "gram"]).withColumn("rank", rank).where("rank <= 4").select("key", "place", "gram").distinct()
-    prefix = prefix.groupBy("key").agg(F.collect_set(F.when(F.col("place") == "l", F.col("gram"))).alias("l"), F.collect_set(F.when(F.col("place") == "f", F.col("gram"))).alias("f"))
-    prefix = cut(prefix.select("key", F.explode("l").alias("l"), "f").select("key", "l", F.explode("f").alias("f")))
-    met = prefix.withColumnRenamed("key", "a").join(prefix.withColumnRenamed("key", "b"), ["l", "f"]).where("a < b").select("a", "b")
-    # weights: rare tokens count more
-    tokens = full.select("key", F.explode(F.array("first", "last")).alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    total = full.agg(F.count("*").alias("all"))
-    weighted = tokens.join(counts, "token").crossJoin(F.broadcast(total)).groupBy("key").agg(F.collect_list(F.struct("token", F.log(F.lit(1.0) + F.col("all") / F.col("n")).alias("weight"))).alias("weights"))
-    known = cut(full.select("key", "kind", "first", "initials", "last").join(weighted, "key"))
-    side = lambda s: known.select(F.col("key").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("kind", "first", "initials", "last", "weights")))
-    # cheap bounds before the tokens themselves: lengths, and first letters of at least one token
-    near = met.distinct().join(side("a"), "a").join(side("b"), "b")
-    near = near.where("abs(length(a_last) - length(b_last)) <= 1 and (levenshtein(a_last, b_last, 2) >= 0)")
-    return near.mapInArrow(_verify(threshold), "a string, b string")
+    fit = cut(candidates(full).mapInArrow(_matched, "a string, b string, kind string, a_first string, b_first string, a_last string, b_last string, first_match int, last_match int"))
+    typed = (F.col("first_match") == TYPED) | (F.col("last_match") == TYPED)
+    count = lambda place: full.groupBy("kind", F.col(place).alias("token")).agg(F.count("*").alias("n")).withColumn("salt", F.explode(F.expr(f"sequence(0, {salts} - 1)")))
+    near = fit.where(typed).withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(salts)).cast("int"))
+    for place in ("first", "last"):
+        for s in "ab":
+            near = near.join(count(place).withColumnsRenamed({"token": f"{s}_{place}", "n": f"{s}_{place}_n"}), ["kind", f"{s}_{place}", "salt"])
+    near = near.crossJoin(F.broadcast(full.groupBy().agg(F.count("*").alias("total"))))
+    score = soft_similarity([(F.col(f"{p}_match"), F.col(f"a_{p}_n"), F.col(f"b_{p}_n")) for p in ("first", "last")], F.col("total"))
+    return fit.where(~typed).select("a", "b").unionByName(near.where(score >= threshold).select("a", "b"))
 
 
 def _one_error(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,28 +249,34 @@ def _one_error(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array([min(len(a), len(b)) >= LONE_LAST and one_edit(a, b) for a, b in zip(last, near)], pa.bool_()))
 
 
+def _last_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [sorted(token_grams(x)) for x in batch.column(batch.schema.get_field_index("last")).to_pylist()]
+        rows = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
+        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns), pa.array([g for x in found for g in x], pa.string())], [*batch.schema.names, "gram"])
+
+
 def near_lasts(short: DataFrame, full: DataFrame) -> DataFrame:
     """Rows (kind, place, last, near): for last names of short forms that no full form has, those of full forms one typing error away.
 
-    Same prefix filter as full_pairs; both have LONE_LAST letters or more, as no first name backs the match.
+    Same q-grams as full_pairs; both have LONE_LAST letters or more, as no first name backs the match.
     """
     keys = ["kind", "place", "last"]
     known = full.select(*keys).distinct()
     both = known.withColumn("full", F.lit(True)).unionByName(short.select(*keys).distinct().join(known, keys, "left_anti").withColumn("full", F.lit(False)))
-    marked = F.concat(F.lit("^"), "last", F.lit("$")).alias("m")
-    grams = both.where(F.length("last") >= LONE_LAST).select(*keys, "full", marked)
-    grams = grams.select(*keys, "full", F.explode(F.array_distinct(F.expr("transform(sequence(1, length(m) - 1), i -> substring(m, i, 2))"))).alias("gram"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("df", "gram"))
-    prefix = cut(grams.join(grams.groupBy("gram").agg(F.count("*").alias("df")), "gram").withColumn("rank", rank).where("rank <= 4").select(*keys, "full", "gram"))
-    met = prefix.where("not full").drop("full").join(prefix.where("full").drop("full").withColumnRenamed("last", "near"), ["kind", "place", "gram"]).select(*keys, "near").distinct()
+    grams = cut(both.where(F.length("last") >= LONE_LAST).mapInArrow(_last_grams, "kind string, place string, last string, full boolean, gram string"))
+    met = grams.where("not full").drop("full").join(grams.where("full").drop("full").withColumnRenamed("last", "near"), ["kind", "place", "gram"])
+    met = met.where("abs(length(last) - length(near)) <= 1 and levenshtein(last, near, 2) >= 0").select(*keys, "near").distinct()
     return cut(met.mapInArrow(_one_error, "kind string, place string, last string, near string"))
 
 
-def name_clusters(names: DataFrame, column: str, titles: Sequence[str] = (), pronouns: Sequence[str] = (), threshold: float = 0.8) -> DataFrame:
+def name_clusters(names: DataFrame, column: str, titles: Sequence[str] = (), pronouns: Sequence[str] = (), threshold: float = 0.7) -> DataFrame:
     """Rows (name, cluster): spellings of one person or organisation share a cluster; spellings of nobody have no row.
 
     Full names (first and last, or an organisation's three parts) are linked if their tokens agree but for short forms
-    and one typing error each, weighted by rarity. A name without first name is linked to the full names with its last
+    and one typing error each, and the mean of their similarities, weighted by rarity, reaches the threshold: an error in
+    a frequent first name is forgiven beside a rare last name, not beside a frequent one, and two frequent tokens one
+    letter apart are two. A name without first name is linked to the full names with its last
     name, or if there are none to those with one a typing error away, if these are one cluster among those that its
     initials allow; else it stands with its like. Names that differ
     only in case, blanks, hyphens, titles, order, possessive or middle initials are the same at once. Null and empty
