@@ -62,6 +62,15 @@ def test_crowded_and_hot_keys_lose_nothing(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_keys_dealt_to_blocks_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "KEY_ROWS", 5)
+    monkeypatch.setattr(fuzzy, "TASK_ROWS", 50)
+    base = [f"w{i}" for i in range(30)]
+    rows = [(f"q{k:03d}", " ".join(base[:k % 30] + [f"x{k % 3}"] + base[k % 30 + 1 :])) for k in range(45)]
+    got = {(r.lo, r.hi) for r in fuzzy.near_pairs(spark.createDataFrame(rows, "id string, text string"), "id", "text").collect()}
+    assert got == brute(rows)
+
+
 def test_classes_and_links(spark):
     base = [f"w{i}" for i in range(30)]
     rows = [("a", " ".join(base)), ("b", " ".join(base[:-1] + ["x"])), ("c", " ".join(base).upper()), ("d", " ".join(f"v{i}" for i in range(30)))]

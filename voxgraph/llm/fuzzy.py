@@ -35,8 +35,12 @@ from .textforms import canonical, words
 COUNTS = np.unique(np.concatenate([np.arange(1, 4), np.ceil(3 * 1.55 ** np.arange(1, 36)).astype(np.int64)]))
 #: Buckets of the histogram of word frequencies by which words are ranked; its size doesn't depend on the corpus.
 BUCKETS = 1 << 20
-#: Bits of the bitmaps of keys that more than three texts have, and of those that more than HOT have.
-BITMAP, HOT = 1 << 24, 50
+#: A key that more than three texts have is crowded, one that more than HOT have is hot.
+CROWD, HOT = 3, 50
+#: Bits of a bitmap per key in it, at most one bit in eight set; the least and the largest bitmap (256 MB).
+SPARSE, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 31
+#: Rows of a task that pairs the texts of crowded keys, and rows of one key that a task pairs at once.
+TASK_ROWS, KEY_ROWS = 200_000, 2000
 WHOLE, REST = 1, 2
 BOTH = WHOLE | REST
 
@@ -169,9 +173,10 @@ def _crowded_keys(ranks, num: int, den: int, crowded, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, offsets, codes in _batches(batches):
             text, key, role = fuzzy_keys(offsets, codes, ranks.value, num, den)
-            h = key & (BITMAP - 1)
+            h = key & (len(crowded.value) * 64 - 1)
             keep = (crowded.value[h >> 6] >> (h & 63)) & 1 == 1
-            text, key, role, h = text[keep], key[keep], role[keep], h[keep]
+            text, key, role = text[keep], key[keep], role[keep]
+            h = key & (len(hot.value) * 64 - 1)
             is_hot = (hot.value[h >> 6] >> (h & 63)) & 1 == 1
             if is_hot.any():
                 n = np.diff(offsets)
@@ -191,13 +196,38 @@ def _crowded_keys(ranks, num: int, den: int, crowded, hot):
     return run
 
 
-def _bitmap(hot: DataFrame) -> np.ndarray:
-    """A bit for each hash of a hot key: BITMAP bits, however many keys there are."""
-    h = hot.select((F.col("key").bitwiseAND(F.lit(BITMAP - 1))).alias("h"))
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bit for each key's hash. The number of bits follows the number of keys, up to MOST_BITS.
+
+    A key that is no member but has its bit set only makes more rows, never other pairs.
+    """
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, SPARSE * keys.count()):
+        bits *= 2
+    h = keys.select((F.col("key").bitwiseAND(F.lit(bits - 1))).alias("h"))
     words_ = h.groupBy(F.shiftright("h", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("b")).toArrow()
-    bits = np.zeros(BITMAP >> 6, np.int64)
-    bits[words_["w"].to_numpy()] = words_["b"].to_numpy()
-    return bits
+    out = np.zeros(bits >> 6, np.int64)
+    out[words_["w"].to_numpy()] = words_["b"].to_numpy()
+    return out
+
+
+def _crowd_pairs(many: DataFrame, apart: str) -> DataFrame:
+    """Pairs (a, b) of rows that share a key, one with WHOLE and one with REST, and are not too far apart by sketch.
+
+    Keys are spread over as many tasks as the rows need. A key with more than KEY_ROWS rows is dealt to blocks of rows,
+    each pair of which is a join key of its own.
+    """
+    n = many.count() // TASK_ROWS + 1
+    heavy = many.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > KEY_ROWS)
+    heavy = heavy.select("key", F.ceil(F.col("rows") / KEY_ROWS).cast("int").alias("blocks"), F.explode(F.expr("sequence(0, 63)")).alias("salt"))
+    dealt = many.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(64)).cast("int")).join(heavy, ["key", "salt"], "left").drop("salt")
+    dealt = dealt.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.expr("cast(pmod(xxhash64(2, v), blocks) as int)"))
+    a = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.expr("sequence(own, blocks - 1)")))
+    b = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.expr("sequence(0, own)")))
+    a, b = (x.drop("own", "blocks").repartition(n, "key", "i", "j") for x in (a, b))
+    same = "a.key = b.key and a.i = b.i and a.j = b.j and (a.i < a.j or a.v < b.v)"
+    roles = f"(((a.v & {WHOLE}) > 0 and (b.v & {REST}) > 0) or ((a.v & {REST}) > 0 and (b.v & {WHOLE}) > 0))"
+    return a.alias("a").join(b.alias("b"), F.expr(f"{same} and {roles} and {apart}")).select(F.col("a.v").alias("a"), F.col("b.v").alias("b"))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,12 +267,11 @@ def form_pairs(base: DataFrame, num: int, den: int) -> DataFrame:
     keys = forms.select("f", "codes").mapInArrow(_keys(ranks, num, den), "v long, key long")
     met = keys.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.expr("bit_xor(v)").alias("x"), F.count("*").alias("times"), F.expr("bit_or(v & 3)").alias("roles"))
     met = cut(met.where("a < b and roles = 3").drop("roles"))
-    crowded, hot = (forms.sparkSession.sparkContext.broadcast(_bitmap(met.where(F.col("times") > t).select("key"))) for t in (3, HOT))
+    crowded, hot = (forms.sparkSession.sparkContext.broadcast(_bitmap(met.where(F.col("times") > t).select("key"))) for t in (CROWD, HOT))
     many = cut(forms.select("f", "codes", "n", "s1", "s2").mapInArrow(_crowded_keys(ranks, num, den, crowded, hot), "v long, key long, n int, s1 long, s2 long"))
     # the words by which two texts differ flip at least as many words' parities as parities differ
     apart = f"bit_count(a.s1 ^ b.s1) + bit_count(a.s2 ^ b.s2) <= 2 * (greatest(a.n, b.n) - ceil(greatest(a.n, b.n) * {num} / {den})) and least(a.n, b.n) * {den} >= greatest(a.n, b.n) * {num}"
-    crowd = many.alias("a").join(many.alias("b"), F.expr(f"a.key = b.key and a.v < b.v and (((a.v & 1) > 0 and (b.v & 2) > 0) or ((a.v & 2) > 0 and (b.v & 1) > 0)) and {apart}"))
-    crowd = crowd.select(F.col("a.v").alias("a"), F.col("b.v").alias("b"))
+    crowd = _crowd_pairs(many, apart)
     c = met.where("times = 3").withColumn("c", F.expr("a ^ b ^ x"))
     third = c.select("a", F.col("c").alias("b")).unionByName(c.select(F.col("c").alias("a"), "b"))
     number = lambda df: df.select(F.shiftright("a", 2).alias("a"), F.shiftright("b", 2).alias("b")).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).where("x < y").distinct()
