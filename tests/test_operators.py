@@ -171,7 +171,7 @@ def test_sure_items_decide(spark):
     s = "bridge string, text string, next_text string, speaker string, speaker_qid string, speaker_probability double, next_speaker string, next_speaker_qid string, next_speaker_probability double, judge_merge string, judge_margin double"
     data = [(" , ", "t", "t", "A", "Q1", 0.6, "B", "Q1", 0.9, None, None), (" , ", "t", "t", "A", "Q1", 0.59, "B", "Q1", 0.9, None, None), ("so it", "t", "t", None, None, None, None, None, None, "yes", 2.0), ("so it", "t", "t", None, None, None, None, None, None, "yes", 1.0)]
     got = [(r.merge, r.reason) for r in merge.decide(spark.createDataFrame(data, s)).collect()]
-    assert got == [("yes", "continued_news_quote"), ("no", "different_speakers"), ("yes", "judged"), ("no", "low_margin_or_no")]
+    assert got == [("yes", "continued_news_quote"), ("no", "different_speakers"), ("yes", "judged"), ("no", "ambiguous")]
 
 
 def test_blocks(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .text import collapse_blanks, fold_key, looks_garbled, normal_answer
 
+# fixed values
 DELIMITERS = r"(?i)(``|''|</blockquote>|<blockquote[^>]*>|\\endblockquote|\\blockquote)"
 OPENING, CLOSING = r"(?i)^(``|\\blockquote|<blockquote[^>]*>)$", r"(?i)^(''|</blockquote>|\\endblockquote)$"
 # fixed values: what page converters leave behind
@@ -32,8 +33,11 @@ def curly_marks(tokens: Column) -> Column:
 
 
 def possessive_outside(text: Column) -> Column:
-    """A possessive that a closing mark follows, after the mark: “ the world 's ” as “ the world ” 's."""
-    return F.regexp_replace(text, r"(“[^“”]*) 's ”", "$1 ” 's")
+    """A possessive before the mark that closes an open quotation, after that mark: “ the world 's ” as “ the world ” 's.
+
+    The quotation may hold further, closed quotations.
+    """
+    return F.regexp_replace(text, r"(“[^“”]*(?:“[^“”]*”[^“”]*)*) 's ”", "$1 ” 's")
 
 
 def detokenised(tokens: Column) -> Column:
@@ -45,8 +49,14 @@ def detokenised(tokens: Column) -> Column:
 
 
 def clean_dump(text: Column) -> Column:
-    """Readable text of a tokenised page: detokenised, without script rests, tags and page furniture; empty for null and blank."""
-    x = detokenised(F.split(collapse_blanks(text), " "))
+    """Readable text of a tokenised page: garbled marks rejoined, detokenised, without script rests, tags and page furniture.
+
+    Empty for null and blank. Question marks inside words are repaired before, by restore.apply_repairs, as they need
+    the corpus's lexicon.
+    """
+    from ..operators.restore import rejoin_garbled
+
+    x = detokenised(F.split(collapse_blanks(rejoin_garbled(F.coalesce(text, F.lit("")))), " "))
     x = F.regexp_replace(F.regexp_replace(x, SCRIPT_REST, " "), SPACED_TAG, " ")
     return collapse_blanks(F.regexp_replace(F.regexp_replace(F.trim(x), PAGE_HEAD, ""), PAGE_FOOT, ""))
 
@@ -71,7 +81,7 @@ def canonical_candidate(x: Column) -> Column:
     c = F.trim(F.substring_index(c, ",", 1))
     c = F.trim(F.regexp_replace(F.regexp_replace(c, r"^[A-Z][A-Za-z]+ '?s\s+", ""), ROLE_BEFORE, ""))
     words = F.split(c, " ")
-    capital = F.filter(words, lambda w: w.rlike(r"^[A-Z][A-Za-z.'-]*$"))
+    capital = F.filter(words, lambda w: w.rlike(r"^(?:[A-Z]\.?|[A-Z][A-Za-z.'-]*)$"))
     roles = F.exists(words, lambda w: F.lower(F.regexp_replace(w, r"^\.+|\.+$", "")).isin(ROLE_WORDS))
     short = F.when((F.size(words) > 2) & roles & (F.size(capital) >= 2), F.array_join(F.slice(capital, -2, 2), " ")).otherwise(c)
     return F.regexp_replace(short, edge, "")

@@ -1,4 +1,4 @@
-"""Word lists and patterns of the rules by which quotations are joined, in the order of their source."""
+"""Word lists and patterns that results depend on, each whole and in the order of its source."""
 
 # ruff: noqa: E501
 # fixed values
@@ -26,3 +26,26 @@ PRONOUNS = """
 TITLES = """
     mr mrs ms miss dr prof rep reps sen sens senator representative governor gov president
 """.split()
+
+# fixed values: words of attribution scores
+TITLE_TOKENS = "chief deputy dr governor gov mr mrs ms president prof rep representative secretary sen senator".split()
+QUOTATIVE_VERBS = "added announced asked insisted replied responded said says stated told tweeted warned wrote".split()
+UNKNOWN_MARKERS = ("", "unknown", "none", "no speaker", "not stated", "not found", "n/a", "null")
+INSTITUTIONAL_PROXY = (
+    r"\bthe\s+(?:report|agency|company|department|administration|committee|"
+    r"filing|document|piece|editorial|statement|lawsuit|brief|memo|order|"
+    r"ruling|opinion|complaint|indictment|motion|petition|judgment|"
+    r"news\s+release|press\s+release|suit|note|tweet|email|letter|release|"
+    r"notice|warning)\b|"
+    r"\bit\s+(?:said|states|reads|notes|reports|added|continues)\b|"
+    r"\b(?:an?\s+)?editorial\s+(?:in|said|read)\b|"
+    r"\bin\s+a\s+statement\b|"
+    r"\baccording\s+to\s+the\s+(?:report|agency|company|department|filing|"
+    r"document|statement|lawsuit|brief|news\s+release|press\s+release|"
+    r"editorial|memo)\b|"
+    r"\b(?:said|read)\s+an?\s+(?:editorial|statement|filing|brief|memo|"
+    r"complaint|indictment|motion|order|ruling|petition|lawsuit|press\s+release|"
+    r"news\s+release)\b|"
+    r"\bthe\s+(?:company|filing|suit|report|agency)\s+(?:stated|said|added|"
+    r"alleges|claims|reads|states|notes)\b"
+)

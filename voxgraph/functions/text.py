@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fixed import UNKNOWN_MARKERS
+
 WORD = r"(?U)\w+"
 #: Fixed markers of masked text.
 MASK, QUOTE, TARGET_QUOTE = "[MASK]", "[QUOTE]", "[TARGET_QUOTE]"
@@ -136,7 +138,7 @@ def minimal_person(surface: Column) -> Column:
     return F.regexp_replace(F.trim(surface), r"(?i)^(mr|mrs|ms|miss|dr|prof|sir|dame|lord|lady|president|senator|sen|rep|gov|judge|minister|captain)\.?\s+", "")
 
 
-def normal_answer(x: Column, unknown: Sequence[str] = ("unknown", "none", "n/a", "null", "not stated")) -> Column:
+def normal_answer(x: Column, unknown: Sequence[str] = UNKNOWN_MARKERS) -> Column:
     """Lower case, blanks collapsed, outer punctuation removed; markers of no answer become empty."""
     t = F.lower(F.regexp_replace(F.trim(F.regexp_replace(x, r"(?U)\s+", " ")), r"""^[ "'`.,:;!?()\[\]{}]+|[ "'`.,:;!?()\[\]{}]+$""", ""))
     return F.when(F.lower(F.trim(x)).isin(list(unknown)), F.lit("")).otherwise(t)

@@ -7,11 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fixed import QUOTATIVE_VERBS, TITLE_TOKENS
 from ..functions.text import alnum_tokens, normal_answer
 
-QUOTATIVE = "said says say told tells tell asked asks ask added adds add wrote writes write replied replies reply argued argues argue warned warns warn noted notes note claimed claims claim".split()
-TITLE_TOKENS = "mr mrs ms dr prof president senator sen rep representative gov governor minister secretary chief director ceo chairman chairwoman spokesman spokeswoman judge mayor captain general".split()
-
 
 def rates(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
     """Precision, recall and their harmonic mean; 0 where a denominator is 0."""
@@ -67,7 +65,7 @@ def error_category() -> Column:
     listed = lambda words: F.array(*map(F.lit, words))
     return (
         F.when(relaxed_correct(), "correct").when((F.size(gold) == 0) & (F.size(pred) > 0), "false_positive_unknown").when((F.size(gold) > 0) & (F.size(pred) == 0), "missing_speaker")
-        .when(~F.arrays_overlap(pred, gold), "wrong_speaker").when(F.arrays_overlap(pred, listed(QUOTATIVE)), "speaker_span_includes_verb_or_clause").when(within & F.arrays_overlap(extra, listed(TITLE_TOKENS)), "title_or_role_expansion")
+        .when(~F.arrays_overlap(pred, gold), "wrong_speaker").when(F.arrays_overlap(pred, listed(QUOTATIVE_VERBS)), "speaker_span_includes_verb_or_clause").when(within & F.arrays_overlap(extra, listed(TITLE_TOKENS)), "title_or_role_expansion")
         .when(within, "overlong_name_span").when(F.size(extra) == 0, "underspecified_name_span").otherwise("alias_or_partial_overlap")
     )
 

@@ -46,8 +46,9 @@ def repair_questions(tokens: DataFrame, token: str, lex: DataFrame) -> DataFrame
     d = damaged.withColumn("core", core).withColumn("head", F.regexp_extract("token", EDGES, 1)).withColumn("tail", F.regexp_extract("token", EDGES, 3)).where(F.contains("core", F.lit("?")))
     q = question_lexicon(lex)
     exact = d.join(q, fold_key(F.col("core")) == F.col("fold_key")).where(fills_encoding(F.col("core"), F.col("surface"))).groupBy("token").agg(F.min("surface").alias("exact"))
-    # the wildcard pass: equal length is the join key, the pattern its residual
-    wide = d.select("token", "core", F.length("core").alias("len")).join(q.select("surface", F.length("surface").alias("len")), "len")
+    # the wildcard pass: both sides with a mark for whatever isn't an ASCII letter or digit, which the marks stand for
+    blind = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", "?"))
+    wide = d.select("token", "core", blind(F.col("core")).alias("form")).join(q.select("surface", blind(F.col("surface")).alias("form")), "form")
     wide = wide.where(wildcard_match(F.col("core"), F.col("surface")) & fills_encoding(F.col("core"), F.col("surface"))).groupBy("token").agg(F.countDistinct("surface").alias("k"), F.min("surface").alias("only")).where("k = 1")
     out = damaged.join(d.select("token", "head", "tail"), "token", "left").join(exact, "token", "left").join(wide.select("token", "only"), "token", "left")
     found = F.coalesce("exact", "only")
@@ -67,6 +68,7 @@ def rejoin_garbled(x: Column) -> Column:
     Order: split sequences are joined, shown sequences replaced, a euro sign before a letter or œ at a word's start dropped or made
     an opening mark, a left-over â at a word's end removed, and glued marks parted from words.
     """
+    # fixed values: split sequences and what they stood for
     steps = (
         (r"â\s+€\s*œ", "“"), (r"â\s+€\s*™", "’"), (r"â\s+€\s*\x9d", "”"), (r"â\s+€\s*˜", "‘"), (r"(?i)â\s+(s|t|re|ve|ll|d)\b", "'$1"), (r"â\s+€", "”"),
     )

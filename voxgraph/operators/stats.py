@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from math import erfc, log, pi, sqrt
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut, drop
+from .skew import exact_percentiles, value_counts
+
 #: Fixed: rows of at least so many words; bins and models of at least so many rows; sure attributions; widths of bins.
 LEAST_WORDS, LEAST_ROWS, SURE, AGE_WIDTH, GAP_WIDTH = 25, 100, 0.8, 5, 5
 
@@ -43,23 +47,47 @@ def binning_sensitivity(rows: DataFrame, score: str, gap: str, base: int = 5, le
     return bin_statistics(r, score, "label", "width", "gap_bin", least=least)
 
 
+def interpolated_percentiles(rows: DataFrame, column: str, shares: Sequence[float]) -> list[float]:
+    """Exact percentiles of a column, interpolated between neighbours; empty without a value.
+
+    The values at both neighbouring ranks are located by the range search of skew.exact_percentiles, so no task holds
+    all distinct values; the driver gets two values per share.
+    """
+    counts = value_counts(rows.select(F.lit(0).alias("_k"), F.col(column).cast("double").alias("_v")), "_k", "_v")
+    counts = cut(counts)
+    n = counts.where("value is not null").agg(F.sum("n")).first()[0]
+    if not n:
+        return []
+    places = [(n - 1) * q for q in shares]
+    ranks = sorted({min(n, int(p) + d) for p in places for d in (1, 2)})
+    # a share half a rank below makes the discrete percentile that rank's value
+    found = {r["q"]: r["result"] for r in exact_percentiles(counts, [(r - 0.5) / n for r in ranks]).collect()}
+    value = {r: found[(r - 0.5) / n] for r in ranks}
+    drop(counts)
+    return [value[int(p) + 1] + (p - int(p)) * (value[min(n, int(p) + 2)] - value[int(p) + 1]) for p in places]
+
+
 def quantile_bins(rows: DataFrame, column: str, parts: int = 20) -> DataFrame:
     """rows with <column>_bin, the number of the quantile bin (low, high] from 0, the least value in the first; equal edges join.
 
-    Edges are exact, interpolated percentiles; values are counted before they are merged, so work grows with distinct
-    values. Null stays null.
+    Edges are exact, interpolated percentiles. Null stays null.
     """
-    edges = rows.agg(F.array_distinct(F.expr(f"percentile(`{column}`, array({', '.join(str(i / parts) + 'D' for i in range(parts + 1))}))")).alias("_edges"))
-    low = F.size(F.filter("_edges", lambda e: e < F.col(column)))
-    return rows.crossJoin(F.broadcast(edges)).withColumn(f"{column}_bin", F.when(F.col(column).isNotNull(), F.greatest(low - 1, F.lit(0)))).drop("_edges")
+    edges = list(dict.fromkeys(interpolated_percentiles(rows, column, [i / parts for i in range(parts + 1)])))
+    low = F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)).cast("array<double>"), lambda e: e < F.col(column)))
+    return rows.withColumn(f"{column}_bin", F.when(F.col(column).isNotNull(), F.greatest(low - 1, F.lit(0))))
 
 
 def summary(edges: DataFrame) -> DataFrame:
-    """One row: quotes, speakers, targets, dyads, exact median and mean length, first and last year."""
-    return edges.agg(
-        F.count("*").alias("n_quotes"), F.countDistinct("source_id").alias("n_speakers"), F.countDistinct("target_id").alias("n_targets"), F.countDistinct("dyad_id").alias("n_dyads"),
-        F.median("n_words").alias("median_words"), F.avg("n_words").alias("mean_words"), F.min("pub_year").alias("first_year"), F.max("pub_year").alias("last_year"),
-    )
+    """One row: quotes, speakers, targets, dyads, exact median and mean length, first and last year.
+
+    Edges are counted by dyad first; the distinct counts work on that table.
+    """
+    dyads = cut(edges.groupBy("source_id", "target_id").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.count("n_words").alias("known"), F.min("pub_year").alias("low"), F.max("pub_year").alias("high")))
+    one = lambda c: dyads.select(c).where(F.col(c).isNotNull()).distinct().agg(F.count("*").alias("n")).first()[0]
+    median = interpolated_percentiles(edges, "n_words", [0.5])
+    all_ = dyads.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_quotes"), F.count("*").alias("n_dyads"), F.try_divide(F.sum("words"), F.sum("known")).alias("mean_words"), F.min("low").alias("first_year"), F.max("high").alias("last_year"))
+    made = {"n_speakers": F.lit(one("source_id")).cast("long"), "n_targets": F.lit(one("target_id")).cast("long"), "median_words": F.lit(median[0] if median else None).cast("double")}
+    return all_.withColumns(made).select("n_quotes", "n_speakers", "n_targets", "n_dyads", "median_words", "mean_words", "first_year", "last_year")
 
 
 class Fit:
@@ -94,29 +122,39 @@ def _design(numeric: Mapping[str, Column], categories: Mapping[str, Sequence[str
     return out
 
 
-def levels(rows: DataFrame, column: str, most: int = 20) -> list[str]:
-    """The most frequent levels of a category, at most `most`, sorted; rarer ones have no indicator and so share the first level's intercept."""
-    top = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(most)
-    return sorted(r[0] for r in top.collect())
+def levels(rows: DataFrame, column: str, most: int = 400) -> list[str]:
+    """All levels of a category, sorted; more than `most`, whose cross products would be too large, are an error."""
+    found = rows.where(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} levels; group the rare ones first")
+    return sorted(r[0] for r in found)
+
+
+def _products(k: int):
+    """Per batch the cross products of all columns (terms, then the score), upper half, as one array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        n = 0
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) if batch.num_rows else np.zeros((k, 0))
+            total, n = total + x @ x.T, n + batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.ravel()], pa.list_(pa.float64()))], ["n", "xx"])
+
+    return run
 
 
 def fit(rows: DataFrame, score: str, numeric: Mapping[str, Column], categories: Mapping[str, Sequence[str]] | None = None) -> Fit:
-    """Least squares in one pass: every task sends one row of cross products, whatever the number of rows."""
+    """Least squares in one pass: every task sends one matrix of cross products, whatever the number of rows."""
     x = _design(numeric, categories or {})
-    names, y = list(x), F.col(score).cast("double")
-    held = rows.select(y.alias("_y"), *(c.alias(f"_x{i}") for i, c in enumerate(x.values()))).dropna()
-    k = len(names)
-    sums = [F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")) for i in range(k) for j in range(i, k)] + [F.sum(F.col(f"_x{i}") * F.col("_y")) for i in range(k)] + [F.sum(F.col("_y") * F.col("_y")), F.sum("_y"), F.count("*")]
-    got = held.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()
-    n = int(got[-1])
-    if not n:
+    names, k = list(x), len(x)
+    held = rows.select(*(c.cast("double").alias(f"_x{i}") for i, c in enumerate(x.values())), F.col(score).cast("double").alias("_y")).dropna()
+    parts = held.mapInArrow(_products(k + 1), "n long, xx array<double>").select("n", F.posexplode("xx").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    got = {r["at"]: r for r in parts.collect()}
+    if not got or not got[0]["n"]:
         return Fit(names, np.zeros((k, k)), np.zeros(k), 0.0, 0.0, 0)
-    xx, at = np.zeros((k, k)), 0
-    for i in range(k):
-        for j in range(i, k):
-            xx[i, j] = xx[j, i] = got[at]
-            at += 1
-    return Fit(names, xx, np.array(got[at : at + k], float), float(got[-3]), float(got[-2]), n)
+    all_ = np.array([got[i]["v"] for i in range((k + 1) ** 2)]).reshape(k + 1, k + 1)
+    return Fit(names, all_[:k, :k], all_[:k, k], float(all_[k, k]), float(all_[0, k]), int(got[0]["n"]))
 
 
 def clustered_covariance(rows: DataFrame, model: Fit, score: str, numeric: Mapping[str, Column], cluster: str, categories: Mapping[str, Sequence[str]] | None = None) -> np.ndarray:
@@ -125,13 +163,11 @@ def clustered_covariance(rows: DataFrame, model: Fit, score: str, numeric: Mappi
     held = rows.select(F.col(cluster).alias("_g"), F.col(score).cast("double").alias("_y"), *(c.alias(f"_x{i}") for i, c in enumerate(x.values()))).dropna()
     k = len(model.names)
     error = F.col("_y") - sum((F.col(f"_x{i}") * float(b) for i, b in enumerate(model.beta)), F.lit(0.0))
-    parts = held.withColumn("_e", error).groupBy("_g").agg(*(F.sum(F.col(f"_x{i}") * F.col("_e")).alias(f"u{i}") for i in range(k)))
-    got = parts.agg(F.count("*").alias("g"), *(F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k))).first()
-    meat = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            meat[i, j] = meat[j, i] = got[f"m{i}_{j}"] or 0.0
-    bread, g, n = np.linalg.pinv(model.xx), got["g"], model.n
+    scores = held.withColumn("_e", error).groupBy("_g").agg(*(F.sum(F.col(f"_x{i}") * F.col("_e")).alias(f"u{i}") for i in range(k))).drop("_g")
+    parts = scores.mapInArrow(_products(k), "n long, xx array<double>").select("n", F.posexplode("xx").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    got = {r["at"]: r for r in parts.collect()}
+    meat = np.array([got[i]["v"] if i in got else 0.0 for i in range(k * k)]).reshape(k, k)
+    bread, g, n = np.linalg.pinv(model.xx), got[0]["n"] if got else 0, model.n
     return bread @ meat @ bread * (g / max(g - 1, 1)) * ((n - 1) / max(n - model.rank, 1))
 
 
@@ -139,15 +175,16 @@ def _tail(z: float) -> float:
     return erfc(abs(z) / sqrt(2))
 
 
-def gap_regression(rows: DataFrame, score: str, gap: str, attribute: str = "source_age", category: str = "source_occupation", cluster: str = "dyad_id") -> DataFrame | None:
+def gap_regression(rows: DataFrame, score: str, gap: str, attribute: str = "source_age", categories: Sequence[str] = ("source_occupation",), cluster: str = "dyad_id") -> DataFrame | None:
     """(term, coef, se, p_value, ci_low, ci_high, partial_eta_sq, n_obs, r_squared, aic, aic_linear) of gap and gap_sq; None under 100 rows.
 
-    The model has the gap, its square, the source's attribute, the logarithm of length and the occupation's levels;
-    errors are clustered by dyad, p-values normal. Rows with a null in any of these are left out.
+    The model has the gap, its square, the source's attribute, the logarithm of length and an intercept for each level of
+    each category (occupations of both ends and nationality, where the table has them); errors are clustered by dyad,
+    p-values normal. Rows with a null in any of these are left out.
     """
-    some = rows.where(" and ".join(f"`{c}` is not null" for c in (score, gap, attribute, category, "log_quote_length")))
+    some = rows.where(" and ".join(f"`{c}` is not null" for c in (score, gap, attribute, *categories, "log_quote_length")))
     numeric = {"gap": F.col(gap), "gap_sq": F.col(gap) ** 2, attribute: F.col(attribute), "log_quote_length": F.col("log_quote_length")}
-    cats = {category: levels(some, category)}
+    cats = {c: levels(some, c) for c in categories}
     model = fit(some, score, numeric, cats)
     if model.n < LEAST_ROWS:
         return None
@@ -155,12 +192,12 @@ def gap_regression(rows: DataFrame, score: str, gap: str, attribute: str = "sour
     return _report(rows, model, cov, ("gap", "gap_sq"), model.without("gap_sq").aic)
 
 
-def interaction_regression(rows: DataFrame, score: str, source: str, target: str, category: str = "source_occupation", cluster: str = "dyad_id") -> DataFrame | None:
+def interaction_regression(rows: DataFrame, score: str, source: str, target: str, categories: Sequence[str] = ("source_occupation",), cluster: str = "dyad_id") -> DataFrame | None:
     """As gap_regression, of source, target and source:target in a model with their product."""
-    some = rows.where(" and ".join(f"`{c}` is not null" for c in (score, source, target, category, "log_quote_length")))
+    some = rows.where(" and ".join(f"`{c}` is not null" for c in (score, source, target, *categories, "log_quote_length")))
     cross = f"{source}:{target}"
     numeric = {source: F.col(source), target: F.col(target), cross: F.col(source) * F.col(target), "log_quote_length": F.col("log_quote_length")}
-    cats = {category: levels(some, category)}
+    cats = {c: levels(some, c) for c in categories}
     model = fit(some, score, numeric, cats)
     if model.n < LEAST_ROWS:
         return None
@@ -187,18 +224,28 @@ def combined_error(model: Fit, covariance: np.ndarray, terms: Sequence[str]) ->
     return sqrt(max(float(covariance[np.ix_(at, at)].sum()), 0.0))
 
 
-def fdr(results: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
+def fdr(results: DataFrame, p: str, alpha: float = 0.05, parts: int = 1024) -> DataFrame:
     """results with p_adjusted and significant, by Benjamini and Hochberg; null p-values stay null and don't count.
 
-    One window over the table of results, which has a row per test.
+    Tests of equal p-values have the adjusted value of the last of them, so equal values are counted first; ranks come of
+    counts by `parts` ranges of p in [0, 1] and places within, and the running minimum of one within each range and one
+    over the ranges. No task holds more than a range of distinct values. Values outside [0, 1] are of the end ranges.
     """
-    some = F.col(p).isNotNull()
-    up = Window.partitionBy(F.lit(0)).orderBy(F.col(p).asc_nulls_last())
-    down = Window.partitionBy(F.lit(0)).orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.count(F.when(some, 1)).over(Window.partitionBy(F.lit(0)))
-    r = results.withColumn("_r", F.row_number().over(up)).withColumn("_n", n)
-    adjusted = F.least(F.lit(1.0), F.min(F.when(some, F.col(p) * F.col("_n") / F.col("_r"))).over(down))
-    return r.withColumn("p_adjusted", F.when(some, adjusted)).withColumn("significant", F.col("p_adjusted") < alpha).drop("_r", "_n")
+    counts = cut(results.where(F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("_p")).agg(F.count("*").alias("_n")))
+    counts = counts.withColumn("_b", F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor(F.col("_p") * parts))).cast("int"))
+    ranges = counts.groupBy("_b").agg(F.sum("_n").alias("_in"))
+    over = Window.partitionBy(F.lit(0)).orderBy("_b")  # at most `parts` rows
+    ranges = ranges.withColumn("_before", F.sum("_in").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in")).withColumn("_all", F.sum("_in").over(Window.partitionBy(F.lit(0))))
+    up = Window.partitionBy("_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(F.broadcast(ranges), "_b").withColumn("_rank", F.col("_before") + F.sum("_n").over(up))
+    raw = ranked.withColumn("_raw", F.col("_p") * F.col("_all") / F.col("_rank"))
+    down = Window.partitionBy("_b").orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    raw = cut(raw.withColumn("_own", F.min("_raw").over(down)).select("_p", "_b", "_own"))
+    least = raw.groupBy("_b").agg(F.min("_own").alias("_least"))
+    later = least.withColumn("_later", F.min("_least").over(Window.partitionBy(F.lit(0)).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1))).drop("_least")
+    adjusted = raw.join(F.broadcast(later), "_b").select("_p", F.least(F.lit(1.0), "_own", F.coalesce("_later", F.lit(1.0))).alias("p_adjusted"))
+    out = results.join(adjusted, F.col(p).cast("double") == F.col("_p"), "left").drop("_p")
+    return out.withColumn("significant", F.col("p_adjusted") < alpha)
 
 
 def global_rank(rows: DataFrame, order: Column, name: str) -> DataFrame:

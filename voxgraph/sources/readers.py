@@ -182,7 +182,9 @@ def article_batch(spark: SparkSession, path: str) -> DataFrame:
 
 
 def is_html(content_type: Column, body: Column) -> Column:
-    return F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("html")) | F.lower(F.left(body, F.lit(400))).rlike(r"<!doctype html|<html|<head|<body")
+    """Whether the type says html or xml, or the first 400 characters hold <html, <!doctype or <p."""
+    kind = F.lower(F.coalesce(content_type, F.lit("")))
+    return kind.rlike("html|xml") | F.lower(F.left(F.coalesce(body, F.lit("")), F.lit(400))).rlike("<html|<!doctype|<p")
 
 
 def html_text(html: Column) -> Column:
