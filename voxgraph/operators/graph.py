@@ -87,21 +87,23 @@ def resolve_redirects(redirects: DataFrame, source: str = "redirect", target: st
     A walk that would enter a node twice stops at the last unvisited one, so a cycle's nodes keep the node before
     themselves on it; a self-loop keeps itself. Rounds grow with the logarithm of the longest chain.
     """
+    done = None
     base = cut(redirects.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null").groupBy("s").agg(F.min("t").alias("t")))
     loops = base.where("s = t")
     # nodes that reach a cycle never end at a node without successor: find the others by doubling from ends backwards
-    links, done = base.where("s <> t"), None
-    pointer = links
+    links = base.where("s <> t")
+    pointer, known, last = links, links.select(F.col("s").alias("t")), None
     for _ in range(max_rounds):
         nxt = pointer.alias("a").join(pointer.alias("b"), F.col("a.t") == F.col("b.s"), "left")
         moved = cut(nxt.select(F.col("a.s").alias("s"), F.coalesce("b.t", "a.t").alias("t")))
-        changed = moved.alias("m").join(pointer.alias("p"), "s").where("m.t <> p.t and m.t <> s")
-        if changed.isEmpty():
+        # every round ends some chain, if one is still open: what stays open runs into a cycle
+        still = moved.join(known, "t", "left_semi").count()
+        if still in (0, last):
             done = moved
             break
-        pointer = moved
+        pointer, last = moved, still
     if done is None:
-        done = pointer
+        raise RuntimeError(f"redirects need more than {max_rounds} rounds")
     ended = done.join(links.select(F.col("s").alias("t")).unionByName(loops.select(F.col("s").alias("t"))).distinct(), "t", "left_anti").select("s", "t")
     at_loop = done.join(loops.select(F.col("s").alias("t")), "t", "left_semi").select("s", "t")
     stuck = links.join(ended, "s", "left_anti").join(at_loop.select("s"), "s", "left_anti")
@@ -113,9 +115,11 @@ def resolve_redirects(redirects: DataFrame, source: str = "redirect", target: st
 def _walk(links: DataFrame, max_steps: int = 1000) -> DataFrame:
     """Chains that run into a cycle, step by step with the nodes visited; cycles are short and rare."""
     state = cut(links.select("s", F.col("t").alias("at"), F.array("s").alias("seen"), F.lit(False).alias("over")))
-    for _ in range(max_steps):
+    for steps in range(max_steps + 1):
         if state.where("not over").isEmpty():
             break
+        if steps == max_steps:
+            raise RuntimeError(f"a cycle of redirects has more than {max_steps} nodes")
         step = state.join(links.select(F.col("s").alias("from"), F.col("t").alias("to")), F.col("at") == F.col("from"), "left")
         stop = F.col("over") | F.col("to").isNull() | F.array_contains("seen", F.col("to")) | (F.col("to") == F.col("at"))
         state = cut(step.select("s", F.when(stop, F.col("at")).otherwise(F.col("to")).alias("at"), F.when(stop, F.col("seen")).otherwise(F.array_append("seen", F.col("at"))).alias("seen"), stop.alias("over")))

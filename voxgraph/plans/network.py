@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dump import dev_bucket
-from ..functions.text import PHASES, phase_of_date
+from ..functions.text import PHASES, phase_of_date, proper_names
 from ..functions.urls import registered_domain
 from ..operators import analytics, entities, graph, merge, quotes
 from ..operators.lineage import cut
 from ..sources.tables import table
+from . import mergesql
 
+#: The persons of the candidate gate.
+PERSONS = tuple(f"Q90000000{i}" for i in range(8))
 ROLES = ("the minister", "a spokesman", "he", "she", "they")
 BLOCKED_NODES = ("none", "the minister", "a spokesman", "he", "she", "they")
 SKIP = "the a an of in on and at to for with by from was is said says mr mrs ms dr prof gov gen rep sen minister judge".split()
-LONGEST = 8
 
 
 def quote_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,7 +81,7 @@ def edges_self_removed_anti(spark: SparkSession, folder: str) -> DataFrame:
 
 def mention_list_filter(spark: SparkSession, folder: str) -> DataFrame:
     q = quote_rows(spark, folder).select("quote_id", F.array_join("mentioned_entities", "|").alias("target_mentions"))
-    return q.where(graph.not_all_listed(F.col("target_mentions"), tuple(f"Q90000000{i}" for i in range(8))))
+    return q.where(graph.not_all_listed(F.col("target_mentions"), PERSONS))
 
 
 def quote_outlet_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,12 +136,16 @@ def row_group_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def redirects_resolved(spark: SparkSession, folder: str) -> DataFrame:
-    c = table(spark, folder, "customer", "c_custkey").where("c_custkey % 5 <> 0 and c_custkey > 1")
-    return graph.resolve_redirects(c.select(F.col("c_custkey").alias("redirect"), F.floor(F.col("c_custkey") * 3 / 4).cast("long").alias("target")).where("redirect > target"))
+    """Articles of a day in runs of six, each leading to the next; of every other run the last one leads back to the first."""
+    a = table(spark, folder, "articles", "article_id").where("article_id is not null").distinct().withColumn("day", F.left("article_id", F.lit(10)))
+    a = a.withColumn("n", F.row_number().over(Window.partitionBy("day").orderBy("article_id")) - 1).withColumn("run", F.floor(F.col("n") / 6))
+    run = Window.partitionBy("day", "run")
+    rows = a.select(F.col("article_id").alias("redirect"), F.coalesce(F.lead("article_id").over(run.orderBy("n")), F.when(F.col("run") % 2 == 0, F.min("article_id").over(run))).alias("target"))
+    return graph.resolve_redirects(rows.where("target is not null"))
 
 
 def pagerank(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.pagerank(table(spark, folder, "enriched_edges", "source_id", "target_id"), "source_id", "target_id", 10)
+    return graph.pagerank(table(spark, folder, "enriched_edges", "source_id", "target_id"), "source_id", "target_id", 10).withColumn("rank", F.round("rank", 6))
 
 
 def _gazetteer(spark: SparkSession, folder: str, phases: tuple[str, ...] = ("E",), single: str = "none") -> DataFrame:
@@ -153,32 +159,45 @@ def gazetteer_phases(spark: SparkSession, folder: str) -> DataFrame:
     return g.where("phase <> 'A'").select("phase", F.replace("alias_key", F.lit(entities.SEP), F.lit("/")).alias("alias_key"), "n_tokens", F.array_join("qids", " ").alias("qids"))
 
 
+def _name_tokens(text: str) -> Column:
+    return F.filter(F.split(text, r"[^\p{L}\p{N}'’-]+"), lambda t: t != "")
+
+
 def _token_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return article_texts(spark, folder).where("text is not null").select("article_id", F.filter(F.split("text", r"[^\p{L}\p{N}'’-]+"), lambda t: t != "").alias("t"))
+    return article_texts(spark, folder).where("text is not null").select("article_id", _name_tokens("text").alias("t"))
+
+
+def _names_and_longest(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """The gazetteer as a table, and the tokens of its longest key."""
+    names = cut(_gazetteer(spark, folder, single="all"))
+    return names, names.agg(F.coalesce(F.max("n_tokens"), F.lit(1))).first()[0]
 
 
 def ngram_hits(spark: SparkSession, folder: str) -> DataFrame:
-    hits = entities.longest_hits(_token_texts(spark, folder), "article_id", "t", _gazetteer(spark, folder, single="all"), LONGEST)
+    hits = entities.longest_hits(_token_texts(spark, folder), "article_id", "t", *_names_and_longest(spark, folder))
     return hits.select("article_id", F.col("i").alias("start_token"), "n", F.replace("alias_key", F.lit(entities.SEP), F.lit("/")).alias("alias_key"))
 
 
 def entity_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    e = entities.entities_with_offsets(_token_texts(spark, folder), "article_id", "t", _gazetteer(spark, folder, single="all"), SKIP, LONGEST)
+    names, longest = _names_and_longest(spark, folder)
+    e = entities.entities_with_offsets(_token_texts(spark, folder), "article_id", "t", names, SKIP, longest)
     return e.select("article_id", "start_token", "end_token", F.replace("alias_key", F.lit(entities.SEP), F.lit("/")).alias("alias_key"), F.array_join("qids", " ").alias("qids"), "kind")
 
 
 def masked_texts(spark: SparkSession, folder: str) -> DataFrame:
     texts = _token_texts(spark, folder)
-    full = entities.full_matches(texts, "article_id", "t", _gazetteer(spark, folder, single="all"), LONGEST)
+    full = entities.full_matches(texts, "article_id", "t", *_names_and_longest(spark, folder))
     m = entities.masked_text(texts, "article_id", "t", full)
     at, ambiguous = entities.target_positions(F.col("positions"), F.lit("Q900000000"))
     return m.select("article_id", "masked", F.size("positions").alias("nb_entities"), F.array_join(F.transform(at, lambda x: x.cast("string")), " ").alias("target_at"), ambiguous.alias("ambiguous"))
 
 
 def introduced_names(spark: SparkSession, folder: str) -> DataFrame:
-    n = table(spark, folder, "entity_names", "article_id", "name", "qids").where("size(qids) = 1").select("article_id", F.col("qids")[0].alias("qid"), F.split("name", " ").alias("w")).where("size(w) = 2").distinct()
-    people = n.select("article_id", "qid", F.col("w")[0].alias("first"), F.col("w")[1].alias("last"))
-    return entities.activated_names(_token_texts(spark, folder), "article_id", "t", people)
+    """Names of two capitalised words in a document, and where they or their parts stand once they were introduced."""
+    d = table(spark, folder, "documents", "doc_id", "text").where("text is not null")
+    people = d.select("doc_id", F.explode(F.array_distinct(proper_names(F.col("text"), ()))).alias("name"), F.split("name", " ").alias("w")).where("size(w) = 2")
+    people = people.select("doc_id", F.col("name").alias("qid"), F.col("w")[0].alias("first"), F.col("w")[1].alias("last"))
+    return entities.activated_names(d.select("doc_id", _name_tokens("text").alias("t")), "doc_id", "t", people)
 
 
 def linked_mentions(spark: SparkSession, folder: str) -> DataFrame:
@@ -205,7 +224,7 @@ def dev_set(spark: SparkSession, folder: str) -> DataFrame:
     rows = d.join(m.select("quote_id", F.col("m").alias("l")), "quote_id", "left").join(m.select(F.col("quote_id").alias("next_quote_id"), F.col("m").alias("r")), "next_quote_id", "left")
     none = F.array().cast("array<string>")
     rows = rows.withColumn("bucket", dev_bucket(F.col("merge"), F.col("reason"), none, F.col("l"), F.col("r"))).withColumn("key", F.concat_ws("-", "quote_id", "next_quote_id"))
-    return analytics.quota_sample(rows, "bucket", "key", {"hard_merge": 100, "hard_no_merge": 100, "ambiguous": 200, "bridge_only": 100}, "11").select("key", "bucket", "merge", "reason")
+    return analytics.quota_sample(rows, "bucket", "key", DEV_QUOTAS, "11").select("key", "bucket", "merge", "reason")
 
 
 def merge_blocks(spark: SparkSession, folder: str) -> DataFrame:
@@ -214,7 +233,8 @@ def merge_blocks(spark: SparkSession, folder: str) -> DataFrame:
     mentions = merge.block_mentions(b, ("article_id", "block_id"), "mentioned_entities")
     passing = merge.passing_blocks(b, ("article_id", "block_id"), mentions, roles)
     keys = ["article_id", "block_id"]
-    return texts.join(roles, keys).join(passing, keys).join(merge.attribution(b, keys, "idx"), keys)
+    out = texts.join(roles, keys).join(passing, keys).join(merge.attribution(b, keys, "idx"), keys)
+    return out.withColumn("probability", F.round("probability", 6))
 
 
 def split_recovery(spark: SparkSession, folder: str) -> DataFrame:
@@ -222,7 +242,16 @@ def split_recovery(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def candidate_spans(spark: SparkSession, folder: str) -> DataFrame:
-    return merge.candidate_gate(_bridged(spark, folder), "article_id", "mentioned_entities").select("article_id", "quote_id", "idx", "is_candidate")
+    """Persons: the listed ones; a bridge's mentions are the names found after a quotation and before the next one."""
+    q = quote_rows(spark, folder)
+    order = Window.partitionBy("article_id").orderBy(F.coalesce("start_tok", F.lit(0)), "quote_id")
+    rows = q.withColumn("idx", F.row_number().over(order) - 1).withColumn("next_start", F.lead(F.coalesce("start_tok", F.lit(0))).over(order))
+    names = table(spark, folder, "entity_names", "article_id", "start_token", F.explode("qids").alias("mention"))
+    between = (F.col("start_token") > F.col("end_tok")) & (F.col("start_token") < F.col("next_start") - 1) & (F.col("end_tok") >= 0)
+    met = rows.select("article_id", "idx", "end_tok", "next_start").join(names, "article_id").where(between)
+    met = met.groupBy("article_id", "idx").agg(F.collect_set("mention").alias("bridge_mentions"))
+    gated = merge.candidate_gate(rows.join(met, ["article_id", "idx"], "left"), "article_id", "mentioned_entities", PERSONS, "bridge_mentions")
+    return gated.select("article_id", "quote_id", "idx", "is_candidate")
 
 
 def speaker_runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -268,6 +297,40 @@ _BRIDGED = f"""
     o as (select *, row_number() over w - 1 as idx, lead(coalesce(start_tok, 0)) over w as nxt from q window w as (partition by article_id order by coalesce(start_tok, 0), quote_id)),
     b as (select o.*, case when nxt is null then null when end_tok < 0 or end_tok is null or nxt - 1 - (end_tok + 1) <= 0 or a.t is null or nxt - 1 > len(string_split(a.t, ' ')) then ''
       else array_to_string(list_slice(string_split(a.t, ' '), end_tok + 2, nxt - 1), ' ') end as bridge_after from o left join a using (article_id))"""
+DEV_QUOTAS = {"hard_merge": 100, "hard_no_merge": 100, "ambiguous": 200, "bridge_only": 100}
+
+
+def _pagerank_sql(rounds: int) -> str:
+    steps = ["w as (select source_id s, target_id t, count(*) n from enriched_edges where source_id is not null and target_id is not null group by 1, 2)", "o as (select s, sum(n) a from w group by 1)",
+             "f as (select w.s, w.t, w.n / o.a x from w join o on w.s = o.s)", "v as (select s node from w union select t from w)", "r0 as (select node, 1.0::double rank from v)"]
+    for i in range(rounds):
+        steps.append(f"l{i} as (select coalesce(sum(rank), 0) / (select count(*) from v) lost from r{i} where node not in (select s from o))")
+        steps.append(f"g{i} as (select t, sum(rank * x) got from f join r{i} on f.s = node group by t)")
+        steps.append(f"r{i + 1} as (select node, 1 - 0.85 + 0.85 * (coalesce(got, 0) + lost) rank from v left join g{i} on node = t, l{i})")
+    return f"with {', '.join(steps)} select node, round(rank, 6) as rank from r{rounds}"
+
+
+_SKIPPED = ", ".join(f"'{w}'" for w in SKIP)
+#: Full and partial mentions of the articles' names: greedy from the left by folding each article's hits.
+_MENTIONS = rf"""
+      w as (select distinct qids[1] q, list_filter(regexp_split_to_array(trim(name), '\s+'), lambda x: x <> '') w from entity_names where len(qids) = 1 and name is not null),
+      z as (select q, lower(array_to_string(w, '/')) k, len(w) n from w where len(w) > 0 union select q, lower(w[-1]), 1 from w where len(w) > 0), g as (select k, n, string_agg(q, ' ' order by q) q from z group by 1, 2),
+      a as (select article_id, list_filter(regexp_split_to_array(min(text), '[^\p{{L}}\p{{N}}''’-]+'), lambda x: x <> '') t from articles group by 1 having min(text) is not null),
+      s as (select article_id, t, unnest(range(0, len(t))) i from a), ng as (select article_id, i, unnest(range(1, (select max(n) from g) + 1)) n, t from s),
+      ks as (select article_id, i, n, lower(array_to_string(list_slice(t, i + 1, i + n), '/')) k, lower(t[i + 1]) h from ng where i + n <= len(t)),
+      hits as (select article_id, i, ks.n n, ks.k k, g.q q from ks join g on ks.k = g.k and ks.n = g.n qualify row_number() over (partition by article_id, i order by ks.n desc, ks.k desc) = 1),
+      fold as (select article_id, list_reduce(list([{{'i': i, 'n': n, 'k': k, 'q': q}}] order by i), lambda x, y: case when y[1].i >= x[-1].i + x[-1].n then list_concat(x, y) else x end) h from hits group by 1),
+      full_ as (select article_id, h.i i, h.n n, h.k k, h.q q from (select article_id, unnest(h) h from fold)),
+      fk as (select distinct article_id, k, q from full_), sf as (select article_id, k, q, string_split(k, '/') p, unnest(range(1, len(string_split(k, '/')) + 1)) x from fk),
+      ow as (select article_id, array_to_string(p[-x:], '/') sfx, count(*) names, min(k) k, arg_min(q, k) q from sf group by 1, 2),
+      hd as (select distinct article_id, string_split(sfx, '/')[1] h from ow),
+      fr as (select ks.article_id, ks.i, ks.n, ks.k from ks join hd on hd.article_id = ks.article_id and hd.h = ks.h where length(ks.h) > 1 and ks.h not in ({_SKIPPED})
+        and not exists (select 1 from full_ f where f.article_id = ks.article_id and f.i < ks.i + ks.n and ks.i < f.i + f.n)),
+      mt as (select fr.article_id, fr.i, fr.n, ow.names, ow.k, ow.q from fr join ow on ow.article_id = fr.article_id and ow.sfx = fr.k),
+      st as (select *, min(case when names > 1 then n end) over (partition by article_id, i) stop from mt),
+      ph as (select * from st where names = 1 and (stop is null or n < stop) qualify row_number() over (partition by article_id, i order by n desc, k desc) = 1),
+      pf as (select article_id, list_reduce(list([{{'i': i, 'n': n, 'k': k, 'q': q}}] order by i), lambda x, y: case when y[1].i >= x[-1].i + x[-1].n then list_concat(x, y) else x end) h from ph group by 1),
+      part as (select article_id, h.i i, h.n n, h.k k, h.q q from (select article_id, unnest(h) h from pf))"""
 SQL = {
     "opened_spans": r"""
       with a as (select article_id, min(text) t from articles group by 1), t as (select article_id, unnest(string_split(t, ' ')) w, generate_subscripts(string_split(t, ' '), 1) - 1 i from a where t is not null),
@@ -293,8 +356,28 @@ SQL = {
     "quota_sample": "with g as (select paragraph_id || '-' || quote_index as key, quote_kind from gold_attributions) select key, quote_kind from g qualify row_number() over (partition by quote_kind order by md5(key || '3'), key) <= case quote_kind when 'LeftSpeaker' then 30 when 'RightSpeaker' then 30 when 'Unknown' then 15 else 0 end",
     "row_group_chunks": "with g as (select strftime(o_orderdate, '%Y-%m-%d') path, count(*) n_rows from orders group by 1), s as (select *, cast(sum(n_rows) over (order by path rows unbounded preceding) - n_rows as bigint) first_row, sum(n_rows) over () total from g) select path, 0 as row_group, n_rows, first_row, cast(floor(first_row / ceil(total / 16)) as int) as chunk_id from s",
     "redirects_resolved": """
-      with recursive r as (select c_custkey s, cast(floor(c_custkey * 3 / 4) as bigint) t from customer where c_custkey % 5 <> 0 and c_custkey > 1 and c_custkey > floor(c_custkey * 3 / 4)),
-      w as (select s, t, 1 d from r union all select w.s, r.t, d + 1 from w join r on w.t = r.s) select s as redirect, t as target from w qualify row_number() over (partition by s order by d desc) = 1""",
+      with a as (select distinct article_id from articles where article_id is not null), n as (select article_id, article_id[1:10] d, row_number() over (partition by article_id[1:10] order by article_id) - 1 n from a),
+      g as (select *, n // 6 r, count(*) over (partition by d, n // 6) size, last_value(article_id) over w ending, lag(article_id) over (partition by d, n // 6 order by n) before from n window w as (partition by d, n // 6 order by n rows between unbounded preceding and unbounded following))
+      select article_id as redirect, case when r % 2 = 1 then ending else coalesce(before, ending) end as target from g where r % 2 = 0 or n % 6 < size - 1""",
+    "pagerank": _pagerank_sql(10),
+    "linked_mentions": r"""
+      with m as (select mention_id, min(name) as name, min(qids) qids from entity_names where name is not null group by 1), l as (select qids[1] q, min(name) as label from m where len(qids) = 1 group by 1),
+      c as (select mention_id, lower(name) s, unnest(qids) q, generate_subscripts(qids, 1) r from m), k as (select mention_id, r, c.q, case when lower(label) = s then 0 when contains(lower(label), s) or contains(s, lower(label)) then 1 else 2 end fit from c join l on c.q = l.q)
+      select mention_id, q as qid from k qualify row_number() over (partition by mention_id order by fit, r, q) = 1""",
+    "damaged_first_sample": r"""
+      with q as (select quote_id, bool_or(regexp_matches(text, '[ÃÂâ�]')) d from quote_candidates where text is not null group by 1), r as (select *, row_number() over (partition by d order by md5(quote_id || '5'), quote_id) r from q)
+      select quote_id from r order by case when d and r <= 50 then 0 when not d then 1 else 2 end, r limit 100""",
+    "pair_decisions": f"with {mergesql.decided(_BRIDGED)} select article_id, idx, quote_id, next_quote_id, merge, left_role, right_role, continuity, reason from d",
+    "merge_blocks": mergesql.merged(_BRIDGED),
+    "split_recovery": mergesql.split_recovery(_BRIDGED),
+    "dev_set": mergesql.dev_set(_BRIDGED, DEV_QUOTAS, "11"),
+    "candidate_spans": f"""
+      with {_Q}, o as (select *, row_number() over w - 1 as idx, lead(coalesce(start_tok, 0)) over w as nxt from q window w as (partition by article_id order by coalesce(start_tok, 0), quote_id)),
+      n as (select article_id, start_token, unnest(qids) m from entity_names), x as (select distinct o.article_id, idx from o join n on n.article_id = o.article_id and n.start_token > end_tok and n.start_token < nxt - 1 and end_tok >= 0 where m in {PERSONS})
+      select article_id, quote_id, idx, coalesce(list_has_any(mentioned_entities, {list(PERSONS)}), false) or exists (select 1 from x where x.article_id = o.article_id and x.idx in (o.idx, o.idx - 1)) as is_candidate from o""",
+    "entity_mentions": f"""
+      with {_MENTIONS}
+      select article_id, i as start_token, i + n as end_token, k as alias_key, q as qids, 'full' as kind from full_ union all select article_id, i, i + n, k, q, 'partial' from part""",
     "gazetteer_phases": r"""
       with n as (select distinct qids[1] q, trim(name) as name from entity_names where len(qids) = 1 and name is not null),
       p as (select q, 'B' phase, regexp_replace(lower(name), '[^\x00-\xFF]', '?', 'g') s from n union all select q, 'C', regexp_replace(lower(name), '[^\x00-\x7F]', '?', 'g') from n union all select q, 'D', regexp_replace(name, '[^\x00-\x7F]', '?', 'g') from n union all select q, 'E', name from n),
@@ -303,7 +386,7 @@ SQL = {
     "ngram_hits": r"""
       with w as (select list_filter(regexp_split_to_array(trim(name), '\s+'), lambda x: x <> '') w from entity_names where len(qids) = 1 and name is not null), g as (select distinct lower(array_to_string(w, '/')) k from w union select lower(w[-1]) from w),
       a as (select article_id, list_filter(regexp_split_to_array(min(text), '[^\p{L}\p{N}''’-]+'), lambda x: x <> '') t from articles group by 1 having min(text) is not null),
-      s as (select article_id, t, unnest(range(0, len(t))) i from a), n as (select article_id, i, unnest(range(1, 9)) n, t from s), h as (select article_id, i, n, lower(array_to_string(list_slice(t, i + 1, i + n), '/')) k from n where i + n <= len(t))
+      s as (select article_id, t, unnest(range(0, len(t))) i from a), n as (select article_id, i, unnest(range(1, (select max(len(w)) from w) + 1)) n, t from s), h as (select article_id, i, n, lower(array_to_string(list_slice(t, i + 1, i + n), '/')) k from n where i + n <= len(t))
       select article_id, i as start_token, n, k as alias_key from h where k in (select k from g) qualify row_number() over (partition by article_id, i order by n desc) = 1""",
     "speaker_runs": f"""
       with {_BRIDGED}, r as (select *, case when lag(speaker_qid) over w = speaker_qid then 0 else 1 end brk from b window w as (partition by article_id order by idx)),

@@ -265,7 +265,7 @@ QUERIES = {
 _PRE = "e as (select *, ln(n_words) lq, source_age - target_age ad, source_pagerank - target_pagerank pd, cast(floor(source_age / 5) * 5 as bigint) sb, cast(floor(target_age / 5) * 5 as bigint) tb, cast(floor((source_age - target_age) / 5) * 5 as bigint) gb from enriched_edges where n_words >= 25 and source_id <> target_id)"
 _STAT = "round(avg({0}), 6) as mean, round(stddev_samp({0}), 6) as std, count({0}) as n, round(stddev_samp({0}) / sqrt(count({0})), 6) as se, round(avg({0}) - 1.96 * (stddev_samp({0}) / sqrt(count({0}))), 6) as ci_low, round(avg({0}) + 1.96 * (stddev_samp({0}) / sqrt(count({0}))), 6) as ci_high"
 _VOTES = "a as (select distinct quote_id, annotator, lower(trim(status)) guess from annotation where lower(trim(status)) in ('keep', 'reject')), m as (select quote_id, count(*) filter (guess = 'keep') * 2 > count(*) kept from a group by 1), v as (select *, case when kept then 'keep' else 'reject' end truth from a join m using (quote_id))"
-_ANSWER = r"""case when lower(trim({0})) in ('unknown', 'none', 'n/a', 'null', 'not stated') then '' else lower(regexp_replace(trim(regexp_replace({0}, '[\s\x0b\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g')), '^[ "''`.,:;!?()\[\]{{}}]+|[ "''`.,:;!?()\[\]{{}}]+$', '', 'g')) end"""
+_ANSWER = r"""case when lower(trim({0})) in ('', 'unknown', 'none', 'no speaker', 'not stated', 'not found', 'n/a', 'null') then '' else lower(regexp_replace(trim(regexp_replace({0}, '[\s\x0b\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g')), '^[ "''`.,:;!?()\[\]{{}}]+|[ "''`.,:;!?()\[\]{{}}]+$', '', 'g')) end"""
 _TOKENS = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+(?:''[a-z0-9]+)?')"
 _OUTCOMES = rf"""
     g as (select *, regexp_extract(coalesce(right_context, ''), '([A-Z][a-z]+ [A-Z][a-z]+|\b[Hh]e\b|\b[Tt]hey\b)', 1) ps, lower(regexp_extract(coalesce(right_context, ''), '\b(said|added|asked|wrote|told|argued|warned|noted)\b', 1)) pv from gold_attributions),
@@ -273,7 +273,7 @@ _OUTCOMES = rf"""
     u as (select *, list_distinct(x) dx, list_distinct(y) dy, {_ANSWER.format("ps")} = {_ANSWER.format("coalesce(gold_speaker, '')")} ex, {_ANSWER.format("pv")} = {_ANSWER.format("coalesce(gold_quotative_verb, '')")} vx, coalesce(list_sum(list_transform(list_distinct(x), lambda w: least(len(list_filter(x, lambda a: a = w)), len(list_filter(y, lambda a: a = w))))), 0) sh from t),
     o as (select *, case when len(x) = 0 and len(y) = 0 then 1 when sh = 0 then 0 else 2.0 * sh / (len(x) + len(y)) end f1,
       case when ex then 'correct' when len(y) = 0 and len(x) > 0 then 'false_positive_unknown' when len(y) > 0 and len(x) = 0 then 'missing_speaker' when not list_has_any(dx, dy) then 'wrong_speaker'
-        when list_has_any(dx, [{', '.join(repr(w) for w in evaluation.QUOTATIVE)}]) then 'speaker_span_includes_verb_or_clause' when list_has_all(dx, dy) and list_has_any(list_filter(dx, lambda w: not list_contains(dy, w)), [{', '.join(repr(w) for w in evaluation.TITLE_TOKENS)}]) then 'title_or_role_expansion'
+        when list_has_any(dx, [{', '.join(repr(w) for w in evaluation.QUOTATIVE_VERBS)}]) then 'speaker_span_includes_verb_or_clause' when list_has_all(dx, dy) and list_has_any(list_filter(dx, lambda w: not list_contains(dy, w)), [{', '.join(repr(w) for w in evaluation.TITLE_TOKENS)}]) then 'title_or_role_expansion'
         when list_has_all(dx, dy) then 'overlong_name_span' when list_has_all(dy, dx) then 'underspecified_name_span' else 'alias_or_partial_overlap' end cat from u)"""
 _SETS = "select 'all' s, * from e union all select 'early', * from e where pub_year < 2015 union all select 'late', * from e where pub_year >= 2015 union all select 'sure', * from e where prob_speaker >= 0.8 union all select 'writer', * from e where source_occupation = 'writer'"
 _LAST = "l as (select * from annotation where annotator is not null and article_id is not null and quote_id is not null qualify row_number() over (partition by annotator, article_id, quote_id order by saved_at desc, annotation_id desc) = 1), q as (select *, lower(trim(status)) = 'reject' or (lower(trim(status)) = 'keep' and replace(lower(trim(sentiment)), ' ', '_') in ('positive', 'negative', 'mixed', 'neutral', 'not_about') and coalesce(qid, '') <> '') done from l)"
