@@ -12,17 +12,17 @@ BLOCK, SALTS = 1000, 64
 def blocks(members: DataFrame, keys: list[str], id_col: str, block: int = BLOCK) -> DataFrame:
     """Rows (keys..., blk, blocks, ids): the distinct ids of each class in sorted arrays of about `block` ids or fewer.
 
-    A class of n ids has ceil(n / block) blocks, dealt by hash. Sizes are counted with map-side combining; only the
-    heavy classes, at most one row per `block` ids, are joined back, once per hash class of the id, so that no class is
-    bound to one task. Null ids are left out.
+    A class of n rows has ceil(n / block) blocks, dealt by hash of the id. Sizes are counted with map-side combining; only
+    the heavy classes, at most one row per `block` rows, are joined back, once per hash class of the id, so that no class
+    is bound to one task. Null ids are left out.
     """
-    ids = members.select(*keys, F.col(id_col).alias("_id")).where("_id is not null").distinct()
+    ids = members.select(*keys, F.col(id_col).alias("_id")).where("_id is not null")
     heavy = ids.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
     heavy = heavy.select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"), F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("_salt"))
     dealt = ids.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(heavy, [*keys, "_salt"], "left")
     own = F.coalesce(F.expr("pmod(xxhash64(2, _id), _blocks)"), F.lit(0)).cast("int")
     dealt = dealt.select(*keys, own.alias("blk"), F.coalesce("_blocks", F.lit(1)).alias("blocks"), "_id")
-    return dealt.groupBy(*keys, "blk", "blocks").agg(F.sort_array(F.collect_list("_id")).alias("ids"))
+    return dealt.groupBy(*keys, "blk", "blocks").agg(F.sort_array(F.collect_set("_id")).alias("ids"))
 
 
 def class_pairs(members: DataFrame, keys: list[str], id_col: str, block: int = BLOCK) -> DataFrame:
