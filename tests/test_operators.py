@@ -212,6 +212,13 @@ def test_profiles_against_pandas(spark):
     assert all(r.distinct_values == 0 and r.mode is None and r.mode_count == 0 and r.v_p50 is None for r in nulls)
 
 
+def test_a_key_with_many_values_is_split(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HEAVY", 100)
+    df = spark.range(2000).selectExpr("if(id < 1900, 'hot', null) as k", "cast(id as double) as v", "id % 7 as c")
+    got = {r.key: (r.v_p50, r.v_p99, r.mode, r.distinct_values) for r in skew.key_profile(df, "k", "c", {"v": (0.5, 0.99)}).collect()}
+    assert got == {"hot": (949.0, 1880.0, 0, 7), None: (1949.0, 1998.0, 3, 7)}
+
+
 # Samples, statistics, scores
 
 

@@ -7,12 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut, drop
+from .lineage import cut
 
 #: Parts into which a round of the percentile search cuts a key's remaining range of values.
 PARTS = 1024
-#: Hash classes of values among which a key's rows are dealt.
-SPREAD = 32
+#: A key with more distinct values than HEAVY is dealt to SPREAD hash classes of values.
+HEAVY, SPREAD = 100_000, 64
 
 
 def value_counts(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -43,30 +43,34 @@ def exact_percentiles(counts: DataFrame, percents: Sequence[float], max_rounds:
     result is the least value at or below which at least q of the key's non-null values lie. Keys without such values
     give no row; NaN is greater than any number. Each round splits every key's remaining range into PARTS parts by
     value, sums weights per part (combined map-side), and keeps the part that holds the rank: windows run over parts,
-    never over rows, whatever a key's size. Rows meet the open ranges by key and one of SPREAD hash classes of the
-    value, for which the ranges (a row per key and percentile) are repeated, so a key's rows are never one task's.
+    never over rows, whatever a key's size. A key with many distinct values meets its open ranges in SPREAD parts by
+    hash of the value, for which its ranges (a row per percentile) are repeated, so its rows are never one task's.
     """
     rows = counts.where("value is not null").select("key", F.col("value").cast("double").alias("value"), "n")
-    rows = cut(rows.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SPREAD)).cast("int")))
-    span = rows.groupBy("key").agg(F.sum("n").alias("total"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    salts = F.explode(F.expr(f"sequence(0, {SPREAD - 1})"))
+    heavy = rows.groupBy("key").agg(F.count("*").alias("values")).where(F.col("values") > HEAVY).select(F.col("key").alias("k"), salts.alias("s"))
+    own = F.pmod(F.xxhash64("value"), F.lit(SPREAD)).cast("int")
+    rows = rows.join(heavy, F.col("k").eqNullSafe(F.col("key")) & (F.col("s") == own), "left")
+    rows = cut(rows.select("key", "value", "n", F.coalesce("s", F.lit(0)).alias("salt")))
+    span = rows.groupBy("key").agg(F.sum("n").alias("total"), F.min("value").alias("lo"), F.max("value").alias("hi"), (F.count("*") > HEAVY).alias("heavy"))
     # a percentile's rank, from 1; the small term keeps 0.1 * 30 from becoming 4
     rank = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("total") - 1e-9)).cast("long")
     asked = F.explode(F.array(*(F.lit(float(q)) for q in percents)))
-    open_ = cut(span.withColumn("q", asked).select("key", "q", "lo", "hi", rank.alias("rank")))
+    open_ = cut(span.withColumn("q", asked).select("key", "q", "lo", "hi", rank.alias("rank"), "heavy"))
     done = open_.where(~(F.col("lo") < F.col("hi"))).select("key", "q", F.col("lo").alias("result"))
     open_ = open_.where("lo < hi")
     for _ in range(max_rounds):
         if open_.isEmpty():
             return done
-        o = open_.select(F.col("key").alias("k"), "q", "lo", "hi", "rank", F.explode(F.expr(f"sequence(0, {SPREAD - 1})")).alias("s"))
+        o = open_.select(F.col("key").alias("k"), "q", "lo", "hi", "rank", "heavy", F.explode(F.expr(f"sequence(0, if(heavy, {SPREAD - 1}, 0))")).alias("s"))
         met = rows.join(o, F.col("k").eqNullSafe(F.col("key")) & (F.col("s") == F.col("salt")) & F.col("value").between(F.col("lo"), F.col("hi")))
         width = F.col("hi") / 2 - F.col("lo") / 2
         share = (F.col("value") / 2 - F.col("lo") / 2) / width
         part = F.when((F.col("hi") == float("inf")) | F.isnan("hi") | (F.col("lo") == float("-inf")), F.when(F.col("value") == F.col("lo"), 0).when(F.col("value") == F.col("hi"), PARTS).otherwise(PARTS // 2)).otherwise(F.floor(share * PARTS))
-        parts = met.groupBy("key", "q", "rank", part.alias("part")).agg(F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        parts = met.groupBy("key", "q", "rank", "heavy", part.alias("part")).agg(F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
         upto = F.sum("n").over(Window.partitionBy("key", "q").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
         found = parts.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
-        found = cut(found.select("key", "q", "lo", "hi", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")))
+        found = cut(found.select("key", "q", "lo", "hi", "heavy", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")))
         done = done.unionByName(found.where(~(F.col("lo") < F.col("hi"))).select("key", "q", F.col("lo").alias("result")))
         open_ = found.where("lo < hi")
     raise RuntimeError(f"percentiles need more than {max_rounds} rounds")
