@@ -52,4 +52,13 @@ def test_partial_damage_by_words(spark):
     assert {r.id for r in encoding.damaged(df, ["kind", "id"], "text", forms).collect()} == set(texts)
     back = {r.id: r.restored for r in encoding.restore(df, ["kind", "id"], "text", forms).collect()}
     assert back["koi"] == texts["koi"].replace(hurt["koi"], line) and back["latin"] == texts["latin"].replace(hurt["latin"], line) and back["one"] == "Почему был построен мост"
-    assert forms.where("form = original").count() == 0
+    assert forms.where("form = original and chain <> 'clean'").count() == 0
+
+
+def test_one_weak_word_is_found_by_the_whole_word(spark):
+    rows = [("g", "v", "the " + garble("fermé", [("utf-8", "cp1251")]) + " door")]
+    df = spark.createDataFrame(rows + [("c", f"c{i}", t) for i, t in enumerate(CLEAN)], "kind string, id string, text string")
+    forms = encoding.forms(df.where("kind = 'c'"), "text")
+    assert {r.id for r in encoding.damaged(df, ["kind", "id"], "text", forms).collect()} == {"v"}
+    back = {r.id: r for r in encoding.restore(df, ["kind", "id"], "text", forms).collect()}
+    assert back["v"].restored == "the fermé door" and (back["v"].made_words, back["v"].verified_words) == (1, 1)

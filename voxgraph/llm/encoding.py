@@ -73,6 +73,9 @@ _THREE = f"â(?: [€‚] ?| ?[€‚] ){_REST}"
 _SPLIT = {"as_is": regex.compile(f"{_THREE}|(?<![A-ZÀ-Þ])[ÃÂ] {_REST}|[ÃÂ] {_ODD}"), "lower": regex.compile(f"{_THREE}|[ãâ] {_ODD}"), "upper": regex.compile(f"Â(?: [€‚] ?| ?[€‚] ){_REST}|[ÃÂ] {_ODD}")}
 #: Double-byte punctuation read byte by byte.
 _PUNCTUATION_PAIR = regex.compile("¡[¤¥¦§¨ª®¯°±²³´µ¶·¸¹]")
+#: A question mark before a letter, after a letter, a blank or nothing.
+_QUESTION = regex.compile(r"(?:(?<=\p{L})|(?<![\S])|^)\?(?=\p{L})")
+_BEFORE, _AFTER = regex.compile(r"[\p{L}’']*$"), regex.compile(r"[\p{L}’']*")
 _LOST = regex.compile(r"[\p{L}’'-]*�[\p{L}’'�-]*")
 
 
@@ -123,12 +126,35 @@ def _stretches(text: str, at: int, units: list[tuple[int, int]], encoding: str)
                 else:
                     weak = end - start == 2 and lead in "“”‘’–—"
             yield start, end, text[start:end], "unit", weak
+            if weak:  # the unit alone may be clean text; the word around it tells
+                s, e = start - len(_BEFORE.search(text[max(0, start - 40) : start]).group()), end + len(_AFTER.match(text, end).group())
+                if (s, e) != (start, end):
+                    yield s, e, text[s:e], "whole", False
 
 
-def strong_questions(text: str) -> int:
-    """Question marks inside words of a text with both letter cases, where no sentence can end: before a small letter, or 's."""
-    inside = regex.findall(r"(?:(?<=\p{L})|(?<![\S])|^)\?(?=\p{Ll})", text) if case_of(text) == "as_is" else []
-    return len(inside) + len(regex.findall(r"(?<=\p{L})\?(?:s|t)(?!\p{L})|^\?(?=\p{L})", text))
+def signs(text: str) -> Iterator[tuple[str, str]]:
+    """(token, family) of what stands for characters by itself: U+FFFD, C1 controls, halved punctuation, and question marks with their neighbours.
+
+    Question marks count inside words and before them, where no sentence can end: before a small letter if the text has
+    both letter cases, before 's and 't, and at the beginning of the text.
+    """
+    if "�" in text:
+        yield "�", "hole"
+    if not text.isascii():
+        yield from ((c, "control") for c in set(CONTROLS.findall(text)))
+        yield from ((m, "mark") for m in set(_PUNCTUATION_PAIR.findall(text)))
+    if "?" in text:
+        cased = case_of(text) == "as_is"
+        for m in _QUESTION.finditer(text):
+            i = m.start()
+            before, after = text[i - 1 : i] if i else "", text[i + 1]
+            if (cased and after.islower()) or i == 0 or (before.isalpha() and after in "st" and not text[i + 2 : i + 3].isalpha()):
+                yield gap(before, after), "gap"
+
+
+def gap(before: str, after: str) -> str:
+    """A lost character by its neighbours, in lower case; ^ stands for no letter before it."""
+    return f"{before.lower() if before.isalpha() else '^'}?{after.lower()}"
 
 
 def _letter_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +173,14 @@ def _letter_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 except UnicodeEncodeError:
                     continue
                 if len(pair) == 2 and min(pair) > 0xA0:
-                    rows.add((pair.decode("latin-1"), c, f"{e}>latin-1", "as_is"))
+                    shown = pair.decode("latin-1")
+                    rows.add((shown, c, f"{e}>latin-1", "as_is"))
+                    if shown[0] == "¡":
+                        rows.add((shown, c, f"{e}>mark", "as_is"))
+            # single bytes of the letter: controls as Latin-1 shows them, and what UTF-8 doesn't allow
+            single = {b for e in ("latin-1", "cp1252", "cp1251") for b in [c.encode(e, "ignore")] if b and b.decode("utf-8", "replace") == "�"}
+            rows |= {("�", c, "bytes>hole", "as_is") for _ in single}
+            rows |= {(chr(b), c, "bytes>control", "as_is") for b in {*raw, *(x[0] for x in single)} if CONTROLS.match(chr(b))}
         columns = zip(*sorted(rows)) if rows else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in columns], ["form", "original", "chain", "kase"])
 
@@ -159,6 +192,9 @@ def _lost_forms(word: str, mark: str) -> list[str]:
     return ["".join(mark if i in s else c for i, c in enumerate(word)) for s in map(set, sets)]
 
 
+_PAIRED = regex.compile(r"[^\x00-\x7f]{2}")
+
+
 def _word_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Garbled forms of whole words, with the word's frequency."""
     for batch in batches:
@@ -170,6 +206,11 @@ def _word_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 except UnicodeEncodeError:
                     continue
                 rows += [(f(g), f(word), f"{e}>{d}", k, n) for k, f in CASES.items() if f(g) != f(word)]
+            if all(map(str.isascii, _PAIRED.findall(word))):
+                # words whose other letters stand alone, as one such unit may be clean text
+                for e in READ_AS:
+                    g = "".join(read(c.encode(), e) if c > "\x7f" else c for c in word)
+                    rows += [(f(g), f(word), f"word:utf-8>{e}", k, n) for k, f in CASES.items()]
             low = word.lower()
             for chain, mark in (("ascii>?", "?"), ("latin-1>utf-8", "�")):
                 rows += [(form, low, chain, "as_is", n) for form in _lost_forms(low, mark)]
@@ -183,7 +224,8 @@ def forms(corpus: DataFrame, text: str) -> DataFrame:
     kase says whether the damaged text was turned to lower or upper case afterwards.
 
     Clean words are those without a look-alike of their own; characters that only garbled text has count as none. A
-    form that is itself a word is kept only if its original is at least three times as frequent.
+    form that is itself a word is kept only if its original is at least three times as frequent. Rows of the chain
+    "clean" are the corpus's words themselves, in lower case, by which restored words are verified.
     """
     t = F.col(text)
     some = corpus.where(t.rlike(r"[^\x00-\x7f]")).select(t.alias("t"))
@@ -194,29 +236,37 @@ def forms(corpus: DataFrame, text: str) -> DataFrame:
     words = F.regexp_extract_all("t", F.lit(r"[\p{IsLatin}\p{IsCyrillic}’']+"), F.lit(0))
     found = some.select(F.explode(F.array_distinct(F.filter(words, lambda w: w.rlike(r"[^\x00-\x7f]")))).alias("w")).where("w <> '’'")
     counted = cut(found.where(F.length("w").between(2, 40)).groupBy("w").agg(F.count("*").alias("n")))
+    # characters lost between letters, by their neighbours
+    around = F.regexp_extract_all("t", F.lit(r"(?:^|\s|\p{IsLatin})[^\x00-\x9F�]\p{IsLatin}"), F.lit(0))
+    near = some.select(F.explode(F.array_distinct(around)).alias("g")).distinct()
+    head = F.when(F.left("g", F.lit(1)).rlike(r"^\p{L}$") & (F.length("g") == 3), F.lower(F.left("g", F.lit(1)))).otherwise("^")
+    gaps = near.select(F.concat(head, F.lit("?"), F.lower(F.right("g", F.lit(1)))).alias("form"), F.substring("g", -2, 1).alias("original"))
+    gaps = gaps.groupBy("form").agg(F.min("original").alias("original")).select("form", "original", F.lit("ascii>gap").alias("chain"), F.lit("as_is").alias("kase"))
     word_forms = counted.mapInArrow(_word_forms, "form string, original string, chain string, kase string, n long")
     one = word_forms.groupBy("form", "chain", "kase").agg(F.max(F.struct("n", "original")).alias("m")).select("form", "m.original", "chain", "kase", "m.n")
     kept = one.join(counted.select(F.col("w").alias("form"), F.col("n").alias("own")), "form", "left").where("own is null or n >= 3 * own").select("form", "original", "chain", "kase")
-    return cut(char_forms.unionByName(kept))
+    clean = counted.select(F.lower("w").alias("form"), F.lower("w").alias("original"), F.lit("clean").alias("chain"), F.lit("as_is").alias("kase")).distinct()
+    return cut(char_forms.unionByName(gaps).unionByName(kept).unionByName(clean))
 
 
 def _look_alikes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The records' look-alikes (words and pairs by line, as damage may be partial), and a row of family sign where a text has what no clean one has: U+FFFD, C1 controls, halved punctuation, question marks inside words."""
+    """The records' look-alikes and signs; words and pairs by line, as damage may be partial."""
     for batch in batches:
         rows = []
         texts = batch.column(batch.num_columns - 1).to_pylist()
         for row, text in enumerate(texts):
             ends = [i for i, c in enumerate(text) if c == "\n"]
             seen = {(token, family, weak, bisect_left(ends, start) if family in ("word", "pair") else 0) for start, _, token, family, weak in tokens(text)}
-            if "�" in text or CONTROLS.search(text) is not None or _PUNCTUATION_PAIR.search(text) is not None or ("?" in text and strong_questions(text) > 0):
-                seen.add(("", "sign", False, 0))
+            seen |= {(token, family, False, 0) for token, family in signs(text)}
             rows += [(row, *x) for x in sorted(seen)]
         at, token, family, weak, line = zip(*rows) if rows else ((), (), (), (), ())
         ids = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:-1]]
         yield pa.RecordBatch.from_arrays([*ids, pa.array(token, pa.string()), pa.array(family, pa.string()), pa.array(weak, pa.bool_()), pa.array(line, pa.int32())], [*batch.schema.names[:-1], "token", "family", "weak", "line"])
 
 
-_FAMILY = "case when chain like 'utf-8>%' then 'unit' when chain = 'ascii>?' then 'asked' when chain = 'latin-1>utf-8' then 'lost' when chain like '%>latin-1' then 'pair' else 'word' end"
+#: Families that show damage but not what stood there.
+SIGNS = ("hole", "control", "mark", "gap")
+_FAMILY = "case when chain like 'utf-8>%' then 'unit' when chain like 'word:%' then 'whole' when chain like '%>hole' then 'hole' when chain like '%>control' then 'control' when chain like '%>mark' then 'mark' when chain like '%>gap' then 'gap' when chain = 'ascii>?' then 'asked' when chain = 'latin-1>utf-8' then 'lost' when chain like '%>latin-1' then 'pair' else 'word' end"
 
 
 def _distinct_texts(records: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -228,7 +278,7 @@ def matches(records: DataFrame, keys: list[str], text: str, table: DataFrame) ->
     some = _distinct_texts(records, keys, text)
     kinds = ", ".join(f"`{k}` {records.schema[k].dataType.simpleString()}" for k in keys)
     seen = some.mapInArrow(_look_alikes, f"{kinds}, token string, family string, weak boolean, line int").drop("line").distinct()
-    best = table.withColumn("family", F.expr(_FAMILY))
+    best = table.where("chain <> 'clean'").withColumn("family", F.expr(_FAMILY)).where(~F.col("family").isin(*SIGNS))
     order = F.struct((F.col("kase") != "as_is").alias("changed"), F.length("original"), F.expr("case when chain like 'gbk%' then 0 else 1 end").alias("g"), "chain", "original")
     best = best.groupBy("form", "family").agg(F.min(F.struct(order.alias("o"))).alias("m")).select(F.col("form").alias("token"), "family", "m.o.original", "m.o.chain")
     return seen.join(best, ["token", "family"])
@@ -237,25 +287,25 @@ def matches(records: DataFrame, keys: list[str], text: str, table: DataFrame) ->
 def damaged(records: DataFrame, keys: list[str], text: str, table: DataFrame) -> DataFrame:
     """Distinct keys of the damaged records.
 
-    A record is damaged if it holds a sign that no clean text has, an explained look-alike that isn't weak, three
-    distinct weak ones, an explained word of SURE_WORD letters, or a line with three explained words (or pairs) that are
-    at least half of such look-alikes in the line. Null texts and keys that are null are never damaged; pure ASCII
+    All evidence comes of the table: a record is damaged if the table explains one of its signs (SIGNS), a look-alike that
+    isn't weak, the word around a weak one, three distinct weak ones, a word of SURE_WORD letters, or in a line three
+    words (or pairs) that are at least half of such look-alikes there. Null texts and keys that are null are never damaged; pure ASCII
     without a question mark is skipped unread.
     """
     some = _distinct_texts(records, keys, text)
     kinds = ", ".join(f"`{k}` {records.schema[k].dataType.simpleString()}" for k in keys)
     seen = some.mapInArrow(_look_alikes, f"{kinds}, token string, family string, weak boolean, line int").distinct()
-    best = table.select("form", F.expr(_FAMILY).alias("family")).distinct().withColumnRenamed("form", "token").withColumn("hit", F.lit(1))
+    best = table.where("chain <> 'clean'").select("form", F.expr(_FAMILY).alias("family")).distinct().withColumnRenamed("form", "token").withColumn("hit", F.lit(1))
     met = seen.join(best, ["token", "family"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     of = lambda c: F.sum(F.when(c, 1).otherwise(0))
     hit = F.col("hit") == 1
     sure = (F.col("family") == "word") & (F.length("token") >= SURE_WORD)
     sums = met.groupBy(*keys, "line").agg(
-        of(hit & ((F.col("family").isin("unit", "asked", "lost") & ~F.col("weak")) | sure)).alias("strong"), of(hit & F.col("weak")).alias("weak"), of(F.col("family") == "sign").alias("sign"),
+        of(hit & ((F.col("family").isin("unit", "whole", "asked", "lost", *SIGNS) & ~F.col("weak")) | sure)).alias("strong"), of(hit & F.col("weak")).alias("weak"),
         *(of(hit & (F.col("family") == f)).alias(f) for f in ("word", "pair")), *(of(F.col("family") == f).alias(f"all_{f}") for f in ("word", "pair")),
     )
     known = " and ".join(f"`{k}` is not null" for k in keys)
-    return sums.where(known).where("sign > 0 or strong > 0 or weak >= 3 or (word >= 3 and 2 * word >= all_word) or (pair >= 3 and 2 * pair >= all_pair)").select(*keys).distinct()
+    return sums.where(known).where("strong > 0 or weak >= 3 or (word >= 3 and 2 * word >= all_word) or (pair >= 3 and 2 * pair >= all_pair)").select(*keys).distinct()
 
 
 def _turned(text: str, chain: str) -> str:
@@ -298,9 +348,12 @@ def _turned_spans(text: str, words: list[tuple[int, int, str | None]]) -> Iterat
                 others += bool(here)
 
 
+_NEW = regex.compile(r"[\p{L}’']+")
+
+
 def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
+        out, made = [], []
         for text, pairs in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
             known, families, chains = {}, Counter(), {}
             for p in pairs or []:
@@ -312,23 +365,34 @@ def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = [(s, -families[family], -e, known[token, family]) for s, e, token, family, _ in found if (token, family) in known and family != "word"]
             if chains:
                 spans += [(s, -families["word"], -e, new) for s, e, new in _turned_spans(text, [(s, e, chains.get(token)) for s, e, token, family, _ in found if family == "word"])]
-            parts, at = [], 0
+            parts, at, size, places = [], 0, 0, []
             for s, _, e, original in sorted(spans):
                 if s >= at:
                     parts += [text[at:s], original]
+                    size += s - at + len(original)
+                    places.append(size - 1)
                     at = -e
-            out.append("".join([*parts, text[at:]]))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], [*batch.schema.names[:-2], "restored"])
+            whole = "".join([*parts, text[at:]])
+            words = [m for m in _NEW.finditer(whole) if not m.group().isascii()] if places else []
+            out.append(whole)
+            made.append(sorted({m.group().lower() for m in words if (i := bisect_left(places, m.start())) < len(places) and places[i] < m.end()}))
+        columns = [*batch.columns[:-2], pa.array(out, pa.string()), pa.array(made, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-2], "restored", "made"])
 
 
 def restore(records: DataFrame, keys: list[str], text: str, table: DataFrame) -> DataFrame:
-    """Rows (keys, restored) of the damaged records: each explained look-alike replaced by its original, longest first.
+    """Rows (keys, restored, made_words, verified_words) of the damaged records: each explained look-alike replaced by its original, longest first.
 
-    What no form explains stays as it is, so a record whose damage lost its letters comes back unchanged.
+    made_words counts the distinct words with other than ASCII letters that a replacement made or changed, verified_words
+    those of them that the clean corpus has. What no form explains stays as it is, so a record whose damage lost its
+    letters comes back unchanged.
     """
     hurt = damaged(records, keys, text, table)
     pairs = matches(records, keys, text, table).join(hurt, keys, "left_semi").where("not weak")
     known = pairs.groupBy(*keys).agg(F.collect_set(F.struct("token", "family", "original", "chain")).alias("pairs"))
     first = records.where(F.col(text).isNotNull()).groupBy(*keys).agg(F.min(text).alias("text"))
     kinds = ", ".join(f"`{k}` {records.schema[k].dataType.simpleString()}" for k in keys)
-    return first.join(hurt, keys, "left_semi").join(known, keys, "left").mapInArrow(_restored, f"{kinds}, restored string")
+    back = cut(first.join(hurt, keys, "left_semi").join(known, keys, "left").mapInArrow(_restored, f"{kinds}, restored string, made array<string>"))
+    clean = table.where("chain = 'clean'").select(F.col("form").alias("word"))
+    sure = back.select(*keys, F.explode("made").alias("word")).join(clean, "word").groupBy(*keys).agg(F.count("*").alias("verified_words"))
+    return back.join(sure, keys, "left").select(*keys, "restored", F.size("made").alias("made_words"), F.coalesce("verified_words", F.lit(0)).alias("verified_words"))
