@@ -49,3 +49,5 @@ INSTITUTIONAL_PROXY = (
     r"\bthe\s+(?:company|filing|suit|report|agency)\s+(?:stated|said|added|"
     r"alleges|claims|reads|states|notes)\b"
 )
+# fixed values: labels of a quotation without a speaker in the text
+NO_SPEAKER = ("-1", "none", "not_quote", "not_mentioned", "not_en", "ambiguous", "other")

@@ -83,3 +83,22 @@ def top_speaker(name: Column, probas: Column) -> Column:
 
     own, best = pick(True), pick(False)
     return F.when(own["qid"].isNotNull(), own).when(best["qid"].isNotNull(), best).otherwise(F.struct(name.alias("speaker"), F.lit(None).cast("string").alias("qid"), F.lit(0.0).alias("probability")))
+
+
+def candidate_probas(local: Column, fallback: Column) -> Column:
+    """(speaker, qid, probability) of the candidates that have an item, from the local list, or where that is empty the other one.
+
+    The item is a candidate's first; a missing name is empty, a missing probability 0.
+    """
+    none = F.array().cast("array<struct<speaker string, qids array<string>, probability double>>")
+    chosen = F.when(F.coalesce(F.size(local), F.lit(0)) > 0, local).otherwise(F.coalesce(fallback, none))
+    known = F.filter(chosen, lambda c: F.coalesce(F.size(c["qids"]), F.lit(0)) > 0)
+    return F.transform(known, lambda c: F.struct(F.coalesce(c["speaker"], F.lit("")).alias("speaker"), F.get(c["qids"], 0).alias("qid"), F.coalesce(c["probability"], F.lit(0.0)).alias("probability")))
+
+
+def mentioned_entities(mentions: Column, names: Column) -> Column:
+    """Sorted distinct items of a quotation's mentions (qid, else wikidata_id) and of all its article's names that have offsets."""
+    own = F.transform(F.coalesce(mentions, F.array().cast("array<struct<qid string, wikidata_id string>>")), lambda m: F.coalesce(F.nullif(m["qid"], F.lit("")), F.nullif(m["wikidata_id"], F.lit(""))))
+    placed = F.filter(F.coalesce(names, F.array().cast("array<struct<ids array<string>, offsets string>>")), lambda n: n["offsets"].isNotNull())
+    ids = F.flatten(F.transform(placed, lambda n: F.coalesce(n["ids"], F.array().cast("array<string>"))))
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(own, ids))))

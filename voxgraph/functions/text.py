@@ -119,7 +119,7 @@ def rebuild_brackets(x: Column) -> Column:
 
 def drop_punctuation(tokens: Column) -> Column:
     """Without tokens of punctuation only and the clitics 's s' n't; bracketed markers stay."""
-    return F.filter(tokens, lambda t: t.rlike(r"^\[.*\]$") | (~t.rlike(r"^\p{Punct}*$") & ~F.lower(t).isin("'s", "s'", "n't")))
+    return F.filter(tokens, lambda t: t.rlike(r"^\[.*\]$") | (~t.rlike(r"^\p{Punct}*\z") & ~F.lower(t).isin("'s", "s'", "n't")))
 
 
 def split_hyphens(x: Column) -> Column:

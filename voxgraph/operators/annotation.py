@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nested import first_nonblank
-from ..functions.text import proper_names
+from ..functions.text import minimal_person, proper_names
 from .quotes import mark_spans
 
 SENTIMENTS = ("positive", "negative", "mixed", "neutral", "not_about")
@@ -217,3 +217,72 @@ def with_answers(quotes: DataFrame, answers: DataFrame, retries: DataFrame | Non
     else:
         rows = rows.withColumn("_b", F.lit(None).cast("string"))
     return rows.withColumn("status", F.coalesce("_a", "_b", F.lit("reject"))).drop("_a", "_b")
+
+
+#: Characters around a quotation in which its speaker and verb are looked for.
+NEAR = 500
+
+
+def find_surface(text: Column, surface: Column, low: Column, high: Column, center: Column, outside: tuple[Column, Column] | None = None, used: Column | None = None) -> Column:
+    """(start, end) of the occurrence of a surface in text[low:high] to take, or null.
+
+    With exact case, else ignoring case; not one of `used`; outside a range if one is; nearest to center, then leftmost.
+    """
+    needle = F.trim(F.coalesce(surface, F.lit("")))
+    n = F.length(needle)
+    last = F.least(high, F.length(text)) - n
+    places = lambda t, s: F.filter(F.sequence(low, last), lambda i: F.substring(t, i + 1, n) == s)
+    fits = (n > 0) & (last >= low)
+    exact = F.when(fits, places(text, needle)).otherwise(F.array().cast("array<int>"))
+    loose = F.when(fits, places(F.lower(text), F.lower(needle))).otherwise(F.array().cast("array<int>"))
+    spans = F.transform(F.when(F.size(exact) > 0, exact).otherwise(loose), lambda i: F.struct(F.abs(i - center).alias("d"), i.alias("start"), (i + n).alias("end")))
+    if used is not None:
+        spans = F.filter(spans, lambda s: ~F.exists(used, lambda u: (u["start"] == s["start"]) & (u["end"] == s["end"])))
+    best = F.array_min(spans)
+    if outside is not None:
+        free = F.array_min(F.filter(spans, lambda s: (s["end"] <= outside[0]) | (s["start"] >= outside[1])))
+        best = F.coalesce(free, best)
+    return F.when(best.isNotNull(), F.struct(best["start"].alias("start"), best["end"].alias("end")))
+
+
+def apply_predictions(quotes: DataFrame) -> DataFrame:
+    """quotes with a judge's predictions located in their text: status, reject_reason, verb, speaker, found_mentions, remarks.
+
+    quotes: text, inner_start, inner_end, outer_start, outer_end, pred_status, pred_reason, pred_verb_status, pred_verb,
+    pred_speaker_status, pred_speaker, pred_mentions (surface, sentiment), pred_notes. verb and speaker are structs
+    (status, start, end). A rejection clears all fields. A verb that isn't found is implicit, a speaker that isn't found
+    can't be identified, a mention that isn't found in the quotation is dropped, each with a remark; equal surfaces take
+    different places; a mention of unknown sentiment is neutral.
+    """
+    text = F.col("text")
+    low, high = F.greatest(F.lit(0), F.col("outer_start") - NEAR), F.least(F.length(text), F.col("outer_end") + NEAR)
+    inner = (F.col("inner_start"), F.col("inner_end"))
+    rows = quotes.withColumns({
+        "_verb": find_surface(text, F.col("pred_verb"), low, high, F.col("outer_start"), inner),
+        "_who": find_surface(text, minimal_person(F.coalesce("pred_speaker", F.lit(""))), low, high, F.col("outer_start"), inner),
+    })
+    shape = "array<struct<start int, end int, surface string, sentiment string>>"
+
+    def step(kept: Column, m: Column) -> Column:
+        at = find_surface(text, m["surface"], *inner, F.col("inner_start"), None, kept)
+        feeling = F.when(m["sentiment"].isin(*SENTIMENTS), m["sentiment"]).otherwise("neutral")
+        return F.when(at.isNotNull(), F.array_append(kept, F.struct(at["start"].alias("start"), at["end"].alias("end"), m["surface"].alias("surface"), feeling.alias("sentiment")))).otherwise(kept)
+
+    asked = F.filter(F.coalesce("pred_mentions", F.array().cast("array<struct<surface string, sentiment string>>")), lambda m: F.trim(F.coalesce(m["surface"], F.lit(""))) != "")
+    rows = rows.withColumn("_asked", asked).withColumn("_found", F.aggregate("_asked", F.array().cast(shape), step))
+    rejected = F.coalesce(F.col("pred_status") == "reject", F.lit(False))
+    want_verb = (F.col("pred_verb_status") == "present") & (F.trim(F.coalesce("pred_verb", F.lit(""))) != "")
+    want_who = (F.col("pred_speaker_status") == "identified") & (F.trim(F.coalesce("pred_speaker", F.lit(""))) != "")
+    none = F.lit(None).cast("int")
+    span = lambda wanted, at, yes, no: F.when(rejected, F.struct(F.lit("unset").alias("status"), none.alias("start"), none.alias("end"))).when(wanted & at.isNotNull(), F.struct(F.lit(yes).alias("status"), at["start"].alias("start"), at["end"].alias("end"))).otherwise(F.struct(F.lit(no).alias("status"), none.alias("start"), none.alias("end")))
+    lost = F.size("_asked") - F.size("_found")
+    remarks = F.array(
+        F.nullif(F.trim(F.coalesce("pred_notes", F.lit(""))), F.lit("")), F.when(~rejected & want_verb & F.col("_verb").isNull(), "verb not found; implicit"),
+        F.when(~rejected & want_who & F.col("_who").isNull(), "speaker not found; cannot identify"), F.when(~rejected & (lost > 0), F.concat(lost.cast("string"), F.lit(" mentions not inside the quote"))),
+    )
+    made = {
+        "status": F.when(rejected, "reject").otherwise("keep"), "reject_reason": F.when(rejected, F.coalesce(F.nullif("pred_reason", F.lit("")), F.lit("not_speech"))),
+        "verb": span(want_verb, F.col("_verb"), "present", "implicit"), "speaker": span(want_who, F.col("_who"), "identified", "cannot_identify"),
+        "found_mentions": F.when(rejected, F.array().cast(shape)).otherwise(F.col("_found")), "remarks": F.array_join(F.array_compact(remarks), " "),
+    }
+    return rows.withColumns(made).drop("_verb", "_who", "_asked", "_found")

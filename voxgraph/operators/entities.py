@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import phase_text
+from ..functions.fixed import NO_SPEAKER
+from ..functions.text import TARGET_QUOTE, phase_text
 from .lineage import cut
 
 #: Parts a token key's tokens; no token has it.
@@ -49,15 +50,19 @@ def _windows(texts: DataFrame, id_col: str, tokens: str, longest: int) -> DataFr
 
 def _grams(texts: DataFrame, id_col: str, tokens: str, longest: int, firsts: DataFrame) -> DataFrame:
     """(id, i, n, key): n-grams whose first token begins some key; the semi-join prunes before n-grams are made."""
-    rows = _windows(texts, id_col, tokens, longest).join(firsts, "w", "left_semi")
+    rows = _windows(texts, id_col, tokens, longest).join(firsts, firsts.columns, "left_semi")
     sizes = F.explode(F.sequence(F.lit(1), F.size("t")))
     return rows.select(id_col, "i", "t", sizes.alias("n")).select(id_col, "i", "n", token_key(F.slice("t", F.lit(1), F.col("n"))).alias("alias_key"))
 
 
 def longest_hits(texts: DataFrame, id_col: str, tokens: str, names: DataFrame, longest: int) -> DataFrame:
-    """(id, i, n, alias_key, qids): for each start token the longest n-gram that is a name's key. names: alias_key, qids."""
-    firsts = names.select(F.element_at(F.split("alias_key", SEP), 1).alias("w")).distinct()
-    met = _grams(texts, id_col, tokens, longest, firsts).join(names.select("alias_key", "qids"), "alias_key")
+    """(id, i, n, alias_key, qids): for each start token the longest n-gram that is a name's key. names: alias_key, qids.
+
+    If names have the id too, each document meets its own names only.
+    """
+    own = [id_col] if id_col in names.columns else []
+    firsts = names.select(*own, F.element_at(F.split("alias_key", SEP), 1).alias("w")).distinct()
+    met = _grams(texts, id_col, tokens, longest, firsts).join(names.select(*own, "alias_key", "qids"), [*own, "alias_key"])
     return met.groupBy(id_col, "i").agg(F.max(F.struct("n", "alias_key", "qids")).alias("m")).select(id_col, "i", "m.n", "m.alias_key", "m.qids")
 
 
@@ -166,6 +171,36 @@ def activated_names(texts: DataFrame, id_col: str, tokens: str, people: DataFram
     return texts.select(id_col, tokens).join(grouped, id_col).mapInPandas(run, f"`{id_col}` {kind}, start_token int, end_token int, qid string")
 
 
+def valid_speaker(speaker: Column, qids: Column) -> Column:
+    """Whether a speaker label is a marker of no speaker or one of the article's items."""
+    return F.coalesce(speaker.isin(*NO_SPEAKER) | F.array_contains(qids, speaker), F.lit(False))
+
+
+def training_rows(rows: DataFrame, names: DataFrame, id_col: str, kind: str = "train", longest: int = 16) -> DataFrame:
+    """Quotations with masked context: (id, quotation, full_text, masked, positions, nb_entities), for training also speaker, targets, nb_targets, ambiguous.
+
+    rows: id, left_context, right_context, quotation, speaker (an item or a marker). names: id, pos, name, qid, the names
+    of the row's article. The context is both sides around a marker of the quotation, without double quotes; its names
+    are masked. Rows without quotation, without a mention, and for training those whose speaker is unknown to the
+    article, are left out. Keys of over `longest` tokens don't fit a name and give no match.
+    """
+    own = article_gazetteer(names.withColumnRenamed(id_col, "article_id")).withColumnRenamed("article_id", id_col).where(F.col("n_tokens") <= longest)
+    some = rows.where("quotation is not null")
+    if kind == "train":
+        known = names.groupBy(id_col).agg(F.collect_set("qid").alias("_known"))
+        some = some.join(known, id_col).where(valid_speaker(F.col("speaker"), F.col("_known"))).drop("_known")
+    side = lambda c: F.coalesce(F.col(c), F.lit(""))
+    some = some.withColumn("full_text", F.regexp_replace(F.concat(side("left_context"), F.lit(f" {TARGET_QUOTE} "), side("right_context")), '"+', ""))
+    some = cut(some.withColumn("_t", F.filter(F.split("full_text", r"\s+"), lambda t: t != "")))
+    masked = masked_text(some.select(id_col, "_t"), id_col, "_t", full_matches(some.select(id_col, "_t"), id_col, "_t", own, longest))
+    out = some.drop("_t").join(masked, id_col).withColumn("nb_entities", F.size("positions")).where("nb_entities > 0")
+    keep = [id_col, "quotation", "full_text", "masked", "positions", "nb_entities"]
+    if kind != "train":
+        return out.select(*keep)
+    at, ambiguous = target_positions(F.col("positions"), F.col("speaker"))
+    return out.withColumns({"targets": at, "ambiguous": ambiguous}).select(*keep, "speaker", "targets", F.size("targets").alias("nb_targets"), "ambiguous")
+
+
 def link_mentions(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
     """(mention_id, qid): of a mention's candidates (mention_id, label, qid, rank) the first whose label equals or holds the surface, else the first."""
     s, label = F.lower("surface"), F.lower("label")

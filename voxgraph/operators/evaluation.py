@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import QUOTATIVE_VERBS, TITLE_TOKENS
+from ..functions.fixed import INSTITUTIONAL_PROXY, QUOTATIVE_VERBS, TITLE_TOKENS
 from ..functions.text import alnum_tokens, normal_answer
 
 
@@ -97,3 +97,73 @@ def nearest_run(tags: DataFrame, document: str, wanted: Column, start: str, radi
     gap = F.greatest(F.col("_s") - F.col("run_end"), F.col("run_start") - F.col("_s"), F.lit(0))
     best = runs.where(gap <= radius).groupBy(document).agg(F.min(F.struct(gap.alias("gap"), "run_start", "run_end")).alias("m"))
     return best.select(document, "m.run_start", "m.run_end")
+
+
+def name_tokens(words: Column) -> Column:
+    """Distinct lower-case alphabetic words without outer quotes and punctuation."""
+    return F.array_distinct(F.transform(F.filter(words, lambda w: w.rlike(r"^\p{L}+$")), lambda w: F.lower(w)))
+
+
+def gold_spans(tokens: DataFrame, radius: int = 25) -> DataFrame:
+    """(paragraph, idx, kind, start, end, text, names) of the quotations in labelled tokens (paragraph, pos, word, tag).
+
+    Tags B-<kind> and I-<kind> mark quotations of the kinds LeftSpeaker, RightSpeaker and Unknown, B-Speaker and I-Speaker
+    speakers. names are those of the run of speaker tags nearest to the quotation on its side, within `radius` tokens.
+    """
+    order = Window.partitionBy("paragraph").orderBy("pos")
+    t = tokens.withColumn("kind", F.regexp_extract("tag", "^[BI]-(LeftSpeaker|RightSpeaker|Unknown)$", 1)).withColumn("is_speaker", F.col("tag").isin("B-Speaker", "I-Speaker"))
+    begins = (F.col("kind") != "") & (F.col("tag").startswith("B-") | (F.coalesce(F.lag("kind").over(order), F.lit("")) != F.col("kind")))
+    runs = F.col("is_speaker") & ~F.coalesce(F.lag("is_speaker").over(order), F.lit(False))
+    t = t.withColumns({"_b": begins.cast("int"), "_r": runs.cast("int")}).withColumns({"no": F.sum("_b").over(order), "run": F.sum("_r").over(order)})
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ")
+    spans = t.where("kind <> ''").groupBy("paragraph", "no", "kind").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), words.alias("text"))
+    spans = spans.withColumn("idx", (F.col("no") - 1).cast("int"))
+    s = t.where("is_speaker").select("paragraph", F.col("pos").alias("at"), "word", "run")
+    left = (F.col("kind") == "LeftSpeaker") & (F.col("at") < F.col("start")) & (F.col("at") >= F.col("start") - radius)
+    right = (F.col("kind") == "RightSpeaker") & (F.col("at") >= F.col("end")) & (F.col("at") < F.col("end") + radius)
+    met = spans.select("paragraph", "idx", "kind", "start", "end").join(s, "paragraph").where(left | right)
+    near = met.groupBy("paragraph", "idx", F.when(F.col("kind") == "LeftSpeaker", -F.col("run")).otherwise(F.col("run")).alias("o")).agg(F.collect_list("word").alias("w"))
+    near = near.groupBy("paragraph", "idx").agg(F.min(F.struct("o", "w")).alias("m")).select("paragraph", "idx", name_tokens(F.col("m.w")).alias("names"))
+    out = spans.join(near, ["paragraph", "idx"], "left")
+    return out.select("paragraph", "idx", "kind", "start", "end", "text", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
+
+
+def gold_pairs(tokens: DataFrame, spans: DataFrame) -> DataFrame:
+    """Adjacent quotations of gold_spans: (paragraph, idx, bridge, should_merge, bridge_has_person, institutional).
+
+    They should merge if the bridge is punctuation only, or names a speaker of either side, or both sides have a speaker
+    in common. institutional: the bridge has a phrase of an institution and no speaker, and both kinds are Unknown.
+    """
+    order = Window.partitionBy("paragraph").orderBy("idx")
+    nxt = {f"next_{c}": F.lead(c).over(order) for c in ("start", "names", "kind")}
+    pairs = spans.withColumns(nxt).where("next_start is not null")
+    t = tokens.select("paragraph", F.col("pos").alias("at"), "word", "tag")
+    met = pairs.select("paragraph", "idx", "end", "next_start").join(t, "paragraph").where("at >= end and at < next_start")
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ")
+    said = F.collect_list(F.when(F.col("tag").isin("B-Speaker", "I-Speaker"), F.col("word")))
+    bridge = met.groupBy("paragraph", "idx").agg(words.alias("bridge"), said.alias("_s"))
+    rows = pairs.join(bridge, ["paragraph", "idx"], "left").withColumns({"bridge": F.coalesce("bridge", F.lit("")), "_s": F.coalesce("_s", F.array().cast("array<string>"))})
+    b, person = name_tokens(F.col("_s")), F.size("_s") > 0
+    punctuation = (F.trim("bridge") != "") & ~F.col("bridge").rlike("[A-Za-z0-9]")
+    overlap = lambda x, y: F.coalesce(F.arrays_overlap(x, y), F.lit(False))
+    should = punctuation | overlap(b, F.col("names")) | overlap(b, F.col("next_names")) | overlap(F.col("names"), F.col("next_names"))
+    institution = F.col("bridge").rlike("(?i)" + INSTITUTIONAL_PROXY) & ~person & (F.col("kind") == "Unknown") & (F.col("next_kind") == "Unknown")
+    return rows.select("paragraph", "idx", "bridge", should.alias("should_merge"), person.alias("bridge_has_person"), institution.alias("institutional"))
+
+
+def merge_scores(pairs: DataFrame, kept: DataFrame) -> DataFrame:
+    """(subset, total, tp, fp, fn, tn, precision, recall, f1, merge_rate, non_quote_rate) of merging against gold.
+
+    pairs: gold_pairs with merge, left_role, right_role of a decision. kept: one row per block with gold_has_person and
+    passes. Subsets: all pairs, those without a speaker in the bridge, institutional ones, and the blocks that pass.
+    """
+    said = F.col("merge") == "yes"
+    p = pairs.select(F.explode(F.array_compact(F.array(F.lit("pairs"), F.when(~F.col("bridge_has_person"), "high_risk"), F.when(F.col("institutional"), "institutional")))).alias("subset"),
+                     F.col("should_merge").alias("gold"), said.alias("pred"), ((F.col("left_role") == "non_quote") | (F.col("right_role") == "non_quote")).alias("non_quote"))
+    k = kept.select(F.lit("blocks").alias("subset"), F.col("gold_has_person").alias("gold"), F.col("passes").alias("pred"), F.lit(None).cast("boolean").alias("non_quote"))
+    out = p.unionByName(k).groupBy("subset").agg(
+        F.count("*").alias("total"), F.count_if(F.col("pred") & F.col("gold")).alias("tp"), F.count_if(F.col("pred") & ~F.col("gold")).alias("fp"), F.count_if(~F.col("pred") & F.col("gold")).alias("fn"),
+        F.count_if(~F.col("pred") & ~F.col("gold")).alias("tn"), F.avg(F.col("pred").cast("double")).alias("merge_rate"), F.avg(F.col("non_quote").cast("double")).alias("non_quote_rate"),
+    )
+    precision, recall, f1 = rates(F.col("tp"), F.col("fp"), F.col("fn"))
+    return out.withColumns({"precision": precision, "recall": recall, "f1": f1})

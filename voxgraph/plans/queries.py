@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import network, scores, skewed, texts
+from . import network, records, scores, skewed, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (network, texts, scores, skewed)
+PARTS = (network, texts, scores, records, skewed)
 
 
 def queries() -> dict[str, Query]:

@@ -277,7 +277,36 @@ _OUTCOMES = rf"""
         when list_has_all(dx, dy) then 'overlong_name_span' when list_has_all(dy, dx) then 'underspecified_name_span' else 'alias_or_partial_overlap' end cat from u)"""
 _SETS = "select 'all' s, * from e union all select 'early', * from e where pub_year < 2015 union all select 'late', * from e where pub_year >= 2015 union all select 'sure', * from e where prob_speaker >= 0.8 union all select 'writer', * from e where source_occupation = 'writer'"
 _LAST = "l as (select * from annotation where annotator is not null and article_id is not null and quote_id is not null qualify row_number() over (partition by annotator, article_id, quote_id order by saved_at desc, annotation_id desc) = 1), q as (select *, lower(trim(status)) = 'reject' or (lower(trim(status)) = 'keep' and replace(lower(trim(sentiment)), ' ', '_') in ('positive', 'negative', 'mixed', 'neutral', 'not_about') and coalesce(qid, '') <> '') done from l)"
+_LEXICON = r"""
+      la as (select distinct article_id, detokenized_content c from articles where detokenized_content is not null), lt as (select unnest(string_split(c, ' ')) s from la), lk as (select lower(regexp_replace(s, '[^A-Za-z0-9]', '', 'g')) f, s, regexp_matches(s, '[^\x00-\x7F]') x from lt),
+      ln as (select f, s, x, count(*) n from lk where f <> '' and not (not x and s = lower(s)) group by all), lex as (select f, s from ln qualify row_number() over (partition by f order by x desc, n desc, s) = 1), ql as (select f, s from lex where regexp_matches(s, '[^\x00-\x7F]'))"""
+#: The repairs of a table tok of tokens.
+_TAIL = r"""'^(.*?)([!"#$%&''()*+,\-./:;<=>@\[\\\]^_`{|}~“”‘’«»]*)$'"""
+_REPAIRS = rf"""
+      dm as (select distinct token from tok where regexp_matches(token, '\?.|.\?\p{{L}}')), co as (select token, regexp_extract(token, {_TAIL}, 1) core, regexp_extract(token, {_TAIL}, 2) tail from dm), cq as (select * from co where contains(core, '?')),
+      fi as (select token, core, f, s from cq join ql on length(core) = length(s) where len(list_filter(range(1, length(core) + 1), lambda i: not case when core[i] = '?' then not regexp_matches(s[i], '^[A-Za-z0-9]$') else lower(core[i]) = lower(s[i]) end)) = 0),
+      ex as (select token, min(s) s from fi where f = lower(regexp_replace(core, '[^A-Za-z0-9]', '', 'g')) group by 1), wi as (select token, min(s) s from fi group by 1 having count(distinct s) = 1),
+      rp as (select dm.token, case when coalesce(ex.s, wi.s) is not null then coalesce(ex.s, wi.s) || cq.tail else dm.token end repaired from dm left join cq using (token) left join ex using (token) left join wi using (token))"""
+_REJOINED = "text"
+for _p, _t in (
+    (r"â\s+€\s*œ", "“"), (r"â\s+€\s*™", "’"), (r"â\s+€\s*\x{9d}", "”"), (r"â\s+€\s*˜", "‘"), (r"(?i)â\s+(s|t|re|ve|ll|d)\b", r"''\1"), (r"â\s+€", "”"), *restore.SHOWN,
+    (r"""(^|[\s“”"''])€œ""", r"\1“"), (r"""(^|[\s“”"''])€([A-Za-z])""", r"\1\2"), (r"â(\s|$)", r"\1"), (r"(\S)(“)", r"\1 \2"), (r"(”)([A-Za-z])", r"\1 \2"),
+):
+    _REJOINED = f"regexp_replace({_REJOINED}, '{_p}', '{_t}', 'g')"
 SQL = {
+    "question_repairs": f"with {_LEXICON}, tok as (select unnest(string_split(text, ' ')) token from (select distinct * from quote_candidates) where text is not null), {_REPAIRS} select token, repaired from rp",
+    "restored_questions": f"""
+      with {_LEXICON}, ar as (select article_id, min(detokenized_content) t from articles where contains(detokenized_content, '?') group by 1), tk as (select article_id, unnest(string_split(t, ' ')) token, generate_subscripts(string_split(t, ' '), 1) i from ar), tok as (select token from tk), {_REPAIRS}
+      select article_id, string_agg(coalesce(repaired, tk.token), ' ' order by i) as text from tk left join rp using (token) group by 1""",
+    "rejoined_marks": f"select quote_id, case when regexp_matches(text, '[ÃÂâ€]') then {_REJOINED} else text end as text from quote_candidates where text is not null",
+    "attribution_summary": f"""
+      with {_OUTCOMES}, d as (select *, lower(concat_ws(' ', left_context, target_quote, right_context)) doc, lower(trim(ps)) p1, lower(trim(pv)) v1 from o)
+      select quote_kind, count(*) as total, round(avg(ex::int), 6) as exact_accuracy, round(avg(ex::int), 6) as relaxed_accuracy, round(avg(f1), 6) as token_f1, round(avg(vx::int), 6) as verb_accuracy, count(*) filter (not ex) as exact_misses, count(*) filter (not ex and f1 < 0.5) as low_overlap_misses,
+        count(*) filter (not ((p1 = '' or contains(doc, p1)) and (v1 = '' or contains(doc, v1)))) as copied_span_failures, count(*) filter ({_ANSWER.format("ps")} in ({', '.join(repr(x) for x in PRONOUNS)})) as pronoun_predictions from d group by 1""",
+    "located_surfaces": r"""
+      with m as (select mention_id, article_id, min(name) as name from entity_names where name is not null group by 1, 2), s as (select mention_id, article_id, string_split(trim(name), ' ')[-1] s from m), a as (select article_id, min(text) t from articles where text is not null group by 1),
+      j as (select mention_id, t, s, string_split(lower(t), lower(s)) p from s join a using (article_id) where s <> ''), o as (select mention_id, t, s, unnest(list_transform(range(1, len(p)), lambda k: list_sum(list_transform(p[1:k], lambda x: len(x))) + (k - 1) * len(s))) i from j where len(p) > 1)
+      select mention_id, cast(i as int) as start, cast(i + len(s) as int) as end from o qualify row_number() over (partition by mention_id order by substring(t, cast(i as int) + 1, len(s)) <> s, i) = 1""",
     "lexicon_majority": r"""
       with a as (select distinct article_id, detokenized_content c from articles where detokenized_content is not null), t as (select unnest(string_split(c, ' ')) s from a), k as (select lower(regexp_replace(s, '[^A-Za-z0-9]', '', 'g')) f, s, regexp_matches(s, '[^\x00-\x7F]') x from t),
       n as (select f as fold_key, s as surface, x, count(*) n from k where f <> '' and not (not x and s = lower(s)) group by all) select fold_key, surface, n from n qualify row_number() over (partition by fold_key order by x desc, n desc, surface) = 1""",

@@ -35,10 +35,19 @@ def token_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_rewrites(spark: SparkSession, folder: str) -> DataFrame:
+    q = table(spark, folder, "quote_candidates", "quote_id", "text")
+    t = F.col("text")
+    return q.select("quote_id", text.split_hyphens(t).alias("split_hyphens"), text.sentence_truecase(F.lower(t)).alias("truecased"))
+
+
+def token_edges(spark: SparkSession, folder: str) -> DataFrame:
     q = table(spark, folder, "quote_candidates", "quote_id", "text")
     t = F.col("text")
     tokens = F.array_join(text.drop_punctuation(text.blank_tokens(t)), " ")
-    return q.select("quote_id", text.all_lower(t).alias("all_lower"), text.split_hyphens(t).alias("split_hyphens"), text.rebuild_brackets(t).alias("rebuilt"), tokens.alias("without_punctuation"), text.edge_words(t, 10, True).alias("first_words"), text.edge_words(t, 10, False).alias("last_words"), text.sentence_truecase(F.lower(t)).alias("truecased"))
+    rebuilt = text.rebuild_brackets(F.concat(F.lit("[ MASK ] "), t))
+    return q.select(
+        "quote_id", text.all_lower(t).alias("all_lower"), rebuilt.alias("rebuilt"), tokens.alias("without_punctuation"), text.edge_words(t, 10, True).alias("first_words"), text.edge_words(t, 10, False).alias("last_words")
+    )
 
 
 def speaker_forms(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,7 +131,7 @@ def encoding_scores(spark: SparkSession, folder: str) -> DataFrame:
     return w.groupBy("phase").agg(F.count("*").alias("n"), F.count_if(dump.encoding_match(F.col("d"), F.col("g"))).alias("matches"), F.count_if(dump.is_name_smash(F.col("d"), F.col("g"))).alias("smashed"))
 
 
-QUERIES = {f.__name__: f for f in (phase_texts, phase_a_text, phase_of_articles, token_profile, token_rewrites, speaker_forms, fold_keys, url_parts, url_variants, domains_per_phase, text_hashes, answers_normal, marked_spans_text, json_projection, html_as_tokens, cleaned_dump, speaker_candidates, encoding_scores)}
+QUERIES = {f.__name__: f for f in (phase_texts, phase_a_text, phase_of_articles, token_profile, token_rewrites, token_edges, speaker_forms, fold_keys, url_parts, url_variants, domains_per_phase, text_hashes, answers_normal, marked_spans_text, json_projection, html_as_tokens, cleaned_dump, speaker_candidates, encoding_scores)}
 
 _BLANKS = r"[\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _WORD = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}]+"
@@ -131,7 +140,22 @@ _TITLES = ", ".join(f"'{t}'" for t in TITLES)
 _PRONOUNS = ", ".join(f"'{t}'" for t in PRONOUNS)
 _TRACKING = ", ".join(f"'{t}'" for t in urls.TRACKING)
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+_EDGE = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}]+|[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_ASKED = r"(?i)\b(said|added|asked|wrote|told|argued|warned|noted|replied|claimed)\b"
+_MINIMAL = r"(?i)^(mr|mrs|ms|miss|dr|prof|sir|dame|lord|lady|president|senator|sen|rep|gov|judge|minister|captain)\.?\s+"
+_OUTER = r"""^[ "''`.,:;!?()\[\]{}]+|[ "''`.,:;!?()\[\]{}]+$"""
 SQL = {
+    "token_edges": rf"""
+      with q as (select quote_id, text, regexp_extract_all(coalesce(text, ''), '{_EDGE}') w, list_filter(string_split(text, ' '), lambda t: regexp_matches(t, '^\[.*\]$') or (not regexp_matches(t, '^[[:punct:]]*$') and lower(t) not in ('''s', 's''', 'n''t'))) k,
+        regexp_replace(text, '\[(MASK|QUOTE|TARGET_QUOTE)\]', '', 'g') b from quote_candidates)
+      select quote_id, case when coalesce(text, '') = '' then true else b = lower(b) and regexp_matches(b, '\p{{L}}') end as all_lower, regexp_replace('[ MASK ] ' || text, '\[ (.*?) \]', '[\1]', 'g') as rebuilt, array_to_string(k, ' ') as without_punctuation,
+        array_to_string(w[1:10], ' ') as first_words, array_to_string(case when len(w) > 10 then w[-10:] else w end, ' ') as last_words from q""",
+    "answers_normal": rf"""
+      with g as (select *, regexp_extract_all(coalesce(left_context, ''), '{_EDGE}') l, regexp_extract_all(coalesce(right_context, ''), '{_EDGE}') r from gold_attributions),
+      v as (select *, regexp_extract_all(array_to_string(case when len(l) > 35 then l[-35:] else l end, ' '), '{_ASKED}', 1) a, regexp_extract_all(array_to_string(r[1:35], ' '), '{_ASKED}', 1) b from g)
+      select paragraph_id, quote_index, case when lower(trim(gold_speaker)) in ('', 'unknown', 'none', 'no speaker', 'not stated', 'not found', 'n/a', 'null') then '' else lower(regexp_replace(trim(regexp_replace(gold_speaker, '{_BLANKS}', ' ', 'g')), '{_OUTER}', '', 'g')) end as answer,
+        regexp_replace(trim(gold_speaker), '{_MINIMAL}', '') as person, lower(coalesce(a[-1], b[1])) as verb,
+        array_to_string(list_filter(regexp_extract_all(regexp_replace(coalesce(left_context, ''), '[^\x00-\x7F\p{{P}}\p{{S}}\p{{Z}}\p{{C}}]', '_', 'g'), '\b[A-Z][a-z]+(?: [A-Z][a-z]+){{0,3}}\b'), lambda n: lower(n) <> 'the'), '|') as names from v""",
     "phase_texts": r"select quote_id, regexp_replace(lower(text), '[^\x00-\xFF]', '?', 'g') phase_b, regexp_replace(lower(text), '[^\x00-\x7F]', '?', 'g') phase_c, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') phase_d from quote_candidates",
     "phase_of_articles": "select article_id, case "
     + " ".join(f"when length(date_published) >= 10 and date_published[1:10] between '{a}' and '{b}' then '{p}'" for p, a, b in text.PHASES)

@@ -125,17 +125,26 @@ def labelled_tokens(spark: SparkSession, path: str) -> DataFrame:
     return blocks.select("paragraph", "pos", F.regexp_extract("line", r"^(.*) \S+$", 1).alias("word"), F.regexp_extract("line", r"(\S+)$", 1).alias("tag"))
 
 
+def open_parquet(path: str):
+    """A Parquet file on any file system that Arrow knows by its address."""
+    import pyarrow.fs
+    import pyarrow.parquet as pq
+
+    uri = "file:///" + path[5:].lstrip("/") if path.startswith("file:") else path
+    system, place = pyarrow.fs.FileSystem.from_uri(uri)
+    return pq.ParquetFile(system.open_input_file(place))
+
+
 def row_groups(spark: SparkSession, path: str) -> DataFrame:
     """(path, row_group, n_rows) of every Parquet file below a folder, from the files' footers, read by tasks."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import pyarrow.parquet as pq
 
         for batch in batches:
             rows = []
             for p in batch.column(0).to_pylist():
-                meta = pq.ParquetFile(p.removeprefix("file:")).metadata
+                meta = open_parquet(p).metadata
                 rows += [(p, i, meta.row_group(i).num_rows) for i in range(meta.num_row_groups)]
             cols = list(zip(*rows)) if rows else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], ["path", "row_group", "n_rows"])
@@ -144,6 +153,44 @@ def row_groups(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "path string, row_group int, n_rows long")
 
 
+def read_slices(manifest: DataFrame, schema: StructType) -> DataFrame:
+    """The rows of a manifest's row groups (path, row_group), only the schema's columns, each row group read by one task.
+
+    One chunk's rows: read_slices(manifest.where("chunk_id = 3"), schema).
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator) -> Iterator:
+        wanted = to_arrow_schema(schema)
+        for batch in batches:
+            for path, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = open_parquet(path).read_row_group(group, columns=names).select(names)
+                yield from found.cast(wanted).to_batches(max_chunksize=10_000)
+
+    return manifest.select("path", "row_group").repartition("path", "row_group").mapInArrow(run, schema)
+
+
+def manifest_summary(manifest: DataFrame) -> DataFrame:
+    """(chunk_id, files, row_groups, n_rows, first_row) of each chunk of a manifest."""
+    return manifest.groupBy("chunk_id").agg(F.countDistinct("path").alias("files"), F.count("*").alias("row_groups"), F.sum("n_rows").alias("n_rows"), F.min("first_row").alias("first_row"))
+
+
+def word_list(spark: SparkSession, path: str, fallback: Sequence[str] = ("president", "manager"), most: int = 100_000) -> list[str]:
+    """Lower-case words of a file with one a line, without blank lines and those that begin with #; the fallback if there is no file."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.text(path).select(F.lower(F.trim("value")).alias("w")).where("w <> '' and not startswith(value, '#')")
+        found = rows.select("w").distinct().limit(most + 1).collect()
+    except AnalysisException:
+        return sorted(fallback)
+    if len(found) > most:
+        raise ValueError(f"a word list of over {most} words")
+    return sorted(r.w for r in found)
+
+
 def html_files(spark: SparkSession, path: str) -> DataFrame:
     """(article_id, html) of files <id>.html.gz below a folder."""
 
