@@ -33,7 +33,7 @@ def test_entry_runs(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
-@pytest.mark.parametrize("name", ["edges_self_removed_window", "bridges", "bin_stats", "attribution_outcomes", "p4_source_profile"])
+@pytest.mark.parametrize("name", ["edges_self_removed_window", "bridges", "bin_stats", "attribution_outcomes", "p4_source_profile", "pair_decisions", "merge_evaluation", "applied_predictions"])
 def test_queries_against_sql(spark, name):
     import glob
 

@@ -350,3 +350,73 @@ def test_answers(spark):
     q = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
     first, retry = spark.createDataFrame([("a", "keep")], "k string, status string"), spark.createDataFrame([("b", "keep")], "k string, status string")
     assert rows(annotation.with_answers(q, first, retry, "k"), "k", "status") == [("a", "keep"), ("b", "keep"), ("c", "reject")]
+
+
+# Records, gates, slices
+
+
+def test_candidate_gate(spark):
+    rows = [("a", 0, ["Q1"], ["Q9"]), ("a", 1, [], None), ("a", 2, None, ["Q2"]), ("a", 3, ["Q5"], None)]
+    df = spark.createDataFrame(rows, "article string, idx int, m array<string>, b array<string>")
+    gate = lambda **o: [r.is_candidate for r in merge.candidate_gate(df, "article", "m", **o).orderBy("idx").collect()]
+    assert gate() == [True, False, False, True]
+    assert gate(persons=["Q9"], bridge_mentions="b") == [True, True, False, False] and gate(persons=["Q2"], bridge_mentions="b") == [False, False, True, True]
+    assert gate(persons=["Q9"]) == [False] * 4
+    near = lambda b, m: spark.range(1).select(merge.bridge_near_person(F.lit(b), ["Q1"], F.array(*map(F.lit, m)).cast("array<string>"))).first()[0]
+    assert near("said X", ["Q1"]) and not near("said X", ["Q2"]) and near("said X", []) and not near("", ["Q1"])
+
+
+def test_far_pairs_keep_their_roles_and_texts_come_before_institutions(spark):
+    s = "bridge string, text string, next_text string, speaker string, speaker_qid string, speaker_probability double, next_speaker string, next_speaker_qid string, next_speaker_probability double"
+    none = (None,) * 6
+    rows = [("x " * 200, "advertisement text", "t", *none), ("the report said", "read more here", "t", *none), ("\n\n" + "x " * 40, "read more here", "t", *none)]
+    got = [(r.reason, r.left_role, r.right_role) for r in merge.decide(spark.createDataFrame(rows, s)).collect()]
+    assert got == [("too_distant", "non_quote", "utterance"), ("non_quote", "non_quote", "non_quote"), ("article_boundary", "non_quote", "utterance")]
+
+
+def test_merged_and_saved_annotations(spark):
+    q = f"from_json('{{\"id\":\"a-q1\",\"status\":null,\"inner_start\":1,\"inner_end\":4,\"outer_start\":0,\"outer_end\":5,\"quotative\":{{\"status\":\"none\"}}}}', '{annotation.QUOTE}')"
+    df = spark.range(1).selectExpr("'a' as article_id", "'h' as text_hash", f"array({q}) as quotes")
+    filled = df.select(annotation.with_defaults(F.col("quotes"))[0].alias("q")).select("q.*").first()
+    assert (filled.status, filled.notes, filled.mentions, filled.quotative.status) == ("pending", "", [], "implicit")
+    saved = df.withColumns({"skipped": F.lit(False), "notes": F.lit("n")})
+    assert annotation.merge_saved(df, saved).first().quotes[0].status == "pending"
+    assert annotation.merge_saved(df, saved.withColumn("text_hash", F.lit("other"))).first().quotes[0].status is None
+    text = F.lit("“abc” and “defg” end")
+    two = df.select(F.expr(q).alias("a"), F.expr(q.replace("1,", "11,").replace(":4", ":15").replace("start\":0", "start\":10").replace(":5", ":16")).alias("b"))
+    one = two.select(annotation.merge_quotes(F.col("a"), F.col("b"), text).alias("m"))
+    assert one.first().m.text == "abc” and “defg" and len(one.first().m.segments) == 2
+    parts = one.select(annotation.unmerge_quote(F.col("m"), text).alias("p")).first().p
+    assert [(p.inner_start, p.inner_end, p.text) for p in parts] == [(1, 4, "abc"), (11, 15, "defg")]
+
+
+def test_surfaces_are_found_outside_first(spark):
+    df = spark.createDataFrame([("Ann said “Ann left”, ann", 11)], "t string, c int")
+    find = lambda s, **o: df.select(annotation.find_surface(F.col("t"), F.lit(s), F.lit(0), F.lit(99), F.col("c"), **o).alias("x")).first().x
+    assert tuple(find("Ann")) == (10, 13) and tuple(find("Ann", outside=(F.lit(10), F.lit(18)))) == (0, 3)
+    assert tuple(find("LEFT")) == (14, 18) and find("bob") is None and find("") is None and find(None) is None
+
+
+def test_slices_of_a_manifest(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    from voxgraph.sources import readers, session
+
+    pq.write_table(pa.table({"a": list(range(10)), "b": ["x"] * 10}), tmp_path / "t.parquet", row_group_size=3)
+    manifest = analytics.row_group_chunks(readers.row_groups(spark, str(tmp_path)), 2)
+    assert sorted((r.chunk_id, r.n_rows) for r in manifest.collect()) == [(0, 3), (0, 3), (1, 1), (1, 3)]
+    schema = StructType([StructField("a", LongType())])
+    assert sorted(r.a for r in readers.read_slices(manifest.where("chunk_id = 0"), schema).collect()) == [0, 1, 2, 3, 4, 5]
+    assert {(r.chunk_id, r.n_rows) for r in readers.manifest_summary(manifest).collect()} == {(0, 6), (1, 4)}
+    (tmp_path / "words.txt").write_text("# a\nMayor\n\nmayor \nJudge\n")
+    assert readers.word_list(spark, str(tmp_path / "words.txt")) == ["judge", "mayor"] and readers.word_list(spark, str(tmp_path / "no.txt")) == ["manager", "president"]
+    assert session.session(settings={"spark.x.y": "1"}).conf.get("spark.x.y") == "1"
+
+
+def test_held_keys_are_skipped(spark):
+    df = spark.range(20).selectExpr("'g' as g", "concat('k', id) as key")
+    first = analytics.sample_per_group(df, "g", "key", 8)
+    second = analytics.sample_per_group(df, "g", "key", 20, held=first)
+    assert second.count() == 12 and second.join(first, "key").count() == 0

@@ -48,14 +48,15 @@ def opened_spans(articles: DataFrame, id_col: str, content: str) -> DataFrame:
 def bridges(quotes: DataFrame, articles: DataFrame, article: str, start: str, end: str, key: str, content: str) -> DataFrame:
     """quotes with idx, their place in the article by start token (missing ones first, key on ties), and bridge_after.
 
+    articles: one row per article.
+
     bridge_after: the article's tokens from after the quotation's end up to the opener of the next one, joined by
     blanks; empty if the end is unknown, the next opener lies before it, or the article's content is null; null for the
     last quotation.
     """
     order = Window.partitionBy(article).orderBy(F.coalesce(F.col(start), F.lit(0)), F.col(key))
     q = quotes.withColumn("idx", F.row_number().over(order) - 1).withColumn("_next", F.lead(F.coalesce(F.col(start), F.lit(0))).over(order))
-    texts = articles.groupBy(article).agg(F.min(content).alias("_c"))
-    q = q.join(texts, article, "left")
+    q = q.join(articles.select(article, F.col(content).alias("_c")), article, "left")
     t = blank_tokens(F.col("_c"))
     first, n = F.col(end) + 1, F.col("_next") - 1 - (F.col(end) + 1)
     text = F.when((F.col(end) < 0) | (n <= 0) | (F.col("_next") - 1 > F.size(t)) | F.col("_c").isNull(), F.lit("")).otherwise(F.array_join(F.slice(t, F.greatest(first, F.lit(0)) + 1, F.greatest(n, F.lit(0))), " "))

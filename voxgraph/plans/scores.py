@@ -60,15 +60,17 @@ def aligned_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ensemble_truecase(spark: SparkSession, folder: str) -> DataFrame:
-    """Three simple models vote on the case of lower-cased quotations: the lower case, a sentence case, and the lexicon's."""
-    from ..functions.text import collapse_blanks, sentence_truecase
-
-    q = quote_rows(spark, folder).where("text is not null").select("quote_id", collapse_blanks(F.col("text")).alias("t"))
-    low = F.lower("t")
-    models = F.array(F.split(sentence_truecase(low), " "), F.split(F.col("t"), " "), F.split(low, " "))
-    # exploded, so that the models' words are made once and not in every step of the vote
-    rows = q.where(F.length("t") == F.length(low)).select("quote_id", F.explode(F.array(models)).alias("m"))
-    return rows.select("quote_id", F.array_join(restore.ensemble(F.col("m")), " ").alias("text"))
+    """Three simple models vote on each word of lower-cased quotations: a sentence case, the lexicon's surface, and the lower case."""
+    from ..functions.text import collapse_blanks, fold_key, majority, sentence_truecase
+
+    q = quote_rows(spark, folder).where("text is not null").select("quote_id", F.lower(collapse_blanks(F.col("text"))).alias("t")).distinct()
+    words = F.arrays_zip(F.split(sentence_truecase(F.col("t")), " ").alias("s"), F.split("t", " ").alias("l"))
+    rows = q.select("quote_id", F.posexplode(words).alias("at", "w")).select("quote_id", "at", "w.s", "w.l")
+    lex = restore.lexicon(_tokens(spark, folder), "token").select("fold_key", "surface")
+    met = rows.withColumn("fold_key", F.nullif(fold_key(F.col("l")), F.lit(""))).join(lex, "fold_key", "left")
+    known = F.when(F.lower("surface") == F.col("l"), F.col("surface")).otherwise(F.col("l"))
+    voted = met.select("quote_id", "at", majority(F.array("s", known, "l")).alias("w"))
+    return voted.groupBy("quote_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda x: x["w"]), " ").alias("text"))
 
 
 # Statistics

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dump, nested, text, urls
@@ -105,10 +105,18 @@ def json_projection(spark: SparkSession, folder: str) -> DataFrame:
     return e.select("event_id", nested.json_field(F.col("props"), "$.k").cast("long").alias("k"))
 
 
+def _page(c: str) -> Column:
+    return F.concat(F.lit("<html><body><p>"), F.replace(F.col(c), F.lit("\n"), F.lit("</p><p>")), F.lit("</p></body></html>"))
+
+
+def html_as_text(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents", "doc_id", "text").where("text is not null")
+    return d.select("doc_id", is_html(F.lit(None).cast("string"), _page("text")).alias("is_html"), html_text(_page("text")).alias("plain"))
+
+
 def html_as_tokens(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents", "doc_id", "text").where("text is not null")
-    page = F.concat(F.lit("<html><body><p>"), F.replace(F.col("text"), F.lit("\n"), F.lit("</p><p>")), F.lit("</p></body></html>"))
-    return d.select("doc_id", is_html(F.lit(None).cast("string"), page).alias("is_html"), html_text(page).alias("plain"), F.size(ptb_tokens(html_text(page))).alias("n_tokens"))
+    return d.select("doc_id", F.size(ptb_tokens(html_text(_page("text")))).alias("n_tokens"))
 
 
 def cleaned_dump(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,7 +139,7 @@ def encoding_scores(spark: SparkSession, folder: str) -> DataFrame:
     return w.groupBy("phase").agg(F.count("*").alias("n"), F.count_if(dump.encoding_match(F.col("d"), F.col("g"))).alias("matches"), F.count_if(dump.is_name_smash(F.col("d"), F.col("g"))).alias("smashed"))
 
 
-QUERIES = {f.__name__: f for f in (phase_texts, phase_a_text, phase_of_articles, token_profile, token_rewrites, token_edges, speaker_forms, fold_keys, url_parts, url_variants, domains_per_phase, text_hashes, answers_normal, marked_spans_text, json_projection, html_as_tokens, cleaned_dump, speaker_candidates, encoding_scores)}
+QUERIES = {f.__name__: f for f in (phase_texts, phase_a_text, phase_of_articles, token_profile, token_rewrites, token_edges, speaker_forms, fold_keys, url_parts, url_variants, domains_per_phase, text_hashes, answers_normal, marked_spans_text, json_projection, html_as_text, html_as_tokens, cleaned_dump, speaker_candidates, encoding_scores)}
 
 _BLANKS = r"[\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _WORD = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}]+"
@@ -199,3 +207,32 @@ SQL = {
         count(*) filter (contains(d, '?') and not contains(g, '?') and not (d like '%?' and length(d) - length(replace(d, '?', '')) = 1) and fd = fg and regexp_matches(g, '[^\x00-\x7F]')) as smashed from k group by phase""",
     "json_projection": "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events",
 }
+
+def _variants_sql() -> str:
+    """All forms of an address in their order, each once."""
+    part = lambda u, i: f"regexp_extract({u}, '{_URL}', {i})"
+    rebuilt = lambda u, scheme=None, net=None: f"{scheme or part(u, 1)} || '://' || {net or part(u, 2)} || {part(u, 3)} || case when {part(u, 4)} <> '' then '?' || {part(u, 4)} else '' end || case when {part(u, 5)} <> '' then '#' || {part(u, 5)} else '' end"
+    made = [f"{{'label': '{n}', 'url': {c}}}" for n, c in (("orig", "url"), ("yahoo", "yahoo"), ("embedded", "embedded"), ("no_tracking", "no_tracking"), ("no_query", "no_query"))]
+    for n in ("yahoo", "embedded", "no_tracking", "no_query"):
+        h = part(n, 2)
+        made.append(f"{{'label': '{n}_https', 'url': case when {part(n, 1)} = 'http' then {rebuilt(n, chr(39) + 'https' + chr(39))} end}}")
+        made.append(f"{{'label': '{n}_bare', 'url': case when starts_with({h}, 'www.') then {rebuilt(n, net=f'substring({h}, 5)')} end}}")
+        made.append(f"{{'label': '{n}_www', 'url': case when not starts_with({h}, 'www.') and contains({h}, '.') then {rebuilt(n, net=f'(' + chr(39) + 'www.' + chr(39) + f' || {h})')} end}}")
+    return rf"""
+      with u as (select distinct url from articles where url is not null),
+      e as (select url, list_filter(list_transform(string_split({part('url', 4)}, '&'), lambda x: trim(url_decode(regexp_extract(x, '^[^=]*=(.*)$', 1)))), lambda v: regexp_matches(v, '^https?://'))[1] embedded,
+        case when contains(lower({part('url', 2)}), 'rd.yahoo.com') then regexp_extract(trim(url_decode(regexp_extract(url, '^[^*]*\*(.*)$', 1))), '^https?://.*$') end y0 from u),
+      b as (select *, nullif(y0, '') yahoo, coalesce(nullif(y0, ''), embedded, url) base from e), a as (select *, list_filter(string_split({part('base', 4)}, '&'), lambda x: x <> '') a from b),
+      t as (select *, list_filter(a, lambda x: lower(split_part(x, '=', 1)) not in ({_TRACKING}) and not starts_with(lower(x), 'utm_')) kept from a),
+      n as (select url, yahoo, embedded, case when len(a) > 0 and len(kept) < len(a) then {part('base', 1)} || '://' || {part('base', 2)} || {part('base', 3)} || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end || case when {part('base', 5)} <> '' then '#' || {part('base', 5)} else '' end end no_tracking,
+        case when {part('base', 4)} <> '' and regexp_matches({part('base', 3)}, '(?i)(id[A-Z0-9]{{6,}}|\.html(?:$|/)|/\d{{8}}/|/\d{{5,}})') then {part('base', 1)} || '://' || {part('base', 2)} || {part('base', 3)} end no_query from t),
+      l as (select url, list_filter([{', '.join(made)}], lambda x: x.url is not null) l from n), k as (select url, list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: y.url), x.url) = i) k from l)
+      select url, len(list_filter(k, lambda x: x.label in ('yahoo', 'embedded', 'no_tracking'))) > 0 as material, generate_subscripts(k, 1) - 1 as n, unnest(k).label as label, unnest(k).url as variant from k"""
+
+
+SQL["url_variants"] = _variants_sql()
+SQL["html_as_text"] = r"""
+      with d as (select doc_id, '<html><body><p>' || replace(text, chr(10), '</p><p>') || '</p></body></html>' page from documents where text is not null),
+      a as (select doc_id, page, regexp_replace(regexp_replace(page, '(?i)</(p|div|li|h[1-6]|blockquote|tr)>|<br\s*/?>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g') x from d),
+      b as (select doc_id, page, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') x from a)
+      select doc_id, true as is_html, trim(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) as plain from b"""
