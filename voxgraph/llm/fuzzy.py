@@ -37,8 +37,8 @@ COUNTS = np.unique(np.concatenate([np.arange(1, 4), np.ceil(3 * 1.55 ** np.arang
 BUCKETS = 1 << 20
 #: A key that more than three texts have is crowded, one that more than HOT have is hot.
 CROWD, HOT = 3, 50
-#: Bits of a bitmap per key in it, at most one bit in eight set; the least and the largest bitmap (256 MB).
-SPARSE, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 31
+#: Bits of a bitmap per key in it; the least and the largest bitmap (512 kB and 256 MB).
+SPARSE, LEAST_BITS, MOST_BITS = 64, 1 << 22, 1 << 31
 #: Rows of a task that pairs the texts of crowded keys, and rows of one key that a task pairs at once.
 TASK_ROWS, KEY_ROWS = 200_000, 2000
 WHOLE, REST = 1, 2
@@ -211,23 +211,39 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
+def _heavy_keys(many: DataFrame, rows: int) -> DataFrame | None:
+    """(key, blocks) of the keys with more than KEY_ROWS rows: exact counts only of keys in hash buckets with so many."""
+    buckets = 1 << max(10, (8 * rows // KEY_ROWS).bit_length())
+    at = F.col("key").bitwiseAND(F.lit(buckets - 1))
+    # as a table its size is known, so the join below sends it to the rows where it is small
+    full = cut(many.groupBy(at.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > KEY_ROWS).select("bucket"))
+    if full.isEmpty():
+        return None
+    counts = many.select("key", at.alias("bucket")).join(full, "bucket").groupBy("key").agg(F.count("*").alias("n"))
+    heavy = cut(counts.where(F.col("n") > KEY_ROWS).select("key", F.ceil(F.col("n") / KEY_ROWS).cast("int").alias("blocks")))
+    return None if heavy.isEmpty() else heavy
+
+
 def _crowd_pairs(many: DataFrame, apart: str) -> DataFrame:
     """Pairs (a, b) of rows that share a key, one with WHOLE and one with REST, and are not too far apart by sketch.
 
     Keys are spread over as many tasks as the rows need. A key with more than KEY_ROWS rows is dealt to blocks of rows,
     each pair of which is a join key of its own.
     """
-    n = many.count() // TASK_ROWS + 1
-    heavy = many.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > KEY_ROWS)
-    heavy = heavy.select("key", F.ceil(F.col("rows") / KEY_ROWS).cast("int").alias("blocks"), F.explode(F.expr("sequence(0, 63)")).alias("salt"))
-    dealt = many.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(64)).cast("int")).join(heavy, ["key", "salt"], "left").drop("salt")
-    dealt = dealt.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.expr("cast(pmod(xxhash64(2, v), blocks) as int)"))
+    rows = many.count()
+    n, heavy = rows // TASK_ROWS + 1, _heavy_keys(many, rows)
+    roles = f"(((a.v & {WHOLE}) > 0 and (b.v & {REST}) > 0) or ((a.v & {REST}) > 0 and (b.v & {WHOLE}) > 0))"
+    met = lambda a, b, on: a.alias("a").join(b.alias("b"), F.expr(f"{on} and {roles} and {apart}")).select(F.col("a.v").alias("a"), F.col("b.v").alias("b"))
+    if heavy is None:
+        light = many.repartition(n, "key")
+        return met(light, light, "a.key = b.key and a.v < b.v")
+    light = many.join(heavy, "key", "left_anti").repartition(n, "key")
+    salted = heavy.withColumn("salt", F.explode(F.expr("sequence(0, 63)")))
+    dealt = many.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(64)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+    dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(2, v), blocks) as int)"))
     a = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.expr("sequence(own, blocks - 1)")))
     b = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.expr("sequence(0, own)")))
-    a, b = (x.drop("own", "blocks").repartition(n, "key", "i", "j") for x in (a, b))
-    same = "a.key = b.key and a.i = b.i and a.j = b.j and (a.i < a.j or a.v < b.v)"
-    roles = f"(((a.v & {WHOLE}) > 0 and (b.v & {REST}) > 0) or ((a.v & {REST}) > 0 and (b.v & {WHOLE}) > 0))"
-    return a.alias("a").join(b.alias("b"), F.expr(f"{same} and {roles} and {apart}")).select(F.col("a.v").alias("a"), F.col("b.v").alias("b"))
+    return met(light, light, "a.key = b.key and a.v < b.v").unionByName(met(a, b, "a.key = b.key and a.i = b.i and a.j = b.j and (a.i < a.j or a.v < b.v)"))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
+
 #: Ids that a block holds on average at most, and hash classes among which the rows of a heavy class are dealt.
 BLOCK, SALTS = 1000, 64
 
@@ -16,12 +18,16 @@ def blocks(members: DataFrame, keys: list[str], id_col: str, block: int = BLOCK)
     the heavy classes, at most one row per `block` rows, are joined back, once per hash class of the id, so that no class
     is bound to one task. Null ids are left out.
     """
-    ids = members.select(*keys, F.col(id_col).alias("_id")).where("_id is not null")
-    heavy = ids.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
-    heavy = heavy.select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"), F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("_salt"))
-    dealt = ids.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(heavy, [*keys, "_salt"], "left")
-    own = F.coalesce(F.expr("pmod(xxhash64(2, _id), _blocks)"), F.lit(0)).cast("int")
-    dealt = dealt.select(*keys, own.alias("blk"), F.coalesce("_blocks", F.lit(1)).alias("blocks"), "_id")
+    ids = cut(members.select(*keys, F.col(id_col).alias("_id")).where("_id is not null"))
+    # as a table its size is known, so that it is sent to the rows where it is small
+    heavy = cut(ids.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block))
+    if heavy.isEmpty():
+        dealt = ids.select(*keys, F.lit(0).alias("blk"), F.lit(1).alias("blocks"), "_id")
+    else:
+        heavy = heavy.select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"), F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("_salt"))
+        dealt = ids.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(heavy, [*keys, "_salt"], "left")
+        own = F.coalesce(F.expr("pmod(xxhash64(2, _id), _blocks)"), F.lit(0)).cast("int")
+        dealt = dealt.select(*keys, own.alias("blk"), F.coalesce("_blocks", F.lit(1)).alias("blocks"), "_id")
     return dealt.groupBy(*keys, "blk", "blocks").agg(F.sort_array(F.collect_set("_id")).alias("ids"))
 
 
