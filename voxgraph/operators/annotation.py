@@ -204,7 +204,7 @@ def nearest_names(texts: DataFrame, id_col: str, text: str, center: str, stop: S
     o = occurrences(t, id_col, "_t", "name").where(F.substring("_t", F.col("start") + 1, F.length("name")) == F.col("name"))
     o = o.withColumn("distance", F.abs(F.col("start") - F.col("_c"))).where(F.col("distance") <= window)
     first = o.groupBy(id_col, F.lower("name").alias("_k")).agg(F.min(F.struct("start", "name", "distance")).alias("m")).select(id_col, "m.*")
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy("distance", "start"))
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy("distance", "start", "name"))
     return first.withColumn("rank", rank).where(F.col("rank") <= limit).select(id_col, "name", "start", "distance", "rank")
 
 

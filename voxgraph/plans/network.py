@@ -398,3 +398,9 @@ SQL = {
       select pl.article_id, case when best.qid is not null then best.speaker else sp end as speaker, coalesce(best.qid, sq) as qid, round(case when best.qid is not null then pr else p end, 6) as probability from pl left join best using (article_id)""",
     "mention_union": f"with {_Q}, m as (select distinct article_id, unnest(mentioned_entities) m from q), g as (select article_id, string_agg(m, ' ' order by m) s from m where m is not null group by 1) select article_id, coalesce(s, '') as mentions from (select distinct article_id from q) left join g using (article_id)",
 }
+SQL["masked_texts"] = f"""
+      with {_MENTIONS},
+      mm as (select *, row_number() over (partition by article_id order by i) j from full_), tk as (select s.article_id, s.i, case when mm.i = s.i then '[MASK]' when mm.i is null then t[s.i + 1] end w from s left join mm on mm.article_id = s.article_id and s.i >= mm.i and s.i < mm.i + mm.n),
+      kp as (select *, row_number() over (partition by article_id order by i) r from tk where w is not null), tx as (select article_id, string_agg(case when r = 1 or regexp_matches(w, '^(''|[[:punct:]]+$)') then w else ' ' || w end, '' order by i) masked from kp group by 1),
+      qs as (select article_id, j, unnest(string_split(q, ' ')) qid from mm), ps as (select article_id, count(distinct qid) n, string_agg(j::varchar, ' ' order by j) filter (qid = 'Q900000000') places, count(*) filter (qid = 'Q900000000') c from qs group by 1)
+      select a.article_id, coalesce(masked, '') as masked, coalesce(n, 0) as nb_entities, coalesce(places, '0') as target_at, coalesce(c, 0) > 1 as ambiguous from a left join tx using (article_id) left join ps using (article_id)"""

@@ -335,3 +335,10 @@ SQL = {
     "record_errors": f"with {_LAST} select article_id, annotator, count(*) as n_errors from q group by 1, 2",
     "articles_to_do": f"with {_LAST}, d as (select article_id from q where annotator = 'ana_k' group by 1 having bool_and(coalesce(done, false))) select distinct article_id from annotation where article_id not in (select article_id from d)",
 }
+SQL["nearby_names"] = r"""
+      with a as (select article_id, min(text) t from articles group by 1 having min(text) is not null),
+      n as (select article_id, t, cast(floor(length(t) / 2) as int) c, unnest(list_distinct(list_filter(regexp_extract_all(regexp_replace(t, '[^\x00-\x7F\p{P}\p{S}\p{Z}\p{C}]', '_', 'g'), '\b[A-Z][a-z]+(?: [A-Z][a-z]+){0,3}\b'), lambda x: lower(x) not in ('the', 'this', 'that')))) as name from a),
+      j as (select *, string_split(lower(t), lower(name)) p from n), o as (select article_id, t, c, name, unnest(list_transform(range(1, len(p)), lambda k: list_sum(list_transform(p[1:k], lambda x: len(x))) + (k - 1) * len(name))) i from j where len(p) > 1),
+      f as (select article_id, name, cast(i as int) as start, abs(cast(i as int) - c) as distance from o where substring(t, cast(i as int) + 1, len(name)) = name and abs(i - c) <= 600),
+      g as (select * from f qualify row_number() over (partition by article_id, lower(name) order by start, name) = 1)
+      select article_id, name, start, distance, row_number() over (partition by article_id order by distance, start, name) as rank from g qualify rank <= 10"""

@@ -236,3 +236,6 @@ SQL["html_as_text"] = r"""
       a as (select doc_id, page, regexp_replace(regexp_replace(page, '(?i)</(p|div|li|h[1-6]|blockquote|tr)>|<br\s*/?>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g') x from d),
       b as (select doc_id, page, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') x from a)
       select doc_id, true as is_html, trim(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) as plain from b"""
+SQL["phase_a_text"] = """
+      with h as (select quote_id, text, hex(encode(lower(text))) h from quote_candidates)
+      select quote_id, case when text is not null then array_to_string(list_transform(range(0, length(h) // 2), lambda i: chr(cast('0x' || substring(h, 2 * i + 1, 2) as int))), '') end as phase_a from h"""
