@@ -287,24 +287,35 @@ def _passed(votes: DataFrame, pooled: tuple[str, ...], tolerance: float, block:
     """The items after the last round, and the annotators' sums: g, annotator, p_all, p_hit, q_all, q_hit."""
     votes = cut(votes)
     spark, groups = votes.sparkSession, _groups(votes, pooled)
-    n, names, done = int(groups.base[-1]), groups.names, 0
-    several = votes.select("annotator").distinct().count() > block  # else no item has more votes than a block
+    n, done = int(groups.base[-1]), 0
+    annotators = votes.select("annotator").distinct().count()
+    several = annotators > block  # else no item has more votes than a block
     items = _items(votes, groups, block if several else None)
     wide = several and not items.where("parts > 1").isEmpty()
     table = cut(items.mapInArrow(_pack, "block binary"))
     while True:
-        rates = cut(_rates(table, groups))
-        sums = rates.groupBy("g").agg(F.sum("p_all").alias("p"), F.sum("q_all").alias("q"), F.max("moved").alias("moved"), F.count("*").alias("n")).collect()
-        moved = max((r.moved for r in sums if r.moved is not None), default=None)
-        if not sums or (done and moved < tolerance):
-            break
-        share = {r.g: (r.p + 0.5) / (r.p + r.q + 1) for r in sums}
-        base = [float(np.log(share.get(g, 0.5) / (1 - share.get(g, 0.5)))) for g in range(len(names))]
-        if n * max(r.n for r in sums) <= sent_rates and sum(r.n for r in sums) <= sent_rates:
+        rates = _rates(table, groups)
+        if n * annotators <= sent_rates:
             found = rates.toArrow()
+            at = found["g"].to_numpy()
+            held, lost = (np.bincount(at, found[c].to_numpy(), n) for c in ("p_all", "q_all"))
+            moved, some = pc.max(found["moved"]).as_py(), found.num_rows > 0
+        else:
+            rates = cut(rates)
+            sums = rates.groupBy("g").agg(F.sum("p_all").alias("p"), F.sum("q_all").alias("q"), F.max("moved").alias("moved")).collect()
+            held, lost = np.zeros(n), np.zeros(n)
+            for r in sums:
+                held[r.g], lost[r.g] = r.p, r.q
+            found, some = None, bool(sums)
+            moved = max((r.moved for r in sums if r.moved is not None), default=None)
+        if not some or (done and moved < tolerance):
+            break
+        share = (held + 0.5) / (held + lost + 1)
+        base = [float(x) for x in np.log(share / (1 - share))]
+        if found is not None:
             known = pc.unique(found["annotator"])
             tensor = np.zeros((n, len(known), 4))
-            tensor[found["g"].to_numpy(), pc.index_in(found["annotator"], value_set=known).to_numpy()] = np.stack([found[c].to_numpy() for c in _SUMS], 1)
+            tensor[at, pc.index_in(found["annotator"], value_set=known).to_numpy()] = np.stack([found[c].to_numpy() for c in _SUMS], 1)
             sent, rows = spark.sparkContext.broadcast((known, tensor)), cut(_unpacked(table)) if wide else table
         else:
             sent, rows = None, cut(_joined(_unpacked(table), rates, groups))
@@ -316,7 +327,7 @@ def _passed(votes: DataFrame, pooled: tuple[str, ...], tolerance: float, block:
             moving = rows.join(total, ["field", "item"], "left")
         pace = 1.0 if done < FREE else 1 / (done - FREE + 2)
         fresh = cut(moving.mapInArrow(_step(groups, sent, base, pace), "block binary"))
-        for old in {id(x): x for x in (table, rows, rates)}.values():
+        for old in {id(x): x for x in (table, rows, *([rates] if found is None else []))}.values():
             drop(old)
         table, done = fresh, done + 1
     return table, rates
